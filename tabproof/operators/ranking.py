@@ -1,0 +1,41 @@
+"""Positions inside groups of any size."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions.names import c, quoted
+from ..session import checkpoint
+
+
+def ordered_position(df: DataFrame, groups: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """Position of every row in its group, from 0, as a windowed row number would give.
+
+    A window sends a whole group to one task. Here the rows are range-sorted by
+    group and order, so a large group is spread over many sorted partitions;
+    each partition numbers its own rows, and the number of rows the group has
+    in earlier partitions is added. Only those counts, one row per group and
+    partition it touches, go through a window. ``order`` must be unique inside
+    a group. The sorted rows are checkpointed: a partition that is computed
+    again must hold the same rows.
+    """
+    keys = [*groups, *order]
+    placed = (
+        checkpoint(df.orderBy(*[quoted(k) for k in keys]))
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__line", F.monotonically_increasing_id())
+    )
+    runs = placed.groupBy(*[quoted(g) for g in groups], "__part").agg(
+        F.min("__line").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    earlier = (Window.partitionBy(*[quoted(g) for g in groups]).orderBy("__part")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = runs.select(
+        *[c(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"),
+        (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    same_run = reduce(lambda a, b: a & b,
+                      [c(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)],
+                      F.col("__part") == F.col("__p"))
+    return placed.join(offsets, same_run).select(
+        *[c(n) for n in df.columns], (F.col("__line") + F.col("__shift")).alias(name))
