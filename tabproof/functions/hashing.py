@@ -62,8 +62,3 @@ def in_sample(keys: list[Column], percent: float, seed: int = 42) -> Column:
     if not 0 < percent <= 100:
         raise ValueError(f"percent must lie in (0, 100], got {percent}")
     return sample_slot(keys, seed) < F.lit(int(percent / 100.0 * 2**32))
-
-
-def spread(df_cols: list[Column], buckets: int) -> Column:
-    """Salt in ``[0, buckets)`` from row content: a task that runs again salts alike."""
-    return F.pmod(F.xxhash64(*df_cols), F.lit(buckets)).cast("int")

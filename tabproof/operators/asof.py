@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .running import running_max
 
 
 def latest_versions(history: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -18,7 +20,7 @@ def latest_versions(history: DataFrame, tables: DataFrame | None = None) -> Data
         F.concat(F.col("table_name"), F.lit(": no version"))).cast("bigint")))
 
 
-def resolve_versions(history: DataFrame, pins: DataFrame, bucket: str = "day") -> DataFrame:
+def resolve_versions(history: DataFrame, pins: DataFrame) -> DataFrame:
     """``(table_name, pin_ts, pin_version, version, resolved)`` for every pin.
 
     ``history`` is ``(table_name, version, ts)``; ``pins`` is ``(table_name,
@@ -27,35 +29,18 @@ def resolve_versions(history: DataFrame, pins: DataFrame, bucket: str = "day") -
     after the last commit yields the latest. A pin before the first commit is
     reported with ``resolved`` false.
 
-    Commits and pins of a table are merged along time instead of being joined
-    pair by pair. The timeline is cut into buckets, each of which is sorted on
-    its own, and what came before a bucket is carried in from a summary with
-    one row per bucket, so a table with most of the history still spreads.
+    Commits and pins of a table are merged along time and the highest version
+    so far is carried along, instead of pairing every pin with every commit.
     """
-    commits = (
-        history.groupBy("table_name", "ts").agg(F.max("version").alias("version"))
-        .select("table_name", "ts", F.col("version").cast("bigint").alias("version"),
-                F.lit(0).alias("is_pin"), F.date_trunc(bucket, "ts").alias("bucket"))
-    )
-    asked = pins.select(
-        "table_name", F.col("pin_ts").alias("ts"), F.lit(None).cast("bigint").alias("version"),
-        F.lit(1).alias("is_pin"), F.date_trunc(bucket, "pin_ts").alias("bucket"),
-    ).where("ts IS NOT NULL").distinct()
-    timeline = commits.unionByName(asked)
-
-    before = Window.partitionBy("table_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        timeline.groupBy("table_name", "bucket").agg(F.max("version").alias("top"))
-        .select("table_name", "bucket", F.max("top").over(before).alias("carried"))
-    )
-    # At equal times commits come first: "at or before".
-    within = (Window.partitionBy("table_name", "bucket").orderBy("ts", "is_pin")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    answers = (
-        timeline.withColumn("seen", F.max("version").over(within)).where("is_pin = 1")
-        .join(carried, ["table_name", "bucket"], "left")
-        .select("table_name", F.col("ts").alias("pin_ts"), F.greatest("seen", "carried").alias("found"))
-    )
+    commits = history.select("table_name", "ts", F.lit(0).alias("is_pin"),
+                             F.col("version").cast("bigint").alias("version"))
+    asked = pins.where("pin_ts IS NOT NULL").select(
+        "table_name", F.col("pin_ts").alias("ts"), F.lit(1).alias("is_pin"),
+        F.lit(None).cast("bigint").alias("version")).distinct()
+    # At equal times commits sort first: "at or before".
+    merged = running_max(commits.unionByName(asked), ["table_name"], ["ts", "is_pin", "version"],
+                         F.col("version"), "found")
+    answers = merged.where("is_pin = 1").select("table_name", F.col("ts").alias("pin_ts"), "found")
     return pins.join(answers, ["table_name", "pin_ts"], "left").select(
         "table_name", "pin_ts", "pin_version",
         F.coalesce(F.col("pin_version").cast("bigint"), F.col("found")).alias("version"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpoint
-from .ranking import ordered_position
+from .running import ordered_position
 
 TASK = ["job_id", "task_key"]
 

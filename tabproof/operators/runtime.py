@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .running import exact_median
+
 # Defaults of the telemetry window and the gain gate.
 RUN_LOOKBACK_DAYS = 30
 MIN_GAIN = 0.20
@@ -80,9 +82,10 @@ def timing_summary(timings: DataFrame, runs: int | None = None, warmup: bool = T
     kept = timings.join(first, keys).where(F.col("run_no") >= start)
     if runs is not None:
         kept = kept.where(F.col("run_no") < start + runs)
-    return kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.percentile("seconds", F.lit(0.5)).alias("median_s"),
-        F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"))
+    spans = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.min("seconds").alias("min_s"),
+                                    F.max("seconds").alias("max_s"))
+    return spans.join(exact_median(kept, keys, "seconds", "median_s"), keys).select(
+        *keys, "runs", "median_s", "min_s", "max_s")
 
 
 def gain(before: Column, after: Column) -> Column:
