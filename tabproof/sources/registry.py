@@ -67,7 +67,7 @@ def seed(tasks: DataFrame, edges: DataFrame, prior: DataFrame | None = None,
             "status": F.lit("pending"),
         })
     )
-    rows = evolve(rows, REGISTRY_SCHEMA)
+    rows = evolve(rows.select(*[n for n in rows.columns if n in REGISTRY_SCHEMA.names]), REGISTRY_SCHEMA)
     if prior is not None:
         rows = carry_forward(rows, prior)
     return rows.select(*REGISTRY_SCHEMA.names)
