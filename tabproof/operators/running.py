@@ -61,23 +61,24 @@ def ordered_position(df: DataFrame, groups: list[str], order: list[str], name: s
     return running_sum(df, groups, order, F.lit(1).cast("bigint"), name).withColumn(name, c(name) - 1)
 
 
-def exact_median(df: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
-    """``groups`` and the median of ``value``, the mean of the two middle values in even groups.
+def exact_median(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``groups`` with ``n, median, least, greatest`` of ``value``; an even group's median is a mean of two.
 
     Equal values are counted first, inside the tasks; the counts are then added
-    up along the values, so no group has to fit into one task.
+    up along the values, so no group has to fit into one task. ``df`` is read
+    once.
     """
     keys = [quoted(g) for g in groups]
     counts = df.where(c(value).isNotNull()).groupBy(*keys, quoted(value)).agg(F.count(F.lit(1)).alias("__n"))
     along = running_sum(counts, groups, [value], F.col("__n"), "__upto")
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size")).select(
-        *[c(g).alias(f"__m{i}") for i, g in enumerate(groups)], "__size")
+    sizes = along.groupBy(*keys).agg(
+        F.max("__upto").alias("n"), F.min(c(value)).alias("least"), F.max(c(value)).alias("greatest"),
+    ).select(*[c(g).alias(f"__m{i}") for i, g in enumerate(groups)], "n", "least", "greatest")
     same = reduce(lambda a, b: a & b, [c(g).eqNullSafe(F.col(f"__m{i}")) for i, g in enumerate(groups)])
-    lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
-    first, last = F.col("__upto") - F.col("__n") + 1, F.col("__upto")
-    holds = [(first <= m) & (m <= last) for m in (lower, upper)]
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    holds = [(F.col("__upto") - F.col("__n") < m) & (m <= F.col("__upto")) for m in (lower, upper)]
     return (
         along.join(sizes, same).where(holds[0] | holds[1])
-        .groupBy(*keys)
-        .agg(((F.max(F.when(holds[0], c(value))) + F.max(F.when(holds[1], c(value)))) / 2).alias(name))
+        .groupBy(*keys, "n", "least", "greatest")
+        .agg(((F.max(F.when(holds[0], c(value))) + F.max(F.when(holds[1], c(value)))) / 2).alias("median"))
     )

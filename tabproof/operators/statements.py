@@ -34,16 +34,18 @@ def statements_touching(statements: DataFrame, names: list[str], whole_word: boo
 
 
 def statements_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Every statement beside every table of ``targets(table_name)`` that its text names.
+    """Every statement, without its text, beside every table of ``targets(table_name)`` that the text names.
 
     For many tables at once. A table name consists of word characters, so it
     can occur only inside one word of the text; words are matched with names,
-    and each distinct word only once however many statements contain it.
+    and each distinct word only once however many statements contain it. The
+    text itself is not shuffled.
     """
     names = targets.select("table_name", F.lower(short_name(F.col("table_name"))).alias("name")).distinct()
     names = names.withColumn("name", F.when(F.col("name").rlike(r"^\w+$"), F.col("name")).otherwise(
         F.raise_error(F.concat(F.lit("not a plain table name: "), F.col("table_name"))).cast("string")))
-    words = statements.select("statement_id", F.explode(F.array_distinct(
+    rest = [n for n in statements.columns if n != "statement_text"]
+    words = statements.select(*rest, F.explode(F.array_distinct(
         F.split(F.lower(F.col("statement_text")), _WORD))).alias("word")).where("word <> ''")
     if whole_word:
         pairs = names.select("table_name", F.col("name").alias("word"))
@@ -51,15 +53,15 @@ def statements_by_table(statements: DataFrame, targets: DataFrame, whole_word: b
         lengths = names.select(F.length("name").alias("size")).distinct()
         vocabulary = words.select("word").distinct()
         pieces = (
-            # An equality join per length: a piece is every stretch of a word as long as some name.
+            # A piece is every stretch of a word that is as long as some name.
             vocabulary.withColumn("size", F.explode(F.sequence(F.lit(1), F.length("word"))))
             .join(lengths, "size", "left_semi")
             .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)))
             .select("word", F.expr("substring(word, at, size)").alias("name")).distinct()
         )
         pairs = pieces.join(names, "name").select("table_name", "word")
-    found = words.join(pairs, "word").select("statement_id", "table_name").distinct()
-    return statements.join(found, "statement_id")
+    # Several words of a statement may contain the same name.
+    return words.join(pairs, "word").drop("word").dropDuplicates(["statement_id", "table_name"])
 
 
 def in_window(statements: DataFrame, as_of: date | datetime, lookback_days: int = STATEMENT_LOOKBACK_DAYS,

@@ -16,20 +16,21 @@ class PromotionBlocked(ValueError):
     """A notebook may not be promoted."""
 
 
-def succeeded_steps(events: DataFrame, required: tuple[str, ...] = REQUIRED_STEPS,
-                    latest: bool = False) -> DataFrame:
-    """``(job, notebook, steps)``: the required steps that succeeded, an array no longer than ``required``.
+def recorded_steps(events: DataFrame, required: tuple[str, ...] = REQUIRED_STEPS,
+                   latest: bool = False) -> DataFrame:
+    """``(job, notebook, events, steps)``: number of events, and the required steps that succeeded.
 
     A step counts when it ever succeeded; with ``latest``, when its newest
-    finished event did.
+    finished event did. The log is read once and summed up per step first, so
+    ``steps`` is gathered from one row per step and is no longer than ``required``.
     """
-    relevant = events.where(F.col("step").isin(*required))
-    if latest:
-        newest = F.max_by("status", F.struct("event_ts", "audit_id"))
-        relevant = (relevant.where(F.col("status") != "started").groupBy(*ROW, "step")
-                    .agg(newest.alias("status")))
-    ok = relevant.where(F.col("status") == "succeeded").select(*ROW, "step").distinct()
-    return ok.groupBy(*ROW).agg(F.array_sort(F.collect_set("step")).alias("steps"))
+    succeeded = F.col("status") == "succeeded"
+    finished = F.when(F.col("status") != "started", F.struct("event_ts", "audit_id"))
+    ok = F.max_by(succeeded, finished) if latest else F.bool_or(succeeded)
+    per_step = events.groupBy(*ROW, "step").agg(F.count(F.lit(1)).alias("n"), ok.alias("ok"))
+    return per_step.groupBy(*ROW).agg(
+        F.sum("n").alias("events"),
+        F.array_sort(F.collect_set(F.when(F.col("ok") & F.col("step").isin(*required), F.col("step")))).alias("steps"))
 
 
 def _missing(required: tuple[str, ...]):
@@ -41,7 +42,7 @@ def missing_steps(targets: DataFrame, events: DataFrame, required: tuple[str, ..
                   latest: bool = False) -> DataFrame:
     """``(job, notebook, step)`` for each required step of a target that has not succeeded."""
     return (
-        targets.select(*ROW).distinct().join(succeeded_steps(events, required, latest), ROW, "left")
+        targets.select(*ROW).distinct().join(recorded_steps(events, required, latest), ROW, "left")
         .select(*ROW, F.explode(_missing(required)).alias("step"))
     )
 
@@ -55,10 +56,9 @@ def promotion_gate(targets: DataFrame, registry: DataFrame, events: DataFrame,
     """
     rows = registry.select(F.col("job_name").alias("job"), F.col("notebook_path").alias("notebook"),
                            F.col("status").alias("config_status"), F.lit(True).alias("registered"))
-    counts = events.groupBy(*ROW).agg(F.count(F.lit(1)).alias("events"))
     judged = (
         targets.select(*ROW).distinct().join(rows, ROW, "left")
-        .join(succeeded_steps(events, required, latest), ROW, "left").join(counts, ROW, "left")
+        .join(recorded_steps(events, required, latest), ROW, "left")
         .withColumn("missing", _missing(required))
     )
     reason = (

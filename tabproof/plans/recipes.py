@@ -60,29 +60,24 @@ def _salt(df: DataFrame, buckets: int) -> Column:
     return F.expr(f"int(pmod(xxhash64(spark_partition_id(), {', '.join(quoted(n) for n in df.columns)}), {buckets}))")
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Keys that hold at least ``share`` of the rows: no more than ``1 / share`` of them."""
+def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+    """Keys that hold at least ``share`` of the rows: never more than ``1 / share`` of them."""
+    least = max(1, ceil(df.count() * share))
     counts = df.where(c(key).isNotNull()).groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    return counts.where(F.col("__n") >= max(1, ceil(total * share))).select(quoted(key))
+    return [row[0] for row in counts.where(F.col("__n") >= least).select(quoted(key)).collect()]
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, key: str, buckets: int = 16, share: float = 0.01) -> DataFrame:
     """Inner join on ``key`` in which the rows of hot keys are spread over ``buckets``.
 
-    Only hot keys are salted, and only their rows of ``dim`` are repeated. The
-    list of hot keys is broadcast: its length is bounded by ``1 / share``.
+    Only hot keys are salted, and only their rows of ``dim`` are repeated. Hot
+    keys are few by definition and enter the plan as literals.
     """
-    hot = F.broadcast(hot_keys(fact, key, share).withColumn("__hot", F.lit(True)))
-    spread = (
-        fact.withColumn("__salt", _salt(fact, buckets)).join(hot, key, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), F.col("__salt")).otherwise(F.lit(0))).drop("__hot")
-    )
+    hot = hot_keys(fact, key, share)
+    is_hot = c(key).isin(*hot) if hot else F.lit(False)
     every = F.sequence(F.lit(0), F.lit(buckets - 1))
-    repeated = (
-        dim.join(hot, key, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))).drop("__hot")
-    )
+    spread = fact.withColumn("__salt", F.when(is_hot, _salt(fact, buckets)).otherwise(F.lit(0)))
+    repeated = dim.withColumn("__salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return spread.join(repeated, [key, "__salt"]).drop("__salt")
 
 
@@ -118,26 +113,29 @@ def _as_number(name: str, dtype: T.DataType) -> str:
     raise TypeError(f"cannot order {name} of type {dtype.simpleString()} along the curve")
 
 
-def zorder_key(df: DataFrame, columns: list[str], bits: int = 5) -> Column:
-    """Position along a Z-shaped curve through range buckets of the columns.
+def with_zorder(df: DataFrame, columns: list[str], bits: int = 5, name: str = "__z") -> DataFrame:
+    """Adds the position along a Z-shaped curve through range buckets of the columns.
 
     Bucket bounds are quantiles of the data, so each bucket holds about as many
     rows; bits of the bucket numbers are interleaved, the first column's first.
     """
+    if bits * len(columns) > 62:
+        raise ValueError("bits times columns must not exceed 62")
     types = {f.name: f.dataType for f in df.schema.fields}
-    steps = 1 << bits
     numbers = {n: _as_number(n, types[n]) for n in columns}
-    shares = ", ".join(f"{i / steps}" for i in range(1, steps))
+    steps = 1 << bits
+    shares = ", ".join(f"{i / steps}D" for i in range(1, steps))
     bounds = df.agg(*[F.expr(f"approx_percentile({numbers[n]}, array({shares}), 1000) AS q{i}")
                       for i, n in enumerate(columns)]).first()
-    parts = []
+    buckets, parts = [], []
     for i, n in enumerate(columns):
         edges = sorted(set(bounds[f"q{i}"] or []))
-        bucket = " + ".join([f"if({numbers[n]} >= {e!r}D, 1, 0)" for e in edges]) or "0"
-        for b in range(bits):
-            at = b * len(columns) + (len(columns) - 1 - i)
-            parts.append(f"shiftleft(shiftright({bucket}, {b}) & 1, {at})")
-    return F.expr(" | ".join(f"({p})" for p in parts))
+        passed = " + ".join(f"if({numbers[n]} >= {e!r}D, 1L, 0L)" for e in edges) or "0L"
+        buckets.append(f"{passed} AS __bucket{i}")
+        parts += [f"shiftleft(shiftright(__bucket{i}, {b}) & 1L, {b * len(columns) + len(columns) - 1 - i})"
+                  for b in range(bits)]
+    curve = " | ".join(f"({p})" for p in parts)
+    return df.selectExpr("*", *buckets).selectExpr(*[quoted(n) for n in df.columns], f"{curve} AS {name}")
 
 
 def write_zordered(df: DataFrame, columns: list[str], path: str, files: int, bits: int = 5) -> None:
@@ -146,7 +144,7 @@ def write_zordered(df: DataFrame, columns: list[str], path: str, files: int, bit
     Ties on the curve are ordered by the columns and by a hash of the row, which
     lets one crowded stretch of the curve be split over several files.
     """
-    curve = df.withColumn("__z", zorder_key(df, columns, bits)).withColumn(
+    curve = with_zorder(df, columns, bits).withColumn(
         "__tie", F.expr(f"xxhash64({', '.join(quoted(n) for n in df.columns)})"))
     order = ["__z", *[quoted(n) for n in columns], "__tie"]
     (curve.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("__z", "__tie")

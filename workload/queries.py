@@ -473,8 +473,8 @@ def diagnose(v: Views) -> DataFrame:
            'spilled_local_bytes=' || spilled_local_bytes, 'total_duration_ms=' || total_duration_ms) AS perf
     FROM flagged""", **PROFILES)
 def profile_map(v: Views) -> DataFrame:
-    return _profiles(v).select("job_name", "notebook_path",
-                               maps.readable(diagnosis.profile_entry(_profiles(v))).alias("perf"))
+    profiles = _profiles(v)
+    return profiles.select("job_name", "notebook_path", maps.readable(diagnosis.profile_entry(profiles)).alias("perf"))
 
 
 # Audit log -----------------------------------------------------------------------------------------
