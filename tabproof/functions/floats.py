@@ -50,14 +50,20 @@ def is_tolerant(field: T.StructField) -> bool:
 def rounded(name: str, dtype: T.DataType, epsilon: float) -> str:
     """SQL text of a column as it is compared: rounded when tolerated and of a float or decimal type.
 
-    A decimal that has no more places than the rounding keeps is left alone.
+    A decimal that has no more places than the rounding keeps is left alone. So
+    is a double that already is the closest one to a number of that many places,
+    which arithmetic on doubles tells at a fraction of the cost of rounding.
     """
+    column = quoted(name)
     if epsilon == 0 or not isinstance(dtype, TOLERANT):
-        return quoted(name)
+        return column
     places = digits_for(epsilon)
     if isinstance(dtype, T.DecimalType) and dtype.scale <= places:
-        return quoted(name)
-    return f"round({quoted(name)}, {places})"
+        return column
+    if isinstance(dtype, T.DoubleType) and places <= EXACT_DIGITS:
+        unit = f"1e{places}D"
+        return f"if({column} = rint({column} * {unit}) / {unit}, {column}, round({column}, {places}))"
+    return f"round({column}, {places})"
 
 
 def normalise_floats(df: DataFrame, epsilon: float) -> DataFrame:

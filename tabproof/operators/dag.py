@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import checkpoint
 from .running import ordered_position
@@ -33,15 +33,16 @@ def dag_waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     closed: list[DataFrame] = []
     while waiting:
         blocked = open_edges.select("job_id", F.col("task_key").alias("depends_on")).distinct()
+        seen = Observation()
         marked = checkpoint(
             open_edges.join(blocked.withColumn("held", F.lit(True)), ["job_id", "depends_on"], "left")
-            .select(*TASK, "depends_on", F.coalesce("held", F.lit(False)).alias("held")))
-        left = marked.where("held")
-        still = left.count()
+            .select(*TASK, "depends_on", F.coalesce("held", F.lit(False)).alias("held"))
+            .observe(seen, F.count_if("held").alias("still")))
+        still = seen.get["still"]
         if still == waiting:
             break
         closed.append(marked.where("NOT held").select(*TASK, F.lit(len(closed) + 1).alias("wave")))
-        open_edges, waiting = left.drop("held"), still
+        open_edges, waiting = marked.where("held").drop("held"), still
 
     placed = tasks.withColumn("wave", F.lit(0))
     placed = reduce(DataFrame.unionByName, closed, placed).groupBy(*TASK).agg(F.max("wave").alias("wave"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import concurrently
 from ..sources.audit import AuditLog
 from ..sources.snapshots import SnapshotStore, materialise, prepare_pair
 from .ladder import VERDICT_SCHEMA, Rung, Verdict, compare
@@ -45,22 +47,22 @@ class FlowVerdict:
 
 def compare_flows(spark: SparkSession, baseline: dict[str, DataFrame | str], candidate: dict[str, DataFrame | str],
                   *, targets: list[str] | None = None, partition_cols: dict[str, list[str]] | None = None,
-                  tier: str = "semantics_preserving", **options) -> FlowVerdict:
+                  tier: str = "semantics_preserving", parallel: int = 4, **options) -> FlowVerdict:
     """Compares every target and keeps every failure: a divergence does not end the comparison.
 
     An error on one target, a missing table for instance, is that target's
     failure. ``options`` go to :func:`tabproof.plans.ladder.compare`.
     """
-    out = FlowVerdict()
-    for target in targets or sorted(set(baseline) | set(candidate)):
+    def one(target: str) -> Verdict:
         try:
-            out.verdicts.append(compare(
-                spark, baseline[target], candidate[target], tier=tier, target=target,
-                partition_cols=(partition_cols or {}).get(target), **options))
+            return compare(spark, baseline[target], candidate[target], tier=tier, target=target,
+                           partition_cols=(partition_cols or {}).get(target), **options)
         except Exception as error:
             text = f"missing table: {error}" if isinstance(error, KeyError) else str(error)
-            out.verdicts.append(Verdict(target, tier, 0.0, [Rung("run", False, None, None, text)]))
-    return out
+            return Verdict(target, tier, 0.0, [Rung("run", False, None, None, text)])
+
+    wanted = targets or sorted(set(baseline) | set(candidate))
+    return FlowVerdict(concurrently(spark, [partial(one, t) for t in wanted], parallel))
 
 
 def flow_rollup(verdicts: DataFrame) -> DataFrame:

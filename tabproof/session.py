@@ -11,7 +11,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -67,3 +69,16 @@ def checkpoint(df):
     """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def concurrently(spark: SparkSession, jobs: list, parallel: int = 4) -> list:
+    """Results of the given functions in order, a few of them submitted to Spark at a time.
+
+    Small tables then do not wait for the last tasks of large ones. The first
+    error is raised after all have ended.
+    """
+    if parallel <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [r.result() for r in running]

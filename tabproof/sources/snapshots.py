@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.hashing import in_sample
 from ..functions.names import c
 from ..operators.asof import resolve_versions
-from ..session import new_folder
+from ..session import concurrently, new_folder
 from .storage import read_table
 
 HISTORY_SCHEMA = T.StructType([
@@ -20,6 +22,10 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+# Pins up to this number enter a plan as literals; more are joined as a relation.
+LITERAL_PINS = 100
+
+
 def write_versions(df: DataFrame, path: str, version: str = "version") -> None:
     """Stores rows by version, one folder per value; a version with most rows is split over tasks."""
     df.hint("rebalance", version).write.mode("overwrite").partitionBy(version).parquet(path)
@@ -65,14 +71,22 @@ class SnapshotStore:
 
     def resolve(self, pins: dict[str, datetime | int]) -> dict[str, int]:
         """The version each pin stands for: a number itself, a moment the last version at or before it."""
-        schema = "table_name string, pin_ts timestamp, pin_version bigint"
-        rows = [(t, None, p) if isinstance(p, int) else (t, p, None) for t, p in pins.items()]
-        history = self.history().where(F.col("table_name").isin(*pins))
-        found = resolve_versions(history, self.spark.createDataFrame(rows, schema)).collect()
-        missing = sorted(f"{r.table_name} at {r.pin_ts}" for r in found if not r.resolved)
+        found = {t: p for t, p in pins.items() if isinstance(p, int)}
+        moments = {t: p for t, p in pins.items() if t not in found}
+        if len(moments) <= LITERAL_PINS:
+            # Few pins: one filtered aggregate over the history, the moments as literals.
+            early = [(F.col("table_name") == t) & (F.col("ts") <= F.lit(p)) for t, p in moments.items()]
+            at = self.history().where(reduce(or_, early, F.lit(False))).groupBy("table_name").agg(
+                F.max("version").alias("version"))
+        else:
+            asked = self.spark.createDataFrame(list(moments.items()), "table_name string, pin_ts timestamp")
+            at = resolve_versions(self.history(), asked.withColumn("pin_version", F.lit(None).cast("bigint"))).where(
+                "resolved")
+        found |= {r.table_name: r.version for r in at.select("table_name", "version").collect()}
+        missing = sorted(f"{t} at {p}" for t, p in pins.items() if t not in found)
         if missing:
             raise ValueError(f"no version at or before the moment asked for: {', '.join(missing)}")
-        return {r.table_name: r.version for r in found}
+        return found
 
     def inputs_at(self, tables: list[str], anchor: datetime, overrides: dict | None = None,
                   copy_to: str | None = None) -> dict[str, DataFrame]:
@@ -88,13 +102,10 @@ class SnapshotStore:
 def materialise(spark: SparkSession, frames: dict[str, DataFrame], folder: str | None = None,
                 label: str = "run") -> dict[str, DataFrame]:
     """Writes every frame and reads it back, so that what follows does not compute it again."""
-    place = folder or new_folder(spark, label)
-    out = {}
-    for name, df in frames.items():
-        target = f"{place.rstrip('/')}/{name.replace('.', '__')}"
-        df.write.mode("overwrite").parquet(target)
-        out[name] = spark.read.schema(df.schema).parquet(target)
-    return out
+    place = (folder or new_folder(spark, label)).rstrip("/")
+    paths = {name: f"{place}/{name.replace('.', '__')}" for name in frames}
+    concurrently(spark, [partial(df.write.mode("overwrite").parquet, paths[n]) for n, df in frames.items()])
+    return {n: spark.read.schema(df.schema).parquet(paths[n]) for n, df in frames.items()}
 
 
 def prepare_pair(inputs: dict[str, DataFrame], sample_percent: float | None = None,
