@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint
 from .running import exact_median
@@ -104,3 +106,18 @@ def perf_gate(summary: DataFrame, min_gain: float | Column = MIN_GAIN, by: list[
         grouped.withColumn("gain", gain(F.col("before_s"), F.col("after_s"))).withColumn("min_gain", bound)
         .withColumn("passed", F.coalesce(F.col("gain") >= F.col("min_gain"), F.lit(False)))
     )
+
+
+def time_variants(spark: SparkSession, baseline: Callable[[], DataFrame], candidate: Callable[[], DataFrame],
+                  runs: int = 3) -> DataFrame:
+    """``(variant, run_no, seconds)`` of both, baseline first, in this session; run 0 is the warm-up.
+
+    Every run computes all rows and columns of the frame and drops them.
+    """
+    rows = []
+    for variant, make in (("baseline", baseline), ("candidate", candidate)):
+        for run in range(runs + 1):
+            began = time.perf_counter()
+            make().write.format("noop").mode("overwrite").save()
+            rows.append((variant, run, time.perf_counter() - began))
+    return spark.createDataFrame(rows, "variant string, run_no int, seconds double")

@@ -99,6 +99,18 @@ def worst_statements(statements: DataFrame, names: list[str], as_of: date | date
         .orderBy(F.desc("total_duration_ms"), "statement_id").limit(limit))
 
 
+def statement_signals(statements: DataFrame, names: list[str], as_of: date | datetime,
+                      lookback_days: int = STATEMENT_LOOKBACK_DAYS, min_duration_ms: int = 0,
+                      limit: int = TOP_STATEMENTS, whole_word: bool = False) -> DataFrame:
+    """One row: ``available``, ``matched_statements`` (up to ``limit``) and the longest one's columns."""
+    worst = worst_statements(statements, names, as_of, lookback_days, min_duration_ms, limit, whole_word)
+    columns = [n for n in worst.columns if n != "statement_text"]
+    return worst.agg(
+        F.count(F.lit(1)).alias("matched_statements"),
+        F.min_by(F.struct(*columns), F.struct(-F.col("total_duration_ms"), "statement_id")).alias("w"),
+    ).select((F.col("matched_statements") > 0).alias("available"), "matched_statements", "w.*")
+
+
 def worst_by_table(statements: DataFrame, targets: DataFrame, as_of: date | datetime,
                    lookback_days: int = STATEMENT_LOOKBACK_DAYS, min_duration_ms: int = 0,
                    limit: int = TOP_STATEMENTS, whole_word: bool = False) -> DataFrame:

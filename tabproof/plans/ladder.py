@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.floats import tier_epsilon
-from ..operators.counts import partition_count_diff
+from ..operators.counts import partition_count_diff, row_counts
 from ..operators.fingerprint import WHOLE_ROW, compare_fingerprints
 from ..operators.multiset import multiset_diff
 from ..operators.schema import contract_diff
@@ -73,7 +73,7 @@ def compare(spark: SparkSession, baseline: str | DataFrame, candidate: str | Dat
             tier: str = "semantics_preserving", epsilon: float | None = None,
             partition_cols: list[str] | None = None, baseline_is_full_recompute: bool = False,
             strict_types: bool = True, details: DataFrame | None = None,
-            distinct: str | None = None, target: str = "table") -> Verdict:
+            distinct: str | None = None, prefilter: bool = True, target: str = "table") -> Verdict:
     """Climb the ladder and return the verdict; raises only on unusable arguments.
 
     Tier ``refresh_change`` compares an incremental result, which proves
@@ -81,7 +81,9 @@ def compare(spark: SparkSession, baseline: str | DataFrame, candidate: str | Dat
     ``baseline_is_full_recompute``. ``details`` adds the contract rung.
     ``distinct`` adds distinct counts, ``approx`` or ``exact``, to the
     fingerprint; without them its checksums already tell such tables apart, and
-    the pass stays in generated code.
+    the pass stays in generated code. Where equality is the expected outcome,
+    ``prefilter=False`` leaves the fingerprint out, so that both tables are read
+    once for the proof; only rows are counted before.
     """
     tolerance = tier_epsilon(tier, epsilon)
     if tier == "refresh_change" and not baseline_is_full_recompute:
@@ -94,7 +96,7 @@ def compare(spark: SparkSession, baseline: str | DataFrame, candidate: str | Dat
         lambda: _contract(details),
         lambda: _schema(a, b, strict_types),
         lambda: _partitions(a, b, partition_cols),
-        lambda: _profile(a, b, tolerance, distinct),
+        lambda: _profile(a, b, tolerance, distinct) if prefilter else _rows(a, b),
         lambda: _multiset(a, b, tolerance, strict_types),
     ):
         verdict.rungs += climb()
@@ -125,13 +127,21 @@ def _schema(a: DataFrame, b: DataFrame, strict_types: bool) -> list[Rung]:
     return [Rung("schema", not problems, len(a.columns), len(b.columns), "; ".join(problems) or None)]
 
 
+def _row_count(left: int, right: int) -> Rung:
+    return Rung("row_count", left == right, left, right,
+                None if left == right else f"{left} rows became {right}")
+
+
+def _rows(a: DataFrame, b: DataFrame) -> list[Rung]:
+    found = row_counts(a, b).first()
+    return [_row_count(found["baseline_rows"], found["candidate_rows"])]
+
+
 def _profile(a: DataFrame, b: DataFrame, epsilon: float, distinct: str | None) -> list[Rung]:
     # The result has a few rows per column, whatever the size of the tables.
     metrics = compare_fingerprints(a, b, epsilon, distinct).collect()
     rows = next(m for m in metrics if m["column"] == WHOLE_ROW and m["metric"] == "rows")
-    left, right = int(rows["baseline"]), int(rows["candidate"])
-    counts = Rung("row_count", left == right, left, right,
-                  None if left == right else f"{left} rows became {right}")
+    counts = _row_count(int(rows["baseline"]), int(rows["candidate"]))
     if not counts.passed:
         return [counts]
     off = [m for m in metrics if not m["same"]]

@@ -100,6 +100,19 @@ def test_worst_statements(spark):
     assert statements.worst_statements(rows, ["t_1"], NOW, lookback_days=8).first().statement_id == "9"
 
 
+def test_signals_in_one_row(spark):
+    rows = log(spark, STATEMENT_ROWS)
+    found = statements.statement_signals(rows, ["t_1"], NOW).first()
+    assert (found.available, found.matched_statements, found.statement_id, found.spill_pct) == (True, 3, "2", 61.7)
+    none = statements.statement_signals(rows, ["absent"], NOW).first()
+    assert (none.available, none.matched_statements, none.statement_id) == (False, 0, None)
+
+
+def test_stopwatch(spark):
+    timings = runtime.time_variants(spark, lambda: spark.range(10), lambda: spark.range(20), runs=2)
+    assert {r.variant: r.runs for r in runtime.timing_summary(timings).collect()} == {"baseline": 2, "candidate": 2}
+
+
 def writes(spark, rows):
     full = [(t, v, datetime(2024, 1, 1), op, m) for t, v, op, m in rows]
     return spark.createDataFrame(full, shapes.WRITES)

@@ -19,7 +19,7 @@ from tabproof.functions import maps, names
 from tabproof.functions.floats import normalise_floats
 from tabproof.functions.scripts import nondeterminism_flags, remap_references
 from tabproof.operators import asof, dag, diagnosis, runtime, statements, writes
-from tabproof.plans import recipes
+from tabproof.plans import recipes, registered
 from tabproof.session import new_folder
 from tabproof.sources import audit as log, registry as reg, snapshots, storage
 
@@ -370,6 +370,30 @@ def perf_gate(v: Views) -> DataFrame:
     return runtime.perf_gate(summary, by=["job"]).withColumn("gain", F.round("gain", 9))
 
 
+_timed = """
+    SELECT 'job_' || (l_suppkey % 10) AS job_name, 'nb_' || l_suppkey AS notebook_path,
+           CASE WHEN l_linenumber % 2 = 0 THEN 'candidate' ELSE 'baseline' END AS variant,
+           l_linenumber // 2 AS run_no, sum(l_quantity) AS seconds
+    FROM lineitem GROUP BY 1, 2, 3, 4"""
+
+
+@query("""
+    SELECT job_name, notebook_path, before_s, after_s, round(g, 9) AS gain, g >= 0.2 AS passed FROM (
+        SELECT *, CASE WHEN coalesce(before_s, 0) = 0 THEN 0 ELSE (before_s - after_s) / before_s END AS g FROM (
+            SELECT t.job_name, t.notebook_path, median(seconds) FILTER (WHERE variant = 'baseline') AS before_s,
+                   median(seconds) FILTER (WHERE variant = 'candidate') AS after_s
+            FROM (SELECT *, min(run_no) OVER (PARTITION BY job_name, notebook_path, variant) AS first_run FROM timed) t
+            JOIN registry r ON r.job_name = t.job_name AND r.notebook_path = t.notebook_path
+            WHERE run_no > first_run AND run_no <= first_run + 3 GROUP BY 1, 2))""", timed=_timed)
+def perf_gate_registered(v: Views) -> DataFrame:
+    timings = v.lineitem.groupBy(
+        F.expr("concat('job_', l_suppkey % 10) AS job_name"), F.expr("concat('nb_', l_suppkey) AS notebook_path"),
+        F.expr("if(l_linenumber % 2 = 0, 'candidate', 'baseline') AS variant"),
+        F.expr("l_linenumber div 2 AS run_no")).agg(F.sum("l_quantity").alias("seconds"))
+    return registered.perf_gate_registered(timings, v.registry).select(
+        "job_name", "notebook_path", "before_s", "after_s", F.round("gain", 9).alias("gain"), "passed")
+
+
 TARGETS = ["lake.gold.t_1", "lake.gold.`t_20`"]
 
 
@@ -390,6 +414,17 @@ def worst_statements(v: Views) -> DataFrame:
         "statement_id", "total_duration_ms", "read_rows", "spilled_local_bytes", "spill_pct", "row_amplification")
 
 
+@query("""
+    SELECT count(*) > 0 AS available, count(*) AS matched_statements, first(statement_id ORDER BY total_duration_ms DESC, statement_id) AS statement_id,
+           max(total_duration_ms) AS total_duration_ms
+    FROM (SELECT * FROM recent_statements
+          WHERE contains(lower(statement_text), 't_1') OR contains(lower(statement_text), 't_20')
+          ORDER BY total_duration_ms DESC, statement_id LIMIT 50)""")
+def statement_signals(v: Views) -> DataFrame:
+    return statements.statement_signals(v.statement_log, TARGETS, STATEMENTS_AS_OF, STATEMENT_DAYS).select(
+        "available", "matched_statements", "statement_id", "total_duration_ms")
+
+
 @query("""
     SELECT table_name, place, statement_id, total_duration_ms, spill_pct, row_amplification FROM (
         SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY total_duration_ms DESC, statement_id) AS place
@@ -541,6 +576,20 @@ def scorecard_(v: Views) -> DataFrame:
     return scorecard(v.registry, v.audit_events).withColumn("last_event_ts", moment("last_event_ts"))
 
 
+@query("""
+    SELECT c.config_status, count(*) AS notebooks, count(e.eq_value) AS judged, (SELECT count(*) FROM audit WHERE status = 'failed') AS stopped,
+           (SELECT count(*) FROM audit) AS activity
+    FROM (SELECT job_name, notebook_path, status AS config_status FROM registry) c
+    LEFT JOIN latest e ON e.step = 'equivalence' AND e.job = c.job_name AND e.notebook = c.notebook_path
+    GROUP BY c.config_status""")
+def governance_views(v: Views) -> DataFrame:
+    log.register_views(v.registry, v.audit_events)
+    return v.spark.sql("""
+        SELECT config_status, count(*) AS notebooks, count(equivalence_result) AS judged,
+               (SELECT count(*) FROM v_guard_events) AS stopped, (SELECT count(*) FROM v_run_activity) AS activity
+        FROM v_optimization_scorecard GROUP BY config_status""")
+
+
 @query("SELECT job, notebook, step FROM missing")
 def missing_steps_(v: Views) -> DataFrame:
     return missing_steps(v.audit_events, v.audit_events)
@@ -966,6 +1015,6 @@ def repeatability_check(v: Views) -> DataFrame:
         v.lineitem)
 
 
-def named(registered: dict) -> dict:
+def named(entries: dict) -> dict:
     """Names as callers see them: functions that would hide an import end in an underscore here."""
-    return {name.rstrip("_"): value for name, value in registered.items()}
+    return {name.rstrip("_"): value for name, value in entries.items()}
