@@ -19,40 +19,49 @@ def dag_waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     depends_on)``. A dependency that is no task of the job counts as met. Tasks
     on a cycle, or after one, never become ready; they form one last wave.
 
-    Each round closes the edges whose dependency no longer waits for anything.
-    The rounds follow the depth of the deepest job and all jobs share them; the
-    open edges shrink every round, and nothing but their number reaches the
-    driver.
+    Tasks are numbered once, so that the rounds move pairs of numbers only. Each
+    round closes the edges whose dependency no longer waits for anything, two
+    waves at a time. Rounds follow the depth of the deepest job and all jobs
+    share them; the open edges shrink every round, and nothing but their number
+    reaches the driver.
     """
-    tasks = tasks.select(*TASK).distinct()
-    known = tasks.withColumnRenamed("task_key", "depends_on")
+    # Numbers are taken from the stored rows, which hold still when a task runs again.
+    numbered = checkpoint(tasks.select(*TASK).distinct()).withColumn("id", F.monotonically_increasing_id())
+    dependency = numbered.select("job_id", F.col("task_key").alias("depends_on"), F.col("id").alias("dep"))
     open_edges = checkpoint(
-        edges.select(*TASK, "depends_on").distinct()
-        .join(tasks, TASK, "left_semi").join(known, ["job_id", "depends_on"], "left_semi"))
+        edges.select(*TASK, "depends_on").distinct().join(numbered, TASK)
+        .join(dependency, ["job_id", "depends_on"]).select("id", "dep"))
     waiting = open_edges.count()
-    closed: list[DataFrame] = []
+    closed, wave = [], 0
     while waiting:
-        blocked = open_edges.select("job_id", F.col("task_key").alias("depends_on")).distinct()
+        first = _mark(open_edges, open_edges, "first")
+        second = _mark(first, first.where("first"), "second")
         seen = Observation()
         marked = checkpoint(
-            open_edges.join(blocked.withColumn("held", F.lit(True)), ["job_id", "depends_on"], "left")
-            .select(*TASK, "depends_on", F.coalesce("held", F.lit(False)).alias("held"))
-            .observe(seen, F.count_if("held").alias("still")))
+            second.select("id", "dep", F.expr(f"CASE WHEN NOT first THEN {wave + 1} WHEN NOT second THEN {wave + 2} END").alias("wave"))
+            .observe(seen, F.count_if(F.col("wave").isNull()).alias("still")))
         still = seen.get["still"]
         if still == waiting:
             break
-        closed.append(marked.where("NOT held").select(*TASK, F.lit(len(closed) + 1).alias("wave")))
-        open_edges, waiting = marked.where("held").drop("held"), still
+        closed.append(marked.where("wave IS NOT NULL").select("id", "wave"))
+        open_edges, waiting, wave = marked.where("wave IS NULL").select("id", "dep"), still, wave + 2
 
-    placed = tasks.withColumn("wave", F.lit(0))
-    placed = reduce(DataFrame.unionByName, closed, placed).groupBy(*TASK).agg(F.max("wave").alias("wave"))
+    start = numbered.select("id", F.lit(0).alias("wave"))
+    placed = reduce(DataFrame.unionByName, closed, start).groupBy("id").agg(F.max("wave").alias("wave"))
+    waves = numbered.join(placed, "id").select(*TASK, "id", "wave")
     if not waiting:
-        return placed
-    stuck = open_edges.select(*TASK).distinct()
-    ordered = placed.join(stuck, TASK, "left_anti")
+        return waves.drop("id")
+    stuck = open_edges.select("id").distinct()
+    ordered = waves.join(stuck, "id", "left_anti").drop("id")
     last = ordered.groupBy("job_id").agg((F.max("wave") + 1).alias("wave"))
-    return ordered.unionByName(
-        stuck.join(last, "job_id", "left").select(*TASK, F.coalesce("wave", F.lit(0)).alias("wave")))
+    late = numbered.join(stuck, "id", "left_semi").join(last, "job_id", "left")
+    return ordered.unionByName(late.select(*TASK, F.coalesce("wave", F.lit(0)).alias("wave")))
+
+
+def _mark(edges: DataFrame, waiting: DataFrame, name: str) -> DataFrame:
+    """Adds whether the dependency of an edge itself waits on one of the edges in ``waiting``."""
+    blocked = waiting.select(F.col("id").alias("dep")).distinct().withColumn(name, F.lit(True))
+    return edges.join(blocked, "dep", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def dag_order(tasks: DataFrame, edges: DataFrame) -> DataFrame:
