@@ -45,8 +45,8 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
                   lookback_days: int = RUN_LOOKBACK_DAYS) -> DataFrame:
     """Registry rows with their task's runtime, dearest first in each job.
 
-    Adds ``runs``, ``total_runtime_s``, ``cost_share`` (of all the job's tasks,
-    listed or not), ``ranked`` (the job has telemetry) and ``recommended`` (the
+    Adds ``runs``, ``total_runtime_s``, ``job_runtime_s`` (of all the job's tasks,
+    listed or not), ``cost_share`` of it, ``ranked`` (the job has telemetry) and ``recommended`` (the
     dearest notebook, by DAG order on ties, when it ran at all).
     """
     # The timeline is by far the largest input and is read once; its summary is used three times.
@@ -59,6 +59,7 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
             "total_runtime_s": F.coalesce("total_s", F.lit(0)),
             "cost_share": F.when(F.col("job_total_s") > 0,
                                  F.coalesce("total_s", F.lit(0)) / F.col("job_total_s")).otherwise(F.lit(0.0)),
+            "job_runtime_s": F.coalesce("job_total_s", F.lit(0)),
             "ranked": F.coalesce(F.col("job_total_s") > 0, F.lit(False)),
         })
         .drop("total_s", "job_total_s")
