@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import checkpoint
 from .running import ordered_position
+from .salting import hot_keys, spread_join
 
 TASK = ["job_id", "task_key"]
 
@@ -32,10 +33,12 @@ def dag_waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(*TASK, "depends_on").distinct().join(numbered, TASK)
         .join(dependency, ["job_id", "depends_on"]).select("id", "dep"))
     waiting = open_edges.count()
+    # A task that very many others depend on would otherwise gather its edges in one place.
+    hot = hot_keys(open_edges, "dep") if waiting else []
     closed, wave = [], 0
     while waiting:
-        first = _mark(open_edges, open_edges, "first")
-        second = _mark(first, first.where("first"), "second")
+        first = _mark(open_edges, open_edges, "first", hot)
+        second = _mark(first, first.where("first"), "second", hot)
         seen = Observation()
         marked = checkpoint(
             second.select("id", "dep", F.expr(f"CASE WHEN NOT first THEN {wave + 1} WHEN NOT second THEN {wave + 2} END").alias("wave"))
@@ -58,10 +61,10 @@ def dag_waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return ordered.unionByName(late.select(*TASK, F.coalesce("wave", F.lit(0)).alias("wave")))
 
 
-def _mark(edges: DataFrame, waiting: DataFrame, name: str) -> DataFrame:
+def _mark(edges: DataFrame, waiting: DataFrame, name: str, hot: list) -> DataFrame:
     """Adds whether the dependency of an edge itself waits on one of the edges in ``waiting``."""
     blocked = waiting.select(F.col("id").alias("dep")).distinct().withColumn(name, F.lit(True))
-    return edges.join(blocked, "dep", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return spread_join(edges, blocked, "dep", hot, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def dag_order(tasks: DataFrame, edges: DataFrame) -> DataFrame:

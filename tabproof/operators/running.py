@@ -23,17 +23,19 @@ PART, LINE = "__part", "__line"
 
 
 def _running(df: DataFrame, groups: list[str], order: list[str], value: Column, fold, combine,
-             name: str) -> DataFrame:
+             name: str, total: str | None = None) -> DataFrame:
+    """The running aggregate as ``name`` and, if asked for, the whole group's as ``total``."""
     placed = (
         checkpoint(df.withColumn("__value", value).orderBy(*[quoted(k) for k in [*groups, *order]]))
         .withColumns({PART: F.spark_partition_id(), LINE: F.monotonically_increasing_id()})
     )
     keys = [quoted(g) for g in groups]
-    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         placed.groupBy(*keys, PART).agg(fold("__value").alias("__total"))
         .select(*[c(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(PART).alias("__p"),
-                fold("__total").over(earlier).alias("__before"))
+                fold("__total").over(earlier).alias("__before"), fold("__total").over(whole).alias("__all"))
     )
     inside = Window.partitionBy(*keys, PART).orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
     same_run = reduce(lambda a, b: a & b,
@@ -41,14 +43,16 @@ def _running(df: DataFrame, groups: list[str], order: list[str], value: Column,
                       F.col(PART) == F.col("__p"))
     return (
         placed.withColumn("__here", fold("__value").over(inside)).join(carried, same_run)
-        .select(*[c(n) for n in df.columns], combine(F.col("__before"), F.col("__here")).alias(name))
+        .select(*[c(n) for n in df.columns], combine(F.col("__before"), F.col("__here")).alias(name),
+                *([F.col("__all").alias(total)] if total else []))
     )
 
 
-def running_sum(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over the group's rows up to and including this one."""
+def running_sum(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str,
+                total: str | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the group's rows up to and including this one, and over all as ``total``."""
     return _running(df, groups, order, value, F.sum,
-                    lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)), name)
+                    lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)), name, total)
 
 
 def running_max(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -61,24 +65,22 @@ def ordered_position(df: DataFrame, groups: list[str], order: list[str], name: s
     return running_sum(df, groups, order, F.lit(1).cast("bigint"), name).withColumn(name, c(name) - 1)
 
 
-def exact_median(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``groups``, ``value`` and the number ``n`` of rows with it; nulls are left out."""
+    return df.where(c(value).isNotNull()).groupBy(*[quoted(x) for x in [*groups, value]]).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def exact_median(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
     """``groups`` with ``n, median, least, greatest`` of ``value``; an even group's median is a mean of two.
 
-    Equal values are counted first, inside the tasks; the counts are then added
-    up along the values, so no group has to fit into one task. ``df`` is read
-    once.
+    Takes the result of :func:`value_counts`. Equal values are one row of it, and
+    the counts are added up along the values, so no group has to fit into one task.
     """
-    keys = [quoted(g) for g in groups]
-    counts = df.where(c(value).isNotNull()).groupBy(*keys, quoted(value)).agg(F.count(F.lit(1)).alias("__n"))
-    along = running_sum(counts, groups, [value], F.col("__n"), "__upto")
-    sizes = along.groupBy(*keys).agg(
-        F.max("__upto").alias("n"), F.min(c(value)).alias("least"), F.max(c(value)).alias("greatest"),
-    ).select(*[c(g).alias(f"__m{i}") for i, g in enumerate(groups)], "n", "least", "greatest")
-    same = reduce(lambda a, b: a & b, [c(g).eqNullSafe(F.col(f"__m{i}")) for i, g in enumerate(groups)])
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    holds = [(F.col("__upto") - F.col("__n") < m) & (m <= F.col("__upto")) for m in (lower, upper)]
-    return (
-        along.join(sizes, same).where(holds[0] | holds[1])
-        .groupBy(*keys, "n", "least", "greatest")
-        .agg(((F.max(F.when(holds[0], c(value))) + F.max(F.when(holds[1], c(value)))) / 2).alias("median"))
-    )
+    along = running_sum(counts, groups, [value], F.col("n"), "__upto", "__size")
+    lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
+    middle = [F.max(F.when((F.col("__upto") - F.col("n") < m) & (m <= F.col("__upto")), c(value)))
+              for m in (lower, upper)]
+    return along.groupBy(*[quoted(g) for g in groups]).agg(
+        F.max("__size").alias("n"), ((middle[0] + middle[1]) / 2).alias("median"),
+        F.min(c(value)).alias("least"), F.max(c(value)).alias("greatest"))

@@ -6,10 +6,10 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint
-from .running import exact_median
+from .running import exact_median, value_counts
 
 # Defaults of the telemetry window and the gain gate.
 RUN_LOOKBACK_DAYS = 30
@@ -52,8 +52,13 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
     # The timeline is by far the largest input and is read once; its summary is used three times.
     runtime = checkpoint(task_runtime(timeline, as_of, lookback_days))
     totals = runtime.groupBy("job_id").agg(F.sum("total_s").alias("job_total_s"))
-    costed = (
-        registry.join(runtime, ["job_id", "task_key"], "left").join(totals, "job_id", "left")
+    timed = registry.join(runtime, ["job_id", "task_key"], "left")
+    best = timed.where("total_s > 0").groupBy("job_id").agg(
+        F.min(F.struct((-F.col("total_s")).alias("cost"), "dag_order", "notebook_path")).alias("best"))
+    per_job = totals.join(best, "job_id", "left").select(
+        "job_id", "job_total_s", F.col("best.notebook_path").alias("pick"))
+    return (
+        timed.join(per_job, "job_id", "left")
         .withColumns({
             "runs": F.coalesce("runs", F.lit(0)),
             "total_runtime_s": F.coalesce("total_s", F.lit(0)),
@@ -61,15 +66,9 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
                                  F.coalesce("total_s", F.lit(0)) / F.col("job_total_s")).otherwise(F.lit(0.0)),
             "job_runtime_s": F.coalesce("job_total_s", F.lit(0)),
             "ranked": F.coalesce(F.col("job_total_s") > 0, F.lit(False)),
+            "recommended": F.coalesce(F.col("notebook_path") == F.col("pick"), F.lit(False)),
         })
-        .drop("total_s", "job_total_s")
-    )
-    best = costed.where("total_runtime_s > 0").groupBy("job_id").agg(
-        F.min(F.struct((-F.col("total_runtime_s")).alias("cost"), "dag_order", "notebook_path")).alias("best"))
-    return (
-        costed.join(best.select("job_id", F.col("best.notebook_path").alias("pick")), "job_id", "left")
-        .withColumn("recommended", F.coalesce(F.col("notebook_path") == F.col("pick"), F.lit(False)))
-        .drop("pick")
+        .drop("total_s", "job_total_s", "pick")
         .orderBy("job_id", F.desc("total_runtime_s"), "dag_order", "notebook_path")
     )
 
@@ -78,20 +77,32 @@ def timing_summary(timings: DataFrame, runs: int | None = None, warmup: bool = T
                    by: list[str] | None = None) -> DataFrame:
     """Median, least and greatest seconds of each variant, its warm-up run left out.
 
-    ``timings`` is ``(variant, run_no, seconds)`` plus any ``by`` columns. The
-    warm-up is the lowest run number; ``runs`` keeps that many runs after it.
+    ``timings`` is ``(variant, run_no, seconds)`` plus any ``by`` columns, one
+    row per run. The warm-up is the lowest run number; ``runs`` keeps that many
+    runs after it.
     """
     keys = [*(by or []), "variant"]
-    first = timings.groupBy(*keys).agg(F.min("run_no").alias("first_run"))
-    start = F.col("first_run") + (1 if warmup else 0)
-    kept = timings.join(first, keys).where(F.col("run_no") >= start)
     if runs is not None:
-        kept = kept.where(F.col("run_no") < start + runs)
-    return exact_median(kept, keys, "seconds").select(
+        kept = earliest_runs(timings, keys, runs + int(warmup)).where(F.col("nth") > int(warmup))
+        counts = value_counts(kept, keys, "seconds")
+    else:
+        counts = value_counts(timings, keys, "seconds")
+        if warmup:
+            # The warm-up is taken out of the counts, which spares a join of all runs with their first.
+            first = timings.groupBy(*keys).agg(F.min_by("seconds", "run_no").alias("seconds"))
+            counts = counts.unionByName(first.withColumn("n", F.lit(-1).cast("bigint"))).groupBy(
+                *keys, "seconds").agg(F.sum("n").alias("n")).where("n > 0")
+    return exact_median(counts, keys, "seconds").select(
         *keys, F.col("n").alias("runs"), F.col("median").alias("median_s"), F.col("least").alias("min_s"),
         F.col("greatest").alias("max_s"))
 
 
+def earliest_runs(timings: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` runs of every variant with their place ``nth``; limited inside the tasks first."""
+    order = Window.partitionBy(*keys).orderBy("run_no")
+    return timings.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
+
+
 def gain(before: Column, after: Column) -> Column:
     """Share of the time saved; 0 when there was none to save."""
     return F.when(F.coalesce(before, F.lit(0.0)) == 0, F.lit(0.0)).otherwise((before - after) / before)

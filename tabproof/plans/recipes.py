@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.names import c, quoted
 from ..operators.multiset import multiset_diff
+from ..operators.salting import BUCKETS, HOT_SHARE, hot_keys, row_salt, spread_join
 from ..sources.storage import refuse_rows, replace_partitions, total_bytes
 
 # Tier each recipe is checked under.
@@ -51,34 +52,10 @@ def broadcast_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "i
 
 # Salting ---------------------------------------------------------------------------------------
 
-def _salt(df: DataFrame, buckets: int) -> Column:
-    """A bucket from the row and the partition that holds it.
-
-    Copies of one row in different partitions get different buckets, and a task
-    that runs again gives the same ones.
-    """
-    return F.expr(f"int(pmod(xxhash64(spark_partition_id(), {', '.join(quoted(n) for n in df.columns)}), {buckets}))")
-
-
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """Keys that hold at least ``share`` of the rows: never more than ``1 / share`` of them."""
-    least = max(1, ceil(df.count() * share))
-    counts = df.where(c(key).isNotNull()).groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("__n"))
-    return [row[0] for row in counts.where(F.col("__n") >= least).select(quoted(key)).collect()]
-
-
-def salted_join(fact: DataFrame, dim: DataFrame, key: str, buckets: int = 16, share: float = 0.01) -> DataFrame:
-    """Inner join on ``key`` in which the rows of hot keys are spread over ``buckets``.
-
-    Only hot keys are salted, and only their rows of ``dim`` are repeated. Hot
-    keys are few by definition and enter the plan as literals.
-    """
-    hot = hot_keys(fact, key, share)
-    is_hot = c(key).isin(*hot) if hot else F.lit(False)
-    every = F.sequence(F.lit(0), F.lit(buckets - 1))
-    spread = fact.withColumn("__salt", F.when(is_hot, _salt(fact, buckets)).otherwise(F.lit(0)))
-    repeated = dim.withColumn("__salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return spread.join(repeated, [key, "__salt"]).drop("__salt")
+def salted_join(fact: DataFrame, dim: DataFrame, key: str, buckets: int = BUCKETS,
+                share: float = HOT_SHARE) -> DataFrame:
+    """Inner join on ``key`` in which the rows of keys with at least ``share`` of all rows are spread."""
+    return spread_join(fact, dim, key, hot_keys(fact, key, share), "inner", buckets)
 
 
 # How each kind of aggregate is taken over rows and over partial results.
@@ -86,14 +63,14 @@ MERGE = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}
 
 
 def salted_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]],
-                     buckets: int = 16) -> DataFrame:
+                     buckets: int = BUCKETS) -> DataFrame:
     """Group aggregate in two shuffles, the first of which spreads every key over ``buckets``.
 
     ``aggregates`` maps output names to ``(kind, column)``; kinds are those of
     :data:`MERGE`.
     """
     names = [quoted(k) for k in keys]
-    partial = df.withColumn("__salt", _salt(df, buckets)).groupBy(*names, "__salt").agg(
+    partial = df.withColumn("__salt", row_salt(df, buckets)).groupBy(*names, "__salt").agg(
         *[F.expr(f"{kind}({quoted(col)}) AS {quoted(out)}") for out, (kind, col) in aggregates.items()])
     return partial.groupBy(*names).agg(
         *[F.expr(f"{MERGE[kind]}({quoted(out)}) AS {quoted(out)}") for out, (kind, _) in aggregates.items()])

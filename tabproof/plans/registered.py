@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.floats import TIER_EPSILON
 from ..operators.keydiff import key_diff_summary
-from ..operators.runtime import MIN_GAIN, gain, timing_summary
+from ..operators.runtime import MIN_GAIN, earliest_runs, gain, timing_summary
 from ..sources.registry import DEFAULTS, ROW
 from .ladder import Rung, Verdict, compare
 
@@ -52,12 +52,12 @@ def perf_gate_registered(timings: DataFrame, registry: DataFrame) -> DataFrame:
     """
     wanted = registry.select(*ROW, F.coalesce("min_gain", F.lit(MIN_GAIN)).alias("min_gain"),
                              F.coalesce("benchmark_runs", F.lit(DEFAULTS["benchmark_runs"])).alias("benchmark_runs"))
-    first = timings.groupBy(*ROW, "variant").agg(F.min("run_no").alias("first_run"))
+    most = registry.agg(F.max("benchmark_runs")).first()[0] or DEFAULTS["benchmark_runs"]
     counted = (
-        timings.join(first, [*ROW, "variant"]).join(wanted, ROW)
-        .where(F.col("run_no") <= F.col("first_run") + F.col("benchmark_runs"))
+        earliest_runs(timings, [*ROW, "variant"], most + 1).join(wanted, ROW)
+        .where((F.col("nth") > 1) & (F.col("nth") <= F.col("benchmark_runs") + 1))
     )
-    medians = timing_summary(counted.select(*timings.columns), by=ROW)
+    medians = timing_summary(counted.select(*timings.columns), by=ROW, warmup=False)
     pair = medians.groupBy(*ROW).agg(
         F.max(F.when(F.col("variant") == "baseline", F.col("median_s"))).alias("before_s"),
         F.max(F.when(F.col("variant") == "candidate", F.col("median_s"))).alias("after_s"))

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabproof import require_equivalent
+from tabproof import multiset_diff, require_equivalent
 from tabproof.functions.scripts import nondeterminism_flags, remap_references
+from tabproof.operators.salting import hot_keys, row_salt, spread_join
 from tabproof.plans import recipes
 from workload.queries import price_band, price_band_udf
 
@@ -33,13 +34,22 @@ def test_salted_join(spark, views):
     fact = views.lineitem.selectExpr("CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_suppkey END AS s_suppkey",
                                      "l_orderkey", "l_extendedprice").repartition(5)
     dim = views.table("supplier").unionByName(views.table("supplier").where("s_suppkey = 1"))
-    assert 1 in recipes.hot_keys(fact, "s_suppkey", 0.2) and len(recipes.hot_keys(fact, "s_suppkey", 0.01)) <= 100
+    assert 1 in hot_keys(fact, "s_suppkey", 0.2) and len(hot_keys(fact, "s_suppkey", 0.01)) <= 100
     proves(spark, fact.join(dim, "s_suppkey"), recipes.salted_join(fact, dim, "s_suppkey", share=0.2), "salting")
 
 
+def test_spread_left_join_keeps_unmatched_rows(spark):
+    fact = spark.range(600).selectExpr("if(id % 3 = 0, 1, if(id % 3 = 1, id, NULL)) AS k", "id")
+    dim = spark.createDataFrame([(1, "hot"), (4, "four"), (9999, "none")], "k bigint, v string")
+    spread = spread_join(fact, dim, "k", [1], "left")
+    assert multiset_diff(fact.join(dim, "k", "left"), spread, 0.0).first().passed
+    with pytest.raises(ValueError):
+        spread_join(fact, dim, "k", [1], "full")
+
+
 def test_salt_splits_copies_of_one_row(spark):
     copies = spark.range(800).selectExpr("1 AS k", "'x' AS v").repartition(8)
-    salts = copies.withColumn("salt", recipes._salt(copies, 16)).groupBy("salt").count()
+    salts = copies.withColumn("salt", row_salt(copies, 16)).groupBy("salt").count()
     assert salts.count() >= 3
 
 
