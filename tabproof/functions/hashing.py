@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
-# Low bits of a hash that are summed: 2**43 rows fit a long before it overflows.
-SUM_MASK = (1 << 20) - 1
+# Bits of a hash that are summed at a time: 2**43 rows fit a long before it overflows.
+SUM_BITS = 20
+SUM_MASK = (1 << SUM_BITS) - 1
 
 
 def has_map(dtype: T.DataType) -> bool:
@@ -45,6 +46,11 @@ def hash_total(hashed: str) -> str:
     return f"coalesce(sum({hashed} & {SUM_MASK}L), 0L)"
 
 
+def hash_totals(hashed: str) -> list[str]:
+    """SQL texts: checksums of three stretches of the hash, nearly all of its bits."""
+    return [f"coalesce(sum(shiftright({hashed}, {SUM_BITS * i}) & {SUM_MASK}L), 0L)" for i in range(3)]
+
+
 def sample_slot(keys: list[Column], seed: int) -> Column:
     """A number in ``[0, 2**32)`` that depends only on the seed and the key values.
 

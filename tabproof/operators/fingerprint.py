@@ -1,4 +1,4 @@
-"""Per-column fingerprint of two tables in one pass, and its comparison.
+"""Per-column fingerprint of two tables, and its comparison.
 
 The fingerprint is a filter ahead of the exact difference, never proof. Every
 metric is free of row order, so equal tables agree whatever their file layout:
@@ -13,15 +13,17 @@ build for tables with hundreds of columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.floats import FLOATING, INTEGRAL, close, close_sums, rounded
-from ..functions.hashing import has_map, hash_total, ordered_maps, row_hash
+from ..functions.hashing import has_map, hash_total, hash_totals, ordered_maps, row_hash
 from ..functions.names import c, literal
 from .sides import BASELINE, CANDIDATE, SIDE, both_sides, shared_fields
 
 LIMB_BITS = 22
+COLUMNS_PER_PASS = 32
 WHOLE_ROW = "*"
 # The estimate counts distinct hashes, which are cheaper to feed to it than the values.
 DISTINCT_SQL = {"approx": "approx_count_distinct(if({v} IS NULL, NULL, {h}))", "exact": "count(DISTINCT {v})", None: None}
@@ -74,8 +76,42 @@ def _metrics(name: str, dtype: T.DataType, v: str, h: str, distinct: str | None)
     return out
 
 
+def _normalised(baseline: DataFrame, candidate: DataFrame, names: list[str], epsilon: float,
+                ) -> tuple[DataFrame, list[T.StructField], list[str]]:
+    """Both sides with columns ``v0, v1, ...`` holding the values as they are compared."""
+    sides = both_sides(baseline, candidate, names)
+    fields = [f for f in sides.schema.fields if f.name != SIDE]
+    for f in fields:
+        if has_map(f.dataType):
+            sides = sides.withColumn(f.name, ordered_maps(c(f.name), f.dataType))
+    values = [f"v{i}" for i in range(len(fields))]
+    return sides.selectExpr(SIDE, *[f"{rounded(f.name, f.dataType, epsilon)} AS {v}"
+                                    for f, v in zip(fields, values)]), fields, values
+
+
+def row_checksums(baseline: DataFrame, candidate: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """One row: ``baseline_rows, candidate_rows, same``; whether the checksums of all whole rows agree.
+
+    The cheapest look at every value: one hash and four sums per row, however
+    many columns there are. Equal tables always agree; others do so by accident
+    once in 2**60.
+    """
+    names = [f.name for f in shared_fields(baseline, candidate)]
+    rows, _, values = _normalised(baseline, candidate, names, epsilon)
+    # A null hashes to a constant, where hashing several columns at once would skip it.
+    hashed = row_hash([f"xxhash64({v})" for v in values]) if values else "1L"
+    per_side = rows.selectExpr(SIDE, f"{hashed} AS h").groupBy(SIDE).agg(
+        F.expr("count(1) AS n"), F.expr(f"array({', '.join(hash_totals('h'))}) AS totals"))
+    return per_side.agg(*[
+        F.expr(f"max(if({SIDE} = {flag}, {name}, NULL)) AS {name}_{tag}")
+        for name in ("n", "totals") for tag, flag in (("b", BASELINE), ("k", CANDIDATE))
+    ]).selectExpr("coalesce(n_b, 0L) AS baseline_rows", "coalesce(n_k, 0L) AS candidate_rows",
+                  "totals_b <=> totals_k AS same")
+
+
 def compare_fingerprints(baseline: DataFrame, candidate: DataFrame, epsilon: float = 1e-6,
-                         distinct: str | None = "approx", whole_row: bool = True) -> DataFrame:
+                         distinct: str | None = "approx", whole_row: bool = True,
+                         columns_per_pass: int = COLUMNS_PER_PASS) -> DataFrame:
     """Rows ``(column, metric, baseline, candidate, same)`` over the columns both tables have.
 
     ``distinct`` is ``approx`` (default), ``exact`` or ``None``. Metrics:
@@ -84,29 +120,42 @@ def compare_fingerprints(baseline: DataFrame, candidate: DataFrame, epsilon: flo
     the checksum covers whole rows, which also catches values that moved
     between rows. Values are shown as doubles; counts, checksums and integer
     totals are compared in full length.
+
+    Tables with more than ``columns_per_pass`` columns are aggregated some
+    columns at a time, each pass reading only its own: one aggregate over
+    hundreds of columns outgrows what can be compiled and runs many times slower.
     """
     if distinct not in DISTINCT_SQL:
         raise ValueError(f"distinct must be 'approx', 'exact' or None, got {distinct!r}")
-    sides = both_sides(baseline, candidate, [f.name for f in shared_fields(baseline, candidate)])
-    fields = [f for f in sides.schema.fields if f.name != SIDE]
-    for f in fields:
-        if has_map(f.dataType):
-            sides = sides.withColumn(f.name, ordered_maps(c(f.name), f.dataType))
-    values = {f.name: f"v{i}" for i, f in enumerate(fields)}
-    hashes = {f.name: f"h{i}" for i, f in enumerate(fields)}
+    names = [f.name for f in shared_fields(baseline, candidate)]
+    if len(names) <= columns_per_pass:
+        return _fingerprint_pass(baseline, candidate, names, epsilon, distinct, True, whole_row)
+    passes = [names[i:i + columns_per_pass] for i in range(0, len(names), columns_per_pass)]
+    parts = [_fingerprint_pass(baseline, candidate, part, epsilon, distinct, False, False) for part in passes]
+    checks = row_checksums(baseline, candidate, epsilon)
+    listed = ["struct('rows' AS metric, double(baseline_rows) AS baseline, double(candidate_rows) AS candidate, "
+              "baseline_rows = candidate_rows AS same)"]
+    if whole_row:
+        listed.append("struct('content' AS metric, double(NULL) AS baseline, double(NULL) AS candidate, same AS same)")
+    whole = checks.selectExpr(f"'{WHOLE_ROW}' AS `column`", f"inline(array({', '.join(listed)}))")
+    return reduce(DataFrame.unionByName, parts, whole)
+
+
+def _fingerprint_pass(baseline: DataFrame, candidate: DataFrame, names: list[str], epsilon: float,
+                      distinct: str | None, count_rows: bool, whole_row: bool) -> DataFrame:
+    """The fingerprint of some columns in one aggregate."""
+    rows, fields, values = _normalised(baseline, candidate, names, epsilon)
+    hashes = [f"h{i}" for i in range(len(values))]
     # A null hashes to a constant, so every hash is a number and nulls weigh in too.
-    normalised = (
-        sides.selectExpr(SIDE, *[f"{rounded(f.name, f.dataType, epsilon)} AS {values[f.name]}" for f in fields])
-        .selectExpr("*", *[f"xxhash64({values[f.name]}) AS {hashes[f.name]}" for f in fields])
-    )
+    hashed = rows.selectExpr("*", *[f"xxhash64({v}) AS {h}" for v, h in zip(values, hashes)])
 
-    metrics = [Metric(WHOLE_ROW, "rows", "count(1)", counted=True)]
+    metrics = [Metric(WHOLE_ROW, "rows", "count(1)", counted=True)] if count_rows else []
     if whole_row and fields:
-        metrics.append(Metric(WHOLE_ROW, "content", hash_total(row_hash(list(hashes.values()))), counted=True))
-    for f in fields:
-        metrics += _metrics(f.name, f.dataType, values[f.name], hashes[f.name], distinct)
+        metrics.append(Metric(WHOLE_ROW, "content", hash_total(row_hash(hashes)), counted=True))
+    for f, v, h in zip(fields, values, hashes):
+        metrics += _metrics(f.name, f.dataType, v, h, distinct)
     # Two rows at most leave this step, one per side: an empty side has none.
-    per_side = normalised.groupBy(SIDE).agg(
+    per_side = hashed.groupBy(SIDE).agg(
         *[F.expr(f"{m.sql} AS m{i}") for i, m in enumerate(metrics)],
         *[F.expr(f"{m.scale} AS s{i}") for i, m in enumerate(metrics) if m.scale])
 
@@ -116,8 +165,7 @@ def compare_fingerprints(baseline: DataFrame, candidate: DataFrame, epsilon: flo
         f"'exact', {f'string(m{i})' if m.rule == 'exact' else 'string(NULL)'}, "
         f"'number', double(m{i}), 'scale', {f's{i}' if m.scale else 'double(NULL)'})"
         for i, m in enumerate(metrics))
-    long = per_side.selectExpr(
-        SIDE, f"inline(array({listed}))")
+    long = per_side.selectExpr(SIDE, f"inline(array({listed}))")
 
     paired = long.groupBy("id", "column", "metric", "rule", "counted").agg(*[
         F.expr(f"max(if({SIDE} = {flag}, {name}, NULL)) AS {name}_{tag}")

@@ -1,9 +1,10 @@
 """The equivalence ladder: cheapest check first, stop at the first divergence.
 
 Rungs: contract (optional), schema, row counts per partition (optional, reads
-only the partition columns), counts and fingerprint (one pass over both
-tables), and the exact multiset difference, which alone is proof. A failed rung
-makes the later, dearer ones unnecessary.
+only the partition columns), counts and checksums of whole rows (one pass over
+both tables, with the per-column fingerprint only where they differ), and the
+exact multiset difference, which alone is proof. A failed rung makes the later,
+dearer ones unnecessary.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.floats import tier_epsilon
 from ..operators.counts import partition_count_diff, row_counts
-from ..operators.fingerprint import WHOLE_ROW, compare_fingerprints
+from ..operators.fingerprint import compare_fingerprints, row_checksums
 from ..operators.multiset import multiset_diff
 from ..operators.schema import contract_diff
 from ..operators.sides import as_frame, schema_problems
@@ -80,10 +81,9 @@ def compare(spark: SparkSession, baseline: str | DataFrame, candidate: str | Dat
     something only against a full recompute, so it is refused without
     ``baseline_is_full_recompute``. ``details`` adds the contract rung.
     ``distinct`` adds distinct counts, ``approx`` or ``exact``, to the
-    fingerprint; without them its checksums already tell such tables apart, and
-    the pass stays in generated code. Where equality is the expected outcome,
-    ``prefilter=False`` leaves the fingerprint out, so that both tables are read
-    once for the proof; only rows are counted before.
+    fingerprint that explains a difference. Where equality is the expected
+    outcome, ``prefilter=False`` leaves checksums and fingerprint out, so that
+    both tables are read once for the proof; only rows are counted before.
     """
     tolerance = tier_epsilon(tier, epsilon)
     if tier == "refresh_change" and not baseline_is_full_recompute:
@@ -138,15 +138,17 @@ def _rows(a: DataFrame, b: DataFrame) -> list[Rung]:
 
 
 def _profile(a: DataFrame, b: DataFrame, epsilon: float, distinct: str | None) -> list[Rung]:
-    # The result has a few rows per column, whatever the size of the tables.
-    metrics = compare_fingerprints(a, b, epsilon, distinct).collect()
-    rows = next(m for m in metrics if m["column"] == WHOLE_ROW and m["metric"] == "rows")
-    counts = _row_count(int(rows["baseline"]), int(rows["candidate"]))
+    """Rows and checksums of whole rows first; columns are looked at one by one only when these differ."""
+    found = row_checksums(a, b, epsilon).first()
+    counts = _row_count(found["baseline_rows"], found["candidate_rows"])
     if not counts.passed:
         return [counts]
-    off = [m for m in metrics if not m["same"]]
+    if found["same"]:
+        return [counts, Rung("fingerprint", True, 0, 0)]
+    # A few rows per column, whatever the size of the tables.
+    off = compare_fingerprints(a, b, epsilon, distinct).where("NOT same").collect()
     text = "; ".join(f"{m['column']}.{m['metric']}: {m['baseline']} became {m['candidate']}" for m in off)
-    return [counts, Rung("fingerprint", not off, len(off), len(off), text or None)]
+    return [counts, Rung("fingerprint", False, len(off), len(off), text or "checksums of whole rows differ")]
 
 
 def _partitions(a: DataFrame, b: DataFrame, partition_cols: list[str] | None) -> list[Rung]:

@@ -11,6 +11,7 @@ from pyspark.sql import Window, functions as F
 from tabproof import compare_fingerprints, key_classes, multiset_diff
 from tabproof.operators.asof import resolve_versions
 from tabproof.operators.dag import dag_order
+from tabproof.operators.fingerprint import row_checksums
 from tabproof.operators.running import exact_median, ordered_position, running_max, running_sum, value_counts
 
 SLOW = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -38,6 +39,7 @@ def test_signed_pass_equals_except_all(spark, a, b):
     left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
     found = multiset_diff(left, right).first()
     assert (found.baseline_only, found.candidate_only) == expected
+    assert row_checksums(left, right).first().same == (expected == (0, 0))
     if expected == (0, 0):
         assert compare_fingerprints(left, right).where("NOT same").count() == 0
 

@@ -1,6 +1,7 @@
 """Versions, pins, samples, and the comparison of whole flows."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tabproof import AuditLog, SnapshotStore, compare_flows, flow_rollup, sample
 from tabproof.functions.names import require_three_parts, sandbox_fqn, sandbox_name, short_name, split_fqn
 from tabproof.operators.asof import latest_versions, require_resolved, resolve_versions
 from tabproof.plans.flow import failed_targets
+from tabproof.session import shared_dir
 from tabproof.sources.snapshots import prepare_pair, read_version, write_versions
 from workload.queries import revenue_flow, revenue_flow_salted
 
@@ -152,3 +154,26 @@ def test_replay(spark, views, folder):
     assert not wrong_inputs.passed
     assert validate_replay(spark, "j", revenue_flow, store, anchor_before=DAY[0], anchor_after=DAY[1],
                            table_pins={"orders": 1}, target_pins={"by_customer": 1, "by_status": DAY[7]}, **options).passed
+
+
+def test_clusters_must_name_their_shared_folder(spark):
+    class Context:
+        def __init__(self, master, named=None):
+            self.master, self.named, self.dir = master, named, None
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.named}
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, place):
+            self.dir = place
+
+    def session(context):
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session(Context("yarn")))
+    named = Context("yarn", "hdfs:///shared")
+    assert shared_dir(session(named)) == "hdfs:///shared" and named.dir == "hdfs:///shared"
