@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import token_counts
 from .packing import Limits, pack
+from .passages import repeated_passages
 from .simhash import simhash_components
 from .text import read
 
@@ -37,3 +38,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
+
+
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"), least=50)
