@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import token_counts
+from .decontaminate import contaminated
 from .packing import Limits, pack
 from .passages import repeated_passages
 from .simhash import simhash_components
@@ -43,3 +44,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"), least=50)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), similarity=0.8)
