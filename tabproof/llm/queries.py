@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import token_counts
 from .decontaminate import contaminated
+from .licenses import scan_licenses
 from .packing import Limits, pack
 from .passages import repeated_passages
 from .simhash import simhash_components
 from .text import read
+from .urls import Rule, filter_urls, url_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,38 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+#: Parts of a host's name that put its pages on the list.
+UNWANTED = "(^|[.-])(casino|bets?|pills|adult|spam|ads)([.-]|$)"
+RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+         Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs of the pages whose host has an unwanted name."""
+    pages = read(spark, sf_dir, "pages")
+    listed = pages.where(url_parts(F.col("url"))[0].rlike(UNWANTED)).select("url")
+    return filter_urls(pages, listed, RULES).drop("listed")
+
+
+_CANON = "regexp_replace(host, '^(www\\.|m\\.)+', '') || regexp_replace(path, '(/index)?(\\.html?)?/*$', '')"
+_FITS = "(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
+_CASES = {k: " ".join(f"WHEN {_FITS.format(h=r.host, p=r.path)} THEN '{k(r)}'" for r in sorted(RULES, key=lambda r: -len(r.text)))
+          for k in (lambda r: r.text, lambda r: r.verdict)}
+_rule, _verdict = _CASES.values()
+ORACLES["op6_url_filter"] = f"""
+    WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+    c AS (SELECT *, CASE WHEN host <> '' THEN {_CANON} END AS canon FROM b),
+    d AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '{UNWANTED}'))
+    SELECT page_id, host, path, CASE {_rule} END AS rule,
+           CASE {_verdict} WHEN canon IN (SELECT canon FROM d WHERE canon IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+    FROM c"""
