@@ -12,6 +12,7 @@ from .decontaminate import contaminated
 from .licenses import scan_licenses
 from .packing import Limits, pack
 from .passages import repeated_passages
+from .quality import quality_scores
 from .simhash import simhash_components
 from .text import read
 from .urls import Rule, filter_urls, url_parts
@@ -86,3 +87,8 @@ ORACLES["op6_url_filter"] = f"""
     SELECT page_id, host, path, CASE {_rule} END AS rule,
            CASE {_verdict} WHEN canon IN (SELECT canon FROM d WHERE canon IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
     FROM c"""
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), examples=10_000)
