@@ -12,6 +12,7 @@ from .decontaminate import contaminated
 from .licenses import scan_licenses
 from .packing import Limits, pack
 from .passages import repeated_passages
+from .perplexity import quality_rules
 from .quality import quality_scores
 from .simhash import simhash_components
 from .text import read
@@ -92,3 +93,8 @@ ORACLES["op6_url_filter"] = f"""
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), examples=10_000)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), width=4.0)
