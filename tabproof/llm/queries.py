@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import token_counts
 from .decontaminate import contaminated
 from .licenses import scan_licenses
+from .lm import pseudo_likelihood
 from .packing import Limits, pack
 from .passages import repeated_passages
 from .perplexity import quality_rules
@@ -98,3 +99,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), width=4.0)
+
+
+@query
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
