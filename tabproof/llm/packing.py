@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .bpe import END, is_latin, pretokens
+from .bpe import END, PRETOKEN_LATIN, is_latin
 from .text import as_bytes, batch_of
 
 END_OF_DOCUMENT = 2
@@ -59,23 +60,25 @@ class WordIds:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = words - self.known.keys()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = words
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        plain, alone, parts = [], [], set()
+        plain, owns, alone, parts = [], [], [], set()
         for w in new:
             text = w.decode("utf-8", "replace")
             if b"<|" in w or not is_latin(text):
                 alone.append((w, text))
-            else:
-                plain.append((w, own := pretokens(text)))
-                parts.update(own)
-        self.learn_parts(list(parts - self.parts.keys()))
-        for w, own in plain:
-            self.known[w] = b"".join([self.parts[x] for x in own])
+                continue
+            own = PRETOKEN_LATIN.findall(text.lower())
+            plain.append(w)
+            owns.append(own[0] if len(own) == 1 else own)
+            parts.update(own)
+        self.learn_parts([x for x in parts if x not in self.parts])
+        get = self.parts.__getitem__
+        self.known.update(zip(plain, [get(x) if type(x) is str else b"".join(map(get, x)) for x in owns]))
         for (w, _), ids in zip(alone, self.encode([t for _, t in alone])):
             self.known[w] = ids.tobytes()
 
@@ -93,7 +96,11 @@ class WordIds:
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.split() for t in texts]
+        collecting = gc.isenabled()
+        gc.disable()  # many small containers without cycles
         self.learn(set().union(*words))
+        if collecting:
+            gc.enable()
         for w in words:
             yield b"".join(map(self.known.__getitem__, w))
 
