@@ -93,7 +93,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
     sizes = [r["words"] for r in table.select("words").distinct().collect()]
     context = docs.sparkSession.sparkContext
     both = [context.broadcast(gate(table, sized)) for sized in (False, True)]
-    texts = as_bytes(docs.where(F.col(doc_id).isNotNull()).withColumnRenamed(doc_id, "doc_id"), "doc_id", text=text)
+    texts = as_bytes(docs.where(F.col(doc_id).isNotNull()), doc_id, text=text, names=("doc_id",))
     share = 2 * similarity / (1 + similarity)
 
     def windows(i, utf8):

@@ -42,9 +42,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def as_bytes(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
-    """The id columns and the whole text as UTF-8, a null text as an empty one."""
-    return df.select(*[F.col(i) for i in ids], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("utf8"))
+def as_bytes(df: DataFrame, *ids: str, text: str = "text", names: tuple[str, ...] = ()) -> DataFrame:
+    """The id columns (under ``names``, if given) and the whole text as UTF-8, a null text as an empty one."""
+    return df.select(*[F.col(i).alias(n) for i, n in zip(ids, names or ids)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("utf8"))
 
 
 def spaced_words(utf8: bytes) -> list[bytes]:
