@@ -2,72 +2,121 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import checkpoint
 from .running import ordered_position
-from .salting import hot_keys, spread_join
 
 TASK = ["job_id", "task_key"]
+# Tasks and edges of a job that are put in order by one task of Spark; larger jobs go through rounds.
+IN_ONE_TASK = 500_000
 
 
-def dag_waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(job_id, task_key, wave)``: a task's wave is one after the last of its dependencies.
+def dag_order(tasks: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """``(job_id, task_key, wave, dag_order)``: consecutive from 0 in each job, by wave, then by name.
 
     ``tasks`` is ``(job_id, task_key)``, ``edges`` is ``(job_id, task_key,
-    depends_on)``. A dependency that is no task of the job counts as met. Tasks
-    on a cycle, or after one, never become ready; they form one last wave.
-
-    Tasks are numbered once, so that the rounds move pairs of numbers only. Each
-    round closes the edges whose dependency no longer waits for anything, two
-    waves at a time. Rounds follow the depth of the deepest job and all jobs
-    share them; the open edges shrink every round, and nothing but their number
-    reaches the driver.
+    depends_on)``. A task's wave is one after the last of its dependencies; one
+    that is no task of the job counts as met. Tasks on a cycle, or after one,
+    never become ready; they form one last wave.
+
+    A job of up to ``in_one_task`` tasks and edges is one group of one shuffle,
+    whatever its depth. Larger ones are ordered by joins, see :func:`_by_rounds`.
+    """
+    rows = tasks.select(*TASK, F.lit(None).cast(dict(tasks.dtypes)["task_key"]).alias("depends_on"), F.lit(False).alias("edge")).unionByName(
+        edges.select(*TASK, "depends_on", F.lit(True).alias("edge")))
+    large = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_one_task).select("job_id")
+    types = dict(tasks.dtypes)
+    schema = f"job_id {types['job_id']}, task_key {types['task_key']}, wave int, dag_order bigint"
+    if large.isEmpty():
+        return rows.groupBy("job_id").applyInPandas(_order, schema)
+    large = checkpoint(large)
+    small = rows.join(large, "job_id", "left_anti").groupBy("job_id").applyInPandas(_order, schema)
+    waves = _by_rounds(tasks.join(large, "job_id", "left_semi"), edges.join(large, "job_id", "left_semi"))
+    return small.unionByName(ordered_position(waves, ["job_id"], ["wave", "task_key"], "dag_order"))
+
+
+def dag_waves(tasks: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """``(job_id, task_key, wave)``, see :func:`dag_order`."""
+    return dag_order(tasks, edges, in_one_task).drop("dag_order")
+
+
+def _order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Tasks of one job in order."""
+    marked = rows["edge"].to_numpy()
+    names = set(rows.loc[~marked, "task_key"])
+    waits, needed_by = defaultdict(int), defaultdict(list)
+    for task, dep in set(zip(rows.loc[marked, "task_key"], rows.loc[marked, "depends_on"])):
+        if task in names and dep in names and task is not None and dep is not None:
+            waits[task] += 1
+            needed_by[dep].append(task)
+    wave, level = {}, 0
+    ready = [t for t in names if not waits[t]]
+    while ready:
+        wave.update(dict.fromkeys(ready, level))
+        after = []
+        for later in [x for t in ready for x in needed_by[t]]:
+            waits[later] -= 1
+            if not waits[later]:
+                after.append(later)
+        ready, level = after, level + 1
+    ordered = sorted(((wave.get(t, level), t is not None, t) for t in names), key=lambda x: x[:2] + (x[2] or "",))
+    return pd.DataFrame({"job_id": rows["job_id"].iloc[0], "task_key": [t for *_, t in ordered],
+                         "wave": [w for w, *_ in ordered], "dag_order": range(len(ordered))})
+
+
+def _by_rounds(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(job_id, task_key, wave)`` by joins over numbered tasks.
+
+    First, tasks with a single dependency are hung on the nearest ancestor that
+    has none or several, by doubling the pointers: the rounds follow the
+    logarithm of a chain's length. What is left, tasks with several
+    dependencies, closes one wave a round; only their number reaches the driver.
     """
     # Numbers are taken from the stored rows, which hold still when a task runs again.
     numbered = checkpoint(tasks.select(*TASK).distinct()).withColumn("id", F.monotonically_increasing_id())
     dependency = numbered.select("job_id", F.col("task_key").alias("depends_on"), F.col("id").alias("dep"))
-    open_edges = checkpoint(
+    linked = checkpoint(
         edges.select(*TASK, "depends_on").distinct().join(numbered, TASK)
         .join(dependency, ["job_id", "depends_on"]).select("id", "dep"))
-    waiting = open_edges.count()
-    # A task that very many others depend on would otherwise gather its edges in one place.
-    hot = hot_keys(open_edges, "dep") if waiting else []
-    closed, wave = [], 0
-    while waiting:
-        first = _mark(open_edges, open_edges, "first", hot)
-        second = _mark(first, first.where("first"), "second", hot)
+    degree = linked.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dep").alias("dep"))
+    single = checkpoint(degree.where("n = 1").select("id", "dep", F.lit(1).alias("steps")))
+    moved, before = single.count(), -1
+    while moved and moved != before:
+        onward, seen = single.select(F.col("id").alias("dep"), F.col("dep").alias("next"), F.col("steps").alias("more")), Observation()
+        single = checkpoint(
+            single.join(onward, "dep", "left").observe(seen, F.count("next").alias("moved"))
+            .select("id", F.coalesce("next", "dep").alias("dep"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        # Pointers that never stop moving are on cycles or lead into one.
+        before, moved = moved, seen.get["moved"]
+    hung = single.select(F.col("id").alias("dep"), F.col("dep").alias("root"), "steps")
+    several = linked.join(degree.where("n > 1").select("id"), "id", "left_semi")
+    waiting = checkpoint(several.join(hung, "dep", "left").select(
+        "id", F.coalesce("root", "dep").alias("dep"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(0).alias("best")))
+    count = waiting.count()
+    free = numbered.select("id").join(linked.select("id").distinct(), "id", "left_anti").withColumn("wave", F.lit(0))
+    known, fresh = [free], free
+    while count:
         seen = Observation()
-        marked = checkpoint(
-            second.select("id", "dep", F.expr(f"CASE WHEN NOT first THEN {wave + 1} WHEN NOT second THEN {wave + 2} END").alias("wave"))
-            .observe(seen, F.count_if(F.col("wave").isNull()).alias("still")))
-        still = seen.get["still"]
-        if still == waiting:
+        merged = checkpoint(
+            waiting.join(fresh.select(F.col("id").alias("dep"), F.col("wave").alias("at")), "dep", "left")
+            .withColumn("best", F.greatest("best", F.coalesce(F.col("at") + F.col("steps"), F.lit(0))))
+            .withColumn("open", F.expr("if(dep IS NOT NULL AND at IS NULL, struct(dep, steps), NULL)"))
+            .groupBy("id").agg(F.max("best").alias("best"), F.collect_set("open").alias("open"))
+            .observe(seen, F.count_if(F.size("open") == 0).alias("closed"), F.sum(F.size("open")).alias("left")))
+        if not seen.get["closed"]:
             break
-        closed.append(marked.where("wave IS NOT NULL").select("id", "wave"))
-        open_edges, waiting, wave = marked.where("wave IS NULL").select("id", "dep"), still, wave + 2
-
-    start = numbered.select("id", F.lit(0).alias("wave"))
-    placed = reduce(DataFrame.unionByName, closed, start).groupBy("id").agg(F.max("wave").alias("wave"))
-    waves = numbered.join(placed, "id").select(*TASK, "id", "wave")
-    if not waiting:
-        return waves.drop("id")
-    stuck = open_edges.select("id").distinct()
-    ordered = waves.join(stuck, "id", "left_anti").drop("id")
-    last = ordered.groupBy("job_id").agg((F.max("wave") + 1).alias("wave"))
-    late = numbered.join(stuck, "id", "left_semi").join(last, "job_id", "left")
-    return ordered.unionByName(late.select(*TASK, F.coalesce("wave", F.lit(0)).alias("wave")))
-
-
-def _mark(edges: DataFrame, waiting: DataFrame, name: str, hot: list) -> DataFrame:
-    """Adds whether the dependency of an edge itself waits on one of the edges in ``waiting``."""
-    blocked = waiting.select(F.col("id").alias("dep")).distinct().withColumn(name, F.lit(True))
-    return spread_join(edges, blocked, "dep", hot, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
-def dag_order(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(job_id, task_key, wave, dag_order)``: consecutive from 0 in each job, by wave, then by name."""
-    waves = dag_waves(tasks, edges)
-    return ordered_position(waves, ["job_id"], ["wave", "task_key"], "dag_order")
+        fresh = merged.where(F.size("open") == 0).select("id", F.col("best").alias("wave"))
+        known.append(fresh)
+        waiting = merged.select("id", F.explode("open").alias("o"), "best").select("id", "o.dep", "o.steps", "best")
+        count = seen.get["left"]
+    placed = reduce(DataFrame.unionByName, known)
+    chained = single.join(placed.select(F.col("id").alias("dep"), "wave"), "dep").select(
+        "id", (F.col("wave") + F.col("steps")).alias("wave"))
+    waves = numbered.join(placed.unionByName(chained), "id", "left")
+    last = waves.where("wave IS NOT NULL").groupBy("job_id").agg((F.max("wave") + 1).alias("last"))
+    return waves.join(last, "job_id", "left").select(*TASK, F.coalesce("wave", "last", F.lit(0)).alias("wave"))

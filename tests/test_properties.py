@@ -1,6 +1,7 @@
 """Properties that must hold for any input."""
 
 import math
+import time
 
 import duckdb
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Window, functions as F
 
 from tabproof import compare_fingerprints, key_classes, multiset_diff
 from tabproof.operators.asof import resolve_versions
-from tabproof.operators.dag import dag_order
+from tabproof.operators.dag import IN_ONE_TASK, dag_order
 from tabproof.operators.fingerprint import row_checksums
 from tabproof.operators.running import exact_median, ordered_position, running_max, running_sum, value_counts
 
@@ -76,13 +77,14 @@ def waves_of(tasks, deps):
     return out
 
 
+@pytest.mark.parametrize("in_one_task", [IN_ONE_TASK, 10, 0])
 @SLOW
 @given(edges=edges)
-def test_dag_order(spark, edges):
+def test_dag_order(spark, in_one_task, edges):
     tasks = [(j, f"t{k}") for j in "xy" for k in range(7)]
     listed = [(j, f"t{k}", f"t{d}") for j, k, d in edges]
     found = dag_order(spark.createDataFrame(tasks, "job_id string, task_key string"),
-                      spark.createDataFrame(listed, "job_id string, task_key string, depends_on string")).collect()
+                      spark.createDataFrame(listed, "job_id string, task_key string, depends_on string"), in_one_task).collect()
     assert len(found) == len(tasks)
     for j in "xy":
         deps = {}
@@ -93,6 +95,18 @@ def test_dag_order(spark, edges):
             [t for job, t in tasks if job == j], deps)
 
 
+@pytest.mark.parametrize("in_one_task", [IN_ONE_TASK, 0])
+def test_dag_order_of_a_long_chain(spark, in_one_task):
+    """Rounds follow the logarithm of a chain's length."""
+    tasks = spark.range(1000).selectExpr("'j' AS job_id", "concat('t', lpad(id, 5, '0')) AS task_key")
+    links = spark.range(1, 1000).selectExpr("'j' AS job_id", "concat('t', lpad(id, 5, '0')) AS task_key",
+                                            "concat('t', lpad(id - 1, 5, '0')) AS depends_on")
+    began = time.monotonic()
+    found = dag_order(tasks, links, in_one_task).collect()
+    assert time.monotonic() - began < 30
+    assert {(r.task_key, r.wave, r.dag_order) for r in found} == {(f"t{k:05d}", k, k) for k in range(1000)}
+
+
 @pytest.fixture(scope="module")
 def crowded(spark):
     """One group with most rows, one of nulls, many small ones; more partitions than one."""

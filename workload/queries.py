@@ -652,6 +652,16 @@ def dag_order(v: Views) -> DataFrame:
     return dag.dag_order(v.tasks, v.task_edges)
 
 
+@query("""
+    SELECT job_id, task_key, CAST(row_number() OVER w - 1 AS INTEGER) AS wave, row_number() OVER w - 1 AS dag_order
+    FROM tasks WINDOW w AS (PARTITION BY job_id ORDER BY task_key)""")
+def dag_order_chain(v: Views) -> DataFrame:
+    """Every task of a job depends on the one before it."""
+    links = v.tasks.where("p_partkey >= 1").selectExpr(
+        "job_id", "task_key", "concat('t', lpad(p_partkey - 1, 12, '0')) AS depends_on")
+    return dag.dag_order(v.tasks, links)
+
+
 @query("""
     SELECT job_id, task_key, CAST(wave AS INTEGER) AS wave,
            row_number() OVER (PARTITION BY job_id ORDER BY wave, task_key) - 1 AS dag_order
