@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,16 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .bpe import END, PRETOKEN_LATIN, is_latin
-from .text import as_bytes, batch_of
+from .bpe import PRETOKEN_LATIN
+from .text import Memo, as_bytes, batch_of, turn_to
 
 END_OF_DOCUMENT = 2
 #: Bytes of text that are tokenized together.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 #: Words, and parts of words, that a worker remembers.
-REMEMBERED = 800_000
-#: Unique parts that are given to the library as one text.
-JOINED = 200
+REMEMBERED = 600_000
+#: New parts that are given to the library as one text, and what stands between them there.
+JOINED, MARK = 500, "\x01"
+#: The parts of words of a text with one word a line.
+PARTS = re.compile("\\n|" + PRETOKEN_LATIN.pattern)
+#: Stands for a line break among ids.
+BREAK = 2 ** 32 - 1
 
 
 @dataclass(frozen=True)
@@ -36,10 +41,29 @@ class Limits:
     loss: int = 4096
 
 
+def simple(text: str) -> bool:
+    """Whether PARTS tells the parts: Latin-1, without special strings and the mark."""
+    if "<|" in text or MARK in text:
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def cut_at(ids: np.ndarray, mark: int) -> Iterator[bytes]:
+    """The bytes of what stands between marks."""
+    raw, ends = ids.tobytes(), np.flatnonzero(ids == mark) * 4
+    return (raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)]))
+
+
 class WordIds:
-    """Ids of whole texts from the tokenizers library, which sees each remembered word once.
+    """Ids of whole texts from the tokenizers library, which sees each remembered part of a word once.
 
-    White space never joins what it parts, so a text's ids are those of its runs between ASCII white space.
+    White space never joins what it parts, nor do a word's parts join, so a text's ids are those of its parts. New
+    parts go to the library many at a time, with a mark between them whose one id tells where each ends. Words with
+    special strings, and those beyond Latin-1, go there whole.
     """
 
     def __init__(self, path: str):
@@ -49,49 +73,44 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.mark, = self.encode([MARK])[0].tolist()
+        self.known, self.parts = Memo(), Memo()  # filled many at a time
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts that don't hold the mark."""
+        for i in range(0, len(texts), JOINED):
+            group = texts[i:i + JOINED]
+            ids, = self.encode([f" {MARK} ".join(group)])
+            yield from cut_at(ids, self.mark)
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(words)
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        plain, owns, alone, parts = [], [], [], set()
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            if b"<|" in w or not is_latin(text):
-                alone.append((w, text))
-                continue
-            own = PRETOKEN_LATIN.findall(text.lower())
-            plain.append(w)
-            owns.append(own[0] if len(own) == 1 else own)
-            parts.update(own)
-        self.learn_parts([x for x in parts if x not in self.parts])
-        get = self.parts.__getitem__
-        self.known.update(zip(plain, [get(x) if type(x) is str else b"".join(map(get, x)) for x in owns]))
-        for (w, _), ids in zip(alone, self.encode([t for _, t in alone])):
-            self.known[w] = ids.tobytes()
-
-    def learn_parts(self, new: list[str]) -> None:
-        """Parts, each of which ends in one token that ends a word, are told apart in one text of many."""
-        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
-        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups])):
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            raw = ids.tobytes()
-            if len(cuts) == len(group) + 1:
-                self.parts.update(zip(group, [raw[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]))
-            else:
-                self.parts.update(zip(group, [x.tobytes() for x in self.encode(group)]))
+        joined = b"\n".join(new).decode("utf-8", "replace")
+        if not simple(joined):
+            other = [w for w in new if not simple(w.decode("utf-8", "replace"))]
+            texts = [w.decode("utf-8", "replace") for w in other]
+            known.update(zip(other, self.each(texts) if MARK not in "".join(texts) else (x.tobytes() for x in self.encode(texts))))
+            whole = set(other)
+            new = [w for w in new if w not in whole]
+            joined = b"\n".join(new).decode("utf-8", "replace")
+        if not new:
+            return
+        # All parts of all new words in one list, the line breaks between words among them.
+        found = PARTS.findall(joined.lower())
+        fresh = [p for p in set(found) if p not in self.parts and p != "\n"]
+        self.parts.update(zip(fresh, self.each(fresh)))
+        self.parts["\n"] = BREAK.to_bytes(4, "little")
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, found)), np.uint32)
+        known.update(zip(new, cut_at(ids, BREAK)))
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -244,6 +263,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), masked: str | No
     end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
 
     def run(batches):
+        turn_to("packing")
         packer = Packer(limits, TaskContext.get().partitionId() << 32)
         out = []
         for batch in batches:

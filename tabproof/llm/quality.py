@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import Memo, crc_remainder, mixed
+from .text import Memo, crc_remainder, mixed, turn_to
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 #: Features are hashed to so many places.
@@ -101,6 +101,7 @@ class QualityModel:
 
         @F.pandas_udf("double")
         def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            turn_to("quality")
             weights = np.frombuffer(held.value, np.float32)
             for texts in batches:
                 yield pd.Series([probability(weights, t) for t in texts])
@@ -129,6 +130,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, examples: int = 10_000, doc_
         few, "id").orderBy(hashed, "id", F.xxhash64("utf8"), "label").limit(examples).select("utf8", "label")
 
     def train(batches):
+        turn_to("quality")
         rows = []
         for batch in batches:
             rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,18 +14,33 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Words remembered by one Python worker before its memory of them is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+_MEMOS: weakref.WeakSet = weakref.WeakSet()
+_OWNER = [""]
+
+
+def turn_to(owner: str) -> None:
+    """Called where a task begins: a Python worker that goes on to another operator forgets what the last one remembered."""
+    if _OWNER[0] != owner:
+        for memo in list(_MEMOS):
+            memo.clear()
+        _OWNER[0] = owner
+
+
 class Memo(dict):
     """Results of a function by argument, forgotten all at once when there are too many."""
 
-    def __init__(self, fn: Callable, limit: int = REMEMBERED):
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+    def __init__(self, fn: Callable | None = None, limit: int = REMEMBERED):
         super().__init__()
         self.fn, self.limit = fn, limit
+        _MEMOS.add(self)
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -96,9 +112,10 @@ def crc_remainder(doc_id: Column, of: int) -> Column:
 
 def by_row(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str, packed: int = 4096) -> DataFrame:
     """Applies ``fn`` (a generator over one row's values) to every row of a partition, with Arrow batches both ways."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow, owner = to_arrow_schema(StructType.fromDDL(schema)), f"{fn.__module__}.{fn.__qualname__}"
 
     def run(batches):
+        turn_to(owner)
         rows = []
         for batch in batches:
             for values in zip(*[c.to_pylist() for c in batch.columns]):
