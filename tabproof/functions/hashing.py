@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from .names import c
 
 # Bits of a hash that are summed at a time: 2**43 rows fit a long before it overflows.
 SUM_BITS = 20
@@ -36,6 +38,11 @@ def ordered_maps(col: Column, dtype: T.DataType) -> Column:
     return F.when(col.isNotNull(), F.struct(*parts))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed, maps included."""
+    return [ordered_maps(c(f.name), f.dataType) for f in df.schema.fields]
+
+
 def row_hash(hashes: list[str]) -> str:
     """SQL text: hash of a row from the hashes of its values, which are never null."""
     return f"xxhash64({', '.join(hashes)})"

@@ -31,12 +31,14 @@ def resolve_versions(history: DataFrame, pins: DataFrame) -> DataFrame:
 
     Commits and pins of a table are merged along time and the highest version
     so far is carried along, instead of pairing every pin with every commit.
+    Only commits of pinned tables up to the last pin take part.
     """
-    commits = history.select("table_name", "ts", F.lit(0).alias("is_pin"),
-                             F.col("version").cast("bigint").alias("version"))
     asked = pins.where("pin_ts IS NOT NULL").select(
         "table_name", F.col("pin_ts").alias("ts"), F.lit(1).alias("is_pin"),
         F.lit(None).cast("bigint").alias("version")).distinct()
+    last = asked.groupBy("table_name").agg(F.max("ts").alias("last"))
+    commits = history.select("table_name", "ts", F.lit(0).alias("is_pin"), F.col("version").cast("bigint").alias("version")).join(
+        last, "table_name").where("ts <= last").drop("last")
     # At equal times commits sort first: "at or before".
     merged = running_max(commits.unionByName(asked), ["table_name"], ["ts", "is_pin", "version"],
                          F.col("version"), "found")

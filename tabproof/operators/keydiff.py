@@ -9,12 +9,16 @@ and no key multiplies as it would in a join.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, log10
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.floats import close, is_tolerant
-from ..functions.hashing import has_map, ordered_maps
+from ..functions.hashing import has_map, ordered_maps, row_hash
 from ..functions.names import c, literal, quoted
-from .sides import BASELINE, CANDIDATE, SchemaMismatch, both_sides, of_side, rows_of, schema_problems, shared_fields
+from .sides import BASELINE, CANDIDATE, SIDE, SchemaMismatch, both_sides, of_side, rows_of, schema_problems, shared_fields
 
 # The classes of a key.
 CLASSES = ("added", "removed", "changed", "same", "duplicated")
@@ -36,9 +40,28 @@ def key_classes(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsi
         if has_map(f.dataType):
             sides = sides.withColumn(f.name, ordered_maps(c(f.name), f.dataType))
 
+    names_of_keys = [quoted(k) for k in keys]
+    counts = [F.expr(f"{rows_of(flag)} AS {name}") for name, flag in (("baseline_rows", BASELINE), ("candidate_rows", CANDIDATE))]
+    # First counts and 128 bits of hashes, which need no sorting; values that round alike are within the tolerance.
+    digits = max(0, ceil(-log10(epsilon) - 1e-9)) if epsilon > 0 else None
+    values = [f"xxhash64(round({quoted(f.name)}, {digits}))" if digits is not None and is_tolerant(f) else f"xxhash64({quoted(f.name)})"
+              for f in rest]
+    hashed = sides.selectExpr(SIDE, *names_of_keys, f"{row_hash(values + ['1'])} AS __h1", f"{row_hash(values + ['2'])} AS __h2")
+    agree = " AND ".join(f"max({of_side(BASELINE, h)}) = max({of_side(CANDIDATE, h)})" for h in ("__h1", "__h2"))
+    grouped = hashed.groupBy(*names_of_keys).agg(*counts, F.expr(f"{agree} AS __same"))
+    open_ = "baseline_rows = 1 AND candidate_rows = 1 AND NOT __same"
+    none = "cast(array() AS array<string>)"
+    settled = grouped.where(f"NOT ({open_})").selectExpr(
+        *names_of_keys,
+        """CASE WHEN baseline_rows > 1 OR candidate_rows > 1 THEN 'duplicated'
+                WHEN baseline_rows = 0 THEN 'added' WHEN candidate_rows = 0 THEN 'removed' ELSE 'same' END AS change""",
+        f"{none} AS changed_columns", "baseline_rows", "candidate_rows")
+
+    # Whole rows are brought together for the other keys only, one row a side.
+    suspects = grouped.where(open_).select(*[c(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same_key = reduce(and_, [c(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
     packed = ", ".join(["'here', 1", *[f"'v{i}', {quoted(f.name)}" for i, f in enumerate(rest)]])
-    grouped = sides.groupBy(*[quoted(k) for k in keys]).agg(
-        F.expr(f"{rows_of(BASELINE)} AS baseline_rows"), F.expr(f"{rows_of(CANDIDATE)} AS candidate_rows"),
+    paired = sides.join(suspects, same_key, "left_semi").groupBy(*names_of_keys).agg(
         *[F.expr(f"any_value({of_side(flag, f'named_struct({packed})')}, true) AS {name}")
           for name, flag in (("__b", BASELINE), ("__k", CANDIDATE))])
 
@@ -47,19 +70,11 @@ def key_classes(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsi
         return f"NOT {close(b, k, epsilon)}" if is_tolerant(f) else f"NOT ({b} <=> {k})"
 
     flags = ", ".join(f"if({differs(i, f)}, {literal(f.name)}, NULL)" for i, f in enumerate(rest))
-    none = "cast(array() AS array<string>)"
     changed = f"array_compact(array({flags}))" if rest else none
-    return (
-        grouped
-        .selectExpr("*", f"if(baseline_rows = 1 AND candidate_rows = 1, {changed}, {none}) AS changed_columns")
-        .selectExpr(*[quoted(k) for k in keys],
-                    """CASE WHEN baseline_rows > 1 OR candidate_rows > 1 THEN 'duplicated'
-                            WHEN baseline_rows = 0 THEN 'added'
-                            WHEN candidate_rows = 0 THEN 'removed'
-                            WHEN size(changed_columns) > 0 THEN 'changed'
-                            ELSE 'same' END AS change""",
-                    "changed_columns", "baseline_rows", "candidate_rows")
-    )
+    compared = paired.selectExpr(*names_of_keys, f"{changed} AS changed_columns").selectExpr(
+        *names_of_keys, "if(size(changed_columns) > 0, 'changed', 'same') AS change", "changed_columns",
+        "1L AS baseline_rows", "1L AS candidate_rows")
+    return settled.unionByName(compared)
 
 
 def key_diff(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsilon: float = 1e-6,

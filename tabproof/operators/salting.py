@@ -6,15 +6,18 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.hashing import hashable
 from ..functions.names import c, quoted
 
 BUCKETS = 16
 HOT_SHARE = 0.01
+# A key with fewer rows is never hot: spreading it costs more than it saves.
+HOT_ROWS = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys that hold at least ``share`` of the rows: never more than ``1 / share`` of them."""
-    least = max(1, ceil(df.count() * share))
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
+    """Keys that hold at least ``share`` of the rows, and at least ``rows``: never more than ``1 / share`` of them."""
+    least = max(rows, ceil(df.count() * share))
     counts = df.where(c(key).isNotNull()).groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("__n"))
     return [row[0] for row in counts.where(F.col("__n") >= least).select(quoted(key)).collect()]
 
@@ -25,8 +28,7 @@ def row_salt(df: DataFrame, buckets: int = BUCKETS) -> Column:
     Copies of one row in different partitions get different buckets, and a task
     that runs again gives the same ones.
     """
-    names = ", ".join(quoted(n) for n in df.columns)
-    return F.expr(f"int(pmod(xxhash64(spark_partition_id(), {names}), {buckets}))")
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *hashable(df)), F.lit(buckets)).cast("int")
 
 
 def spread_join(fact: DataFrame, dim: DataFrame, key: str, hot: list, how: str = "inner",

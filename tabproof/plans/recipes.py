@@ -7,10 +7,13 @@ same computation.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
+from functools import reduce
+from math import ceil, log2
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.hashing import hashable
 from ..functions.names import c, quoted
 from ..operators.multiset import multiset_diff
 from ..operators.salting import BUCKETS, HOT_SHARE, hot_keys, row_salt, spread_join
@@ -25,6 +28,8 @@ TIERS = {
 
 BROADCAST_BYTES = 64 << 20
 FILE_BYTES = 128 << 20
+# Cells of the curve for each file that is written along it.
+CELLS = 16
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -90,6 +95,11 @@ def _as_number(name: str, dtype: T.DataType) -> str:
     raise TypeError(f"cannot order {name} of type {dtype.simpleString()} along the curve")
 
 
+def zorder_bits(files: int, columns: int) -> int:
+    """Bits a column, so that the curve has at least CELLS cells for each file."""
+    return max(1, min(62 // columns, ceil(log2(max(1, files) * CELLS) / columns)))
+
+
 def with_zorder(df: DataFrame, columns: list[str], bits: int = 5, name: str = "__z") -> DataFrame:
     """Adds the position along a Z-shaped curve through range buckets of the columns.
 
@@ -102,27 +112,31 @@ def with_zorder(df: DataFrame, columns: list[str], bits: int = 5, name: str = "_
     numbers = {n: _as_number(n, types[n]) for n in columns}
     steps = 1 << bits
     shares = ", ".join(f"{i / steps}D" for i in range(1, steps))
-    bounds = df.agg(*[F.expr(f"approx_percentile({numbers[n]}, array({shares}), 1000) AS q{i}")
+    bounds = df.agg(*[F.expr(f"approx_percentile({numbers[n]}, array({shares}), {max(1000, 8 * steps)}) AS q{i}")
                       for i, n in enumerate(columns)]).first()
-    buckets, parts = [], []
+    curve = F.lit(0).cast("bigint")
     for i, n in enumerate(columns):
-        edges = sorted(set(bounds[f"q{i}"] or []))
-        passed = " + ".join(f"if({numbers[n]} >= {e!r}D, 1L, 0L)" for e in edges) or "0L"
-        buckets.append(f"{passed} AS __bucket{i}")
-        parts += [f"shiftleft(shiftright(__bucket{i}, {b}) & 1L, {b * len(columns) + len(columns) - 1 - i})"
-                  for b in range(bits)]
-    curve = " | ".join(f"({p})" for p in parts)
-    return df.selectExpr("*", *buckets).selectExpr(*[quoted(n) for n in df.columns], f"{curve} AS {name}")
+        edges = F.array(*[F.lit(float(e)) for e in sorted(set(bounds[f"q{i}"] or []))]).cast("array<double>")
+        number = F.expr(numbers[n])
+        bucket = _bucket(edges, number)
+        for b in range(bits):
+            bit = F.shiftright(bucket, b).bitwiseAND(F.lit(1)).cast("bigint")
+            curve = curve.bitwiseOR(F.shiftleft(bit, b * len(columns) + len(columns) - 1 - i))
+    return df.withColumn(name, curve)
+
+
+def _bucket(edges: Column, number: Column) -> Column:
+    """Number of edges at or below the value; 0 for null."""
+    return F.when(number.isNotNull(), F.size(F.filter(edges, lambda e: number >= e))).otherwise(F.lit(0))
 
 
-def write_zordered(df: DataFrame, columns: list[str], path: str, files: int, bits: int = 5) -> None:
+def write_zordered(df: DataFrame, columns: list[str], path: str, files: int, bits: int | None = None) -> None:
     """Writes the rows along the curve, so that each file spans narrow ranges of all ``columns``.
 
-    Ties on the curve are ordered by the columns and by a hash of the row, which
-    lets one crowded stretch of the curve be split over several files.
+    The curve is as fine as the number of files asks for. Ties on it are ordered by the columns and by a hash of the
+    row, which lets one crowded stretch of the curve be split over several files.
     """
-    curve = with_zorder(df, columns, bits).withColumn(
-        "__tie", F.expr(f"xxhash64({', '.join(quoted(n) for n in df.columns)})"))
+    curve = with_zorder(df, columns, bits or zorder_bits(files, len(columns))).withColumn("__tie", F.xxhash64(*hashable(df)))
     order = ["__z", *[quoted(n) for n in columns], "__tie"]
     (curve.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("__z", "__tie")
      .write.mode("overwrite").parquet(path))
@@ -180,8 +194,11 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
         known = known.where(c(k).isNotNull())
     refuse_rows(known.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
                 .where("__n > 1").drop("__n"), "several source rows for one key")
-    return target.join(source.select(*[quoted(k) for k in keys]), keys, "left_anti").select(
-        *[quoted(n) for n in target.columns]).unionByName(source)
+    unmatched = reduce(or_, [c(k).isNull() for k in keys])
+    kept = target.where(~unmatched).join(known.select(*[quoted(k) for k in keys]), keys, "left_anti").select(
+        *[quoted(n) for n in target.columns])
+    # Rows without a key match nothing; they stay where they are instead of meeting in one task.
+    return kept.unionByName(target.where(unmatched)).unionByName(source)
 
 
 # Repeatability -----------------------------------------------------------------------------------

@@ -34,7 +34,8 @@ def test_salted_join(spark, views):
     fact = views.lineitem.selectExpr("CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_suppkey END AS s_suppkey",
                                      "l_orderkey", "l_extendedprice").repartition(5)
     dim = views.table("supplier").unionByName(views.table("supplier").where("s_suppkey = 1"))
-    assert 1 in hot_keys(fact, "s_suppkey", 0.2) and len(hot_keys(fact, "s_suppkey", 0.01)) <= 100
+    assert 1 in hot_keys(fact, "s_suppkey", 0.2, 1) and len(hot_keys(fact, "s_suppkey", 0.01, 1)) <= 100
+    assert hot_keys(fact, "s_suppkey", 0.2) == []
     proves(spark, fact.join(dim, "s_suppkey"), recipes.salted_join(fact, dim, "s_suppkey", share=0.2), "salting")
 
 
@@ -145,3 +146,26 @@ def test_references(spark):
 def test_nondeterminism(spark):
     df = spark.createDataFrame([("select RAND ( ), now()",), ("First_Value(x) over w",), ("branding(first) known",), (None,)], "t string")
     assert [r[0] for r in df.select(nondeterminism_flags(F.col("t"))).collect()] == [["clock", "random"], ["unordered"], [], []]
+
+
+def test_recipes_take_map_columns(spark, views, folder):
+    """The audit log has maps; salting and layout hash whole rows."""
+    rows = views.audit_events.select("audit_id", "job", "event_ts", "equivalence", "perf").withColumn("n", F.lit(1))
+    salted = recipes.salted_aggregate(rows, ["job"], {"n": ("sum", "n")})
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, rows.groupBy("job").agg(F.sum("n")).collect()))
+    jobs = rows.select("job").distinct().withColumn("name", F.upper("job"))
+    assert spread_join(rows, jobs, "job", ["job_1"]).count() == rows.count()
+    recipes.write_zordered(rows, ["event_ts", "n"], f"{folder}/z", files=3)
+    assert spark.read.parquet(f"{folder}/z").count() == rows.count()
+
+
+def test_the_curve_is_as_fine_as_the_files_need():
+    assert [recipes.zorder_bits(f, 2) for f in (1, 8, 64, 10_000)] == [2, 4, 5, 9]
+    assert all(2 ** (recipes.zorder_bits(f, n) * n) >= 16 * f for f in (1, 7, 500, 9999) for n in (1, 2, 3))
+
+
+def test_rows_without_a_key_stay(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b")], "k int, v string")
+    source = spark.createDataFrame([(1, "x"), (None, "n")], "k int, v string")
+    assert sorted(map(str, recipes.merge_upsert(target, source, ["k"]).collect())) == sorted(map(str, [
+        *spark.createDataFrame([(1, "x"), (None, "n"), (None, "b"), (None, "b")], "k int, v string").collect()]))
