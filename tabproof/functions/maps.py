@@ -8,15 +8,20 @@ from pyspark.sql import Column, functions as F
 TRUE_WORDS = ("true", "passed", "pass", "1", "yes")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def truthy(value: Column) -> Column:
     """Whether a boolean or text means yes; null means no."""
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(stripped(value.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
 
 
 def change_types(value: Column, is_list: bool = False) -> Column:
     """A comma text or a list as an array of trimmed, non-empty texts; null when none is left."""
     parts = value if is_list else F.split(value, ",")
-    kept = F.filter(F.transform(parts, lambda p: F.trim(p.cast("string"))), lambda p: p != "")
+    kept = F.filter(F.transform(parts, lambda p: stripped(p.cast("string"))), lambda p: p != "")
     return F.when(F.size(kept) > 0, kept)
 
 

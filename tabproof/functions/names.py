@@ -49,15 +49,3 @@ def require_three_parts(name: Column) -> Column:
         name_parts(name),
         F.raise_error(F.concat(F.lit("expected catalog.schema.table, got "), name)).cast("array<string>"),
     )
-
-
-def sandbox_fqn(catalog: str, schema: str, table: str, sandbox: str = DEFAULT_SANDBOX) -> str:
-    """The same mapping for one name known to the driver."""
-    return f"{catalog}.{sandbox}.{schema}__{table}"
-
-
-def split_fqn(name: str) -> list[str]:
-    parts = name.replace("`", "").split(".")
-    if len(parts) != 3 or not all(parts):
-        raise ValueError(f"expected catalog.schema.table, got {name!r}")
-    return parts

@@ -30,19 +30,27 @@ def remap_references(scripts: DataFrame, mapping: dict[str, str], text: str = "s
     Adds ``replacements``, the count per table, ``residual``, the mapped tables
     still referred to afterwards, and ``safe``, whether there are none.
     """
-    current, counts, residual = F.col(text), [], []
-    for table, target in mapping.items():
-        pattern = F.lit(reference_pattern(table))
-        counts += [F.lit(table), F.regexp_count(current, pattern)]
-        literal_target = target.replace("\\", "\\\\").replace("$", "\\$")
-        current = F.regexp_replace(current, pattern, F.lit(literal_target))
-    for table in mapping:
-        residual.append(F.when(F.rlike(F.col(text), F.lit(reference_pattern(table))), F.lit(table)))
+    names = {t.replace("`", "").lower(): t for t in mapping}
+    # One expression for all tables; what it finds is told apart by its text without backticks and white space.
+    pattern = F.lit("|".join(reference_pattern(t) for t in sorted(mapping, key=len, reverse=True)))
+    plain = lambda found: F.lower(F.regexp_replace(found, r"[`\s]", ""))
+    found = F.transform(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), plain)
+    new_names = F.create_map(*[F.lit(x) for name, t in names.items() for x in (name, mapping[t])])
+    between = F.split(F.col(text), pattern, -1)
+    woven = F.concat(F.array_join(F.transform("__found", lambda f, i: F.concat(
+        F.element_at("__between", i + 1), new_names[f])), ""), F.element_at("__between", -1))
+
+    def times(name: str) -> Column:
+        return F.size(F.filter("__found", lambda found: found == name))
+
+    counts = [x for name, t in names.items() for x in (F.lit(t), times(name))]
+    left = F.transform(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), plain)
+    residual = F.array_compact(F.array(*[F.when(F.array_contains("__left", n), F.lit(t)) for n, t in names.items()]))
     return (
-        scripts.withColumn("replacements", F.create_map(*counts))
-        .withColumn(text, current)
-        .withColumn("residual", F.array_compact(F.array(*residual)))
-        .withColumn("safe", F.size("residual") == 0)
+        scripts.withColumn("__found", found).withColumn("__between", between)
+        .withColumn("replacements", F.create_map(*counts)).withColumn(text, woven)
+        .withColumn("__left", left).withColumn("residual", residual).withColumn("safe", F.size("residual") == 0)
+        .drop("__found", "__between", "__left")
     )
 
 

@@ -49,23 +49,27 @@ def schema_diff(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return one.selectExpr(f"inline(array({listed}))")
 
 
-def contract_diff(details: DataFrame) -> DataFrame:
+def contract_diff(details: DataFrame, allow_new: bool = False) -> DataFrame:
     """Whether a candidate asks more of its readers and writers than the baseline.
 
     ``details`` holds ``(table_name, side, reader, writer, features)`` with side
     ``baseline`` or ``candidate``. A missing version counts as 1, missing
-    features as none. One row per table: both versions, ``added_features`` and
-    ``passed``. A table without a baseline row passes, there being no contract.
+    features as none; of several rows of a side, the highest versions and all
+    features count. One row per table: both versions, ``added_features``,
+    ``passed`` and ``reason``. A table that lacks the row of a side is blocked,
+    as nothing is known of it; ``allow_new`` lets one without a baseline pass.
     """
-    def of(side: str, name: str, default: Column) -> Column:
-        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(name))), default)
+    def of(side: str, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(name))), F.lit(1))
+
+    def features(side: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_set(F.when(F.col("side") == side, F.col("features")))))
 
-    none = F.array().cast("array<string>")
     wide = details.groupBy("table_name").agg(
-        F.count_if(F.col("side") == "baseline").alias("baselines"),
-        *[of(side, name, F.lit(1)).alias(f"{side}_{name}")
+        *[F.count_if(F.col("side") == side).alias(f"{side}s") for side in ("baseline", "candidate")],
+        *[of(side, name).alias(f"{side}_{name}")
           for name in ("reader", "writer") for side in ("baseline", "candidate")],
-        *[of(side, "features", none).alias(f"{side}_features") for side in ("baseline", "candidate")],
+        *[features(side).alias(f"{side}_features") for side in ("baseline", "candidate")],
     )
     added = F.array_sort(F.array_except("candidate_features", "baseline_features"))
     raised = (
@@ -73,9 +77,13 @@ def contract_diff(details: DataFrame) -> DataFrame:
         | (F.col("candidate_writer") > F.col("baseline_writer"))
         | (F.size("added_features") > 0)
     )
-    return wide.withColumn("added_features", added).select(
+    reason = (
+        F.when(F.col("candidates") == 0, "no candidate row")
+        .when((F.col("baselines") == 0) & F.lit(not allow_new), "no baseline row")
+        .when((F.col("baselines") > 0) & raised, "needs a newer reader, writer or feature"))
+    return wide.withColumn("added_features", added).withColumn("reason", reason).select(
         "table_name", "baseline_reader", "candidate_reader", "baseline_writer", "candidate_writer",
-        "added_features", ((F.col("baselines") == 0) | ~raised).alias("passed"))
+        "added_features", F.col("reason").isNull().alias("passed"), "reason")
 
 
 def require_contract(details: DataFrame) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,15 +47,17 @@ class FlowVerdict:
 
 def compare_flows(spark: SparkSession, baseline: dict[str, DataFrame | str], candidate: dict[str, DataFrame | str],
                   *, targets: list[str] | None = None, partition_cols: dict[str, list[str]] | None = None,
-                  tier: str = "semantics_preserving", parallel: int = 4, **options) -> FlowVerdict:
+                  tier: str = "semantics_preserving", parallel: int = 4, details: DataFrame | None = None,
+                  **options) -> FlowVerdict:
     """Compares every target and keeps every failure: a divergence does not end the comparison.
 
-    An error on one target, a missing table for instance, is that target's
+    Each target is held against its own rows of ``details``. An error on one target, a missing table for instance, is that target's
     failure. ``options`` go to :func:`tabproof.plans.ladder.compare`.
     """
     def one(target: str) -> Verdict:
         try:
             return compare(spark, baseline[target], candidate[target], tier=tier, target=target,
+                           details=None if details is None else details.where(F.col("table_name") == target),
                            partition_cols=(partition_cols or {}).get(target), **options)
         except Exception as error:
             text = f"missing table: {error}" if isinstance(error, KeyError) else str(error)
@@ -80,33 +82,38 @@ def failed_targets(verdicts: DataFrame) -> DataFrame:
 
 def _recorded(audit: AuditLog | None, job: str, opening: str, subject: str,
               run: Callable[[], FlowVerdict]) -> FlowVerdict:
-    """Runs the comparison between its ``started`` and its final event."""
-    def note(status: str, **more) -> None:
-        if audit is not None:
-            audit.record(job=job, notebook=WHOLE_FLOW, step=FLOW_STEP, status=status, **more)
+    """Runs the comparison and records its ``started`` and its final event in one write."""
+    def event(status: str, **more) -> dict:
+        return {"event_ts": datetime.now(timezone.utc), "job": job, "notebook": WHOLE_FLOW, "step": FLOW_STEP, "status": status, **more}
 
-    note("started", insight=opening)
+    events = [event("started", insight=opening)]
     try:
         verdict = run()
+        events.append(event(
+            "succeeded" if verdict.passed else "failed",
+            equivalence={v.target: "pass" if v.passed else "FAIL" for v in verdict.verdicts},
+            insight=f"{subject}: all {len(verdict.verdicts)} final tables match" if verdict.passed
+            else f"{subject}: no match on {', '.join(verdict.failed_targets)}"))
     except Exception as error:
-        note("failed", insight=f"{subject} stopped with an error: {error}"[:500])
+        events.append(event("failed", insight=f"{subject} stopped with an error: {error}"))
         raise
-    note("succeeded" if verdict.passed else "failed",
-         equivalence={v.target: "pass" if v.passed else "FAIL" for v in verdict.verdicts},
-         insight=f"{subject}: all {len(verdict.verdicts)} final tables match" if verdict.passed
-         else f"{subject}: no match on {', '.join(verdict.failed_targets)}")
+    finally:
+        if audit is not None:
+            audit.record(*events)
     return verdict
 
 
 def validate_flow(spark: SparkSession, job: str, baseline: Flow, candidate: Flow, inputs: dict[str, DataFrame], *,
                   targets: list[str] | None = None, audit: AuditLog | None = None,
                   sample_percent: float | None = None, sample_keys: dict[str, list[str]] | None = None,
-                  seed: int = 42, **options) -> FlowVerdict:
+                  seed: int = 42, stored: bool = False, **options) -> FlowVerdict:
     """Runs both flows on identical inputs and compares their final tables.
 
-    Returns the verdict, pass or fail; raises only when a flow itself fails.
+    The inputs are written once before either flow runs, so that a source that
+    changes meanwhile changes neither; ``stored=True`` says that they cannot
+    change, a store's versions for instance, and spares the copy. Returns the verdict, pass or fail; raises only when a flow itself fails.
     """
-    left, right, how = prepare_pair(inputs, sample_percent, sample_keys, seed)
+    left, right, how = prepare_pair(spark, inputs, sample_percent, sample_keys, seed, stored)
     described = ", ".join(f"{t} {h}" for t, h in how.items())
 
     def run() -> FlowVerdict:

@@ -117,9 +117,10 @@ def require_equivalent(spark: SparkSession, baseline: str | DataFrame, candidate
 def _contract(details: DataFrame | None) -> list[Rung]:
     if details is None:
         return []
-    broken = contract_diff(details).where(~F.col("passed")).count()
-    return [Rung("contract", broken == 0, None, None,
-                 None if broken == 0 else f"{broken} table(s) need a newer reader, writer or feature")]
+    by_reason = {r["reason"]: r["n"] for r in contract_diff(details).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    broken = "; ".join(f"{n} table(s): {reason}" for reason, n in sorted((x for x in by_reason.items() if x[0]), key=str))
+    reason = broken or (None if by_reason else "no row of the table's contract")
+    return [Rung("contract", reason is None, None, None, reason)]
 
 
 def _schema(a: DataFrame, b: DataFrame, strict_types: bool) -> list[Rung]:

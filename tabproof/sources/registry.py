@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import DEFAULT_SANDBOX
 from ..operators.dag import dag_order
+from ..session import new_folder
 from .storage import evolve, read_table, refuse_rows, replace_partitions
 
 LIST = T.ArrayType(T.StringType())
@@ -73,28 +72,27 @@ def seed(tasks: DataFrame, edges: DataFrame, prior: DataFrame | None = None,
     return rows.select(*REGISTRY_SCHEMA.names)
 
 
-def matches(pick: int | str) -> Column:
-    """A pick is a position in the DAG order or part of a notebook's path; never a truth value."""
-    if isinstance(pick, bool):
-        return F.lit(False)
-    if isinstance(pick, int):
-        return F.col("dag_order") == pick
-    return F.contains(F.col("notebook_path"), F.lit(str(pick)))
-
-
-def select_notebooks(rows: DataFrame, picks: int | str | list | None = None) -> DataFrame:
+def select_notebooks(rows: DataFrame, picks: int | str | list | None = None, job: str | None = None) -> DataFrame:
     """Picked rows become ``pending``, the rest ``skipped``; settled rows stay as they are.
 
-    No picks, or ``all``, picks every row. Picks that match nothing are an error.
+    An integer picks a place in the DAG order, a text the paths that contain it; no picks, or ``all``, pick every row. With
+    ``job``, only its rows are selected from and others stay. Jobs of which nothing is picked are an error.
     """
-    if picks is None or picks in ("all", ["all"]):
+    wanted = list(picks) if isinstance(picks, (list, tuple)) else [picks]
+    places = [p for p in wanted if isinstance(p, int) and not isinstance(p, bool)]
+    texts = [p for p in wanted if isinstance(p, str)]
+    here = F.lit(True) if job is None else F.col("job_name").eqNullSafe(job)
+    if wanted in ([None], ["all"]):
         chosen = F.lit(True)
     else:
-        wanted = list(picks) if isinstance(picks, (list, tuple)) else [picks]
-        chosen = reduce(lambda a, b: a | b, [matches(p) for p in wanted], F.lit(False))
-    if rows.where(chosen).isEmpty():
-        raise ValueError(f"no notebook matches {picks!r}")
-    status = (F.when(F.col("status").isin(*SETTLED), F.col("status"))
+        chosen = F.col("dag_order").isin(*places) | F.exists(
+            F.array(*map(F.lit, texts)).cast("array<string>"), lambda t: F.contains(F.col("notebook_path"), t))
+        chosen = F.coalesce(chosen, F.lit(False))
+    without = rows.where(here).groupBy("job_name").agg(F.bool_or(chosen).alias("any")).where("NOT any").select("job_name")
+    refuse_rows(without, f"no notebook matches {picks!r} in")
+    if job is not None and rows.where(here).isEmpty():
+        raise ValueError(f"no notebook matches {picks!r} in: no rows of {job!r}")
+    status = (F.when(~here | F.col("status").isin(*SETTLED), F.col("status"))
               .when(chosen, "pending").otherwise("skipped"))
     return rows.withColumn("status", status)
 
@@ -125,7 +123,7 @@ def register_lookup(spark: SparkSession, rows: DataFrame, function: str = "get_o
     rows.createOrReplaceTempView(view)
     columns = ", ".join(f"{n} {types[n]}" for n in LOOKUP_COLUMNS)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}(p_job STRING) RETURNS TABLE ({columns}) "
-              f"RETURN SELECT {', '.join(LOOKUP_COLUMNS)} FROM {view} WHERE job_name = p_job")
+              f"RETURN SELECT {', '.join(LOOKUP_COLUMNS)} FROM {view} WHERE job_name = p_job ORDER BY dag_order")
 
 
 class Registry:
@@ -155,4 +153,7 @@ class Registry:
         rows = self.read()
         refuse_rows(updates.join(rows, ROW, "left_anti").select(*ROW), "no registry row")
         touched = rows.join(updates.select("job_name").distinct(), "job_name", "left_semi")
-        replace_partitions(apply_status(touched, updates), self.path, "job_name")
+        # Written apart first: a failure while the partitions are replaced loses no row.
+        new = new_folder(self.spark, "registry-status")
+        apply_status(touched, updates).write.parquet(new)
+        replace_partitions(self.spark.read.schema(REGISTRY_SCHEMA).parquet(new), self.path, "job_name")

@@ -57,7 +57,8 @@ class SnapshotStore:
         """Stores the rows as the table's next version and returns its number."""
         last = self.history().where(F.col("table_name") == table).agg(F.max("version")).first()[0]
         version = 0 if last is None else last + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
+        # A second writer of the same version fails here instead of replacing the first one's rows.
+        df.write.mode("errorifexists").parquet(f"{self.root}/{table}/version={version}")
         row = self.spark.createDataFrame([(table, version, ts, operation)], HISTORY_SCHEMA)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/_history")
         return version
@@ -108,11 +109,12 @@ def materialise(spark: SparkSession, frames: dict[str, DataFrame], folder: str |
     return {n: spark.read.schema(df.schema).parquet(paths[n]) for n, df in frames.items()}
 
 
-def prepare_pair(inputs: dict[str, DataFrame], sample_percent: float | None = None,
-                 sample_keys: dict[str, list[str]] | None = None, seed: int = 42,
+def prepare_pair(spark: SparkSession, inputs: dict[str, DataFrame], sample_percent: float | None = None,
+                 sample_keys: dict[str, list[str]] | None = None, seed: int = 42, stored: bool = False,
                  ) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, str]]:
     """Identical inputs for both runs, and what each of them is: ``full`` or ``sampled n%``.
 
+    They are written once and read from there, unless they are ``stored`` in a form that cannot change.
     Only tables with keys in ``sample_keys`` are sampled; the same keys are kept
     on both sides and in every table sampled by them.
     """
@@ -123,5 +125,7 @@ def prepare_pair(inputs: dict[str, DataFrame], sample_percent: float | None = No
     sampled = {t: sample_percent is not None and t in keys for t in inputs}
     frames = {t: sample_by_key(df, keys[t], sample_percent, seed) if sampled[t] else df
               for t, df in inputs.items()}
+    if not stored:
+        frames = materialise(spark, frames, label="inputs")
     how = {t: f"sampled {sample_percent}%" if sampled[t] else "full" for t in inputs}
     return dict(frames), dict(frames), how

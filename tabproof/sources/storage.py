@@ -56,8 +56,8 @@ def total_bytes(spark: SparkSession, path: str) -> int:
 
 
 def refuse_rows(df: DataFrame, what: str) -> None:
-    """Raises with up to 20 offending rows when the frame is not empty."""
+    """Raises with the number of offending rows, and up to 20 of them, when the frame is not empty."""
     bad = df.limit(20).collect()
     if bad:
-        raise ValueError(f"{what}: " + ", ".join("/".join(str(v) for v in row) for row in bad))
+        raise ValueError(f"{what}: {df.count()} row(s), among them " + ", ".join("/".join(str(v) for v in row) for row in bad))
 

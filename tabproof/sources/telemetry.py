@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .storage import evolve
+from ..functions.names import c
 
 # The columns read from each relation.
 STATEMENTS = T.StructType([
@@ -45,15 +45,25 @@ TABLE_DETAIL = T.StructType([
 ])
 
 
-def telemetry(spark: SparkSession, source: DataFrame | str | None, schema: T.StructType) -> DataFrame:
+def telemetry(source: DataFrame | str | None, schema: T.StructType) -> DataFrame:
     """A telemetry relation under its schema, from a frame or a table name.
 
     Columns it lacks read as null and further ones are dropped; a relation that
     is absent, or a name that does not exist, reads as empty, so that what is
-    built on it reports no signal instead of failing.
+    built on it reports no signal instead of failing. A moment keeps its kind,
+    with a zone or without, so that bounds on it still reach the scan.
     """
+    spark = SparkSession.active()
     if isinstance(source, str):
         source = spark.table(source) if spark.catalog.tableExists(source) else None
     if source is None:
         return spark.createDataFrame([], schema)
-    return evolve(source.select(*[n for n in source.columns if n in schema.names]), schema)
+    own = {f.name: f.dataType for f in source.schema.fields}
+
+    def column(f: T.StructField) -> Column:
+        if f.name not in own:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        moment = isinstance(f.dataType, T.TimestampType) and isinstance(own[f.name], T.TimestampNTZType)
+        return c(f.name) if moment or own[f.name] == f.dataType else c(f.name).cast(f.dataType).alias(f.name)
+
+    return source.select(*[column(f) for f in schema.fields])

@@ -44,10 +44,15 @@ def test_selection(rows):
         ("etl", "/nb/load"): "promoted", ("etl", "/nb/clean"): "skipped", ("etl", "/nb/sum"): "pending", ("ml", "/nb/fit"): "pending"}
     assert set(statuses(select_notebooks(settled, "all")).values()) == {"promoted", "pending"}
     assert statuses(select_notebooks(settled)) == statuses(select_notebooks(settled, ["all"]))
-    for nothing in ("nope", 77, True, [True, False]):
+    for nothing in ("nope", 77, True, [True, False], []):
         with pytest.raises(ValueError, match="no notebook matches"):
             select_notebooks(settled, nothing)
-    picked = select_notebooks(select_notebooks(settled, 1), 3)
+    with pytest.raises(ValueError, match="no notebook matches 1 in: 1 row.* ml"):
+        select_notebooks(settled, 1)
+    with pytest.raises(ValueError, match="no rows of 'absent'"):
+        select_notebooks(settled, 1, job="absent")
+    picked = select_notebooks(select_notebooks(settled, 1, job="etl"), 3, job="etl")
+    assert statuses(picked)[("ml", "/nb/fit")] == "pending"
     assert statuses(picked)[("etl", "/nb/clean")] == "skipped" and statuses(picked)[("etl", "/nb/sum")] == "pending"
 
 
@@ -85,7 +90,7 @@ def test_set_status(spark, rows, folder):
 
 def test_lookup_function(spark, rows):
     register_lookup(spark, rows)
-    found = spark.sql("SELECT * FROM get_opt_config('etl') ORDER BY dag_order")
+    found = spark.sql("SELECT * FROM get_opt_config('etl')")
     assert found.columns == LOOKUP_COLUMNS and len(LOOKUP_COLUMNS) == 15
     assert [r.notebook_path for r in found.collect()] == ["/nb/load", "/nb/clean", "/nb/sum"]
     assert spark.sql("SELECT * FROM get_opt_config(:job)", args={"job": "x' OR 'a' = 'a"}).count() == 0

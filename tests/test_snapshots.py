@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabproof import AuditLog, SnapshotStore, compare_flows, flow_rollup, sample_by_key, validate_flow, validate_replay
-from tabproof.functions.names import require_three_parts, sandbox_fqn, sandbox_name, short_name, split_fqn
+from tabproof.functions.names import require_three_parts, sandbox_name, short_name
 from tabproof.operators.asof import latest_versions, require_resolved, resolve_versions
 from tabproof.plans.flow import failed_targets
 from tabproof.session import shared_dir
+from tabproof.sources import snapshots
 from tabproof.sources.snapshots import prepare_pair, read_version, write_versions
 from workload.queries import revenue_flow, revenue_flow_salted
 
@@ -85,14 +86,14 @@ def test_sample_tells_key_tuples_apart(spark):
     assert df.select(sample_slot([F.col("p"), F.col("q")], 42)).distinct().count() == 4
 
 
-def test_pair_says_what_was_sampled(views):
+def test_pair_says_what_was_sampled(spark, views):
     inputs = {"orders": views.orders, "lineitem": views.lineitem}
-    left, right, how = prepare_pair(inputs, 30, {"orders": ["o_orderkey"]})
+    left, right, how = prepare_pair(spark, inputs, 30, {"orders": ["o_orderkey"]})
     assert how == {"orders": "sampled 30%", "lineitem": "full"}
     assert left["orders"].exceptAll(right["orders"]).count() == 0
-    assert prepare_pair(inputs, 30)[2] == {"orders": "full", "lineitem": "full"}
+    assert prepare_pair(spark, inputs, 30)[2] == {"orders": "full", "lineitem": "full"}
     with pytest.raises(ValueError, match="unknown tables"):
-        prepare_pair(inputs, 30, {"nope": ["k"]})
+        prepare_pair(spark, inputs, 30, {"nope": ["k"]})
 
 
 def test_names(spark):
@@ -101,9 +102,6 @@ def test_names(spark):
     assert [r[0] for r in df.select(short_name(F.col("n"))).collect()] == ["t"] * 4
     with pytest.raises(Exception, match="expected catalog.schema.table"):
         df.select(require_three_parts(F.col("n"))).collect()
-    assert sandbox_fqn("c", "s", "t") == "c.sandbox.s__t" and split_fqn("`c`.s.t") == ["c", "s", "t"]
-    with pytest.raises(ValueError):
-        split_fqn("s.t")
 
 
 def test_flow_keeps_every_failure(spark, views):
@@ -177,3 +175,49 @@ def test_clusters_must_name_their_shared_folder(spark):
         shared_dir(session(Context("yarn")))
     named = Context("yarn", "hdfs:///shared")
     assert shared_dir(session(named)) == "hdfs:///shared" and named.dir == "hdfs:///shared"
+
+
+def test_both_flows_start_from_the_same_rows(spark):
+    """An input that reads differently each time is written once."""
+    rows = spark.range(50).selectExpr("id", "current_timestamp() AS seen", "uuid() AS tag")
+    same = lambda tables: {"out": tables["rows"]}
+    assert validate_flow(spark, "job", same, same, {"rows": rows}).passed
+
+
+def test_a_source_that_changes_between_the_runs(spark, folder):
+    place = f"{folder}/source"
+    spark.range(5).write.parquet(place)
+
+    def first(tables):
+        spark.range(9).write.mode("overwrite").parquet(place)
+        return {"out": tables["rows"]}
+
+    assert validate_flow(spark, "job", first, lambda t: {"out": t["rows"]}, {"rows": spark.read.parquet(place)}).passed
+
+
+def test_a_second_writer_of_a_version_fails(spark, folder):
+    store = SnapshotStore(spark, folder)
+    spark.range(3).write.parquet(f"{folder}/t/version=0")
+    with pytest.raises(Exception, match="exists"):
+        store.commit("t", spark.range(8), datetime(2024, 1, 1))
+    assert spark.read.parquet(f"{folder}/t/version=0").count() == 3
+
+
+def test_few_and_many_pins_resolve_alike(spark, folder, monkeypatch):
+    store = SnapshotStore(spark, folder)
+    for i in range(3):
+        for t in "ab":
+            store.commit(t, spark.range(i), datetime(2024, 1, 1 + i))
+    pins = {"a": datetime(2024, 1, 2, 5), "b": datetime(2025, 1, 1)}
+    few = store.resolve(pins)
+    monkeypatch.setattr(snapshots, "LITERAL_PINS", 1)
+    assert store.resolve(pins) == few == {"a": 1, "b": 2}
+
+
+def test_each_target_has_its_own_contract(spark):
+    details = spark.createDataFrame(
+        [("x", s, 1, 1, None) for s in ("baseline", "candidate")] + [("y", "baseline", 1, 1, None), ("y", "candidate", 2, 1, None)],
+        "table_name string, side string, reader int, writer int, features array<string>")
+    frames = {t: spark.range(4) for t in "xyz"}
+    found = compare_flows(spark, frames, frames, details=details)
+    assert found.failed_targets == ["y", "z"]
