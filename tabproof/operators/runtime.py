@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint
+from ..sources.telemetry import TIMELINE, telemetry
 from .running import exact_median, value_counts
 
 # Defaults of the telemetry window and the gain gate.
@@ -33,7 +33,7 @@ def task_runtime(timeline: DataFrame, as_of: datetime, lookback_days: int = RUN_
     period_end_time)``; a run may have several periods.
     """
     return (
-        timeline.where(within_days(F.col("period_start_time"), as_of, lookback_days)
+        telemetry(timeline, TIMELINE).where(within_days(F.col("period_start_time"), as_of, lookback_days)
                        & F.col("period_end_time").isNotNull())
         .groupBy("job_id", "task_key")
         .agg(F.count_distinct("run_id").alias("runs"),
@@ -41,7 +41,7 @@ def task_runtime(timeline: DataFrame, as_of: datetime, lookback_days: int = RUN_
     )
 
 
-def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
+def rank_hotspots(registry: DataFrame, timeline: DataFrame | str | None, as_of: datetime,
                   lookback_days: int = RUN_LOOKBACK_DAYS) -> DataFrame:
     """Registry rows with their task's runtime, dearest first in each job.
 
@@ -49,16 +49,19 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
     listed or not), ``cost_share`` of it, ``ranked`` (the job has telemetry) and ``recommended`` (the
     dearest notebook, by DAG order on ties, when it ran at all).
     """
-    # The timeline is by far the largest input and is read once; its summary is used three times.
-    runtime = checkpoint(task_runtime(timeline, as_of, lookback_days))
-    totals = runtime.groupBy("job_id").agg(F.sum("total_s").alias("job_total_s"))
-    timed = registry.join(runtime, ["job_id", "task_key"], "left")
-    best = timed.where("total_s > 0").groupBy("job_id").agg(
-        F.min(F.struct((-F.col("total_s")).alias("cost"), "dag_order", "notebook_path")).alias("best"))
-    per_job = totals.join(best, "job_id", "left").select(
-        "job_id", "job_total_s", F.col("best.notebook_path").alias("pick"))
+    jobs = registry.select("job_id").distinct()
+    # Only the registry's jobs are added up; what follows works on that summary, a row per task.
+    listed = telemetry(timeline, TIMELINE).join(jobs, "job_id", "left_semi")
+    whole = Window.partitionBy("job_id")
+    runtime = task_runtime(listed, as_of, lookback_days).withColumn("job_total_s", F.sum("total_s").over(whole))
+    cheapest_last = F.struct((-F.col("total_s")).alias("cost"), "dag_order", "notebook_path")
     return (
-        timed.join(per_job, "job_id", "left")
+        registry.withColumn("listed", F.lit(True)).join(runtime, ["job_id", "task_key"], "full")
+        .withColumns({
+            "job_total_s": F.max("job_total_s").over(whole),
+            "pick": F.min(F.when(F.col("listed") & (F.col("total_s") > 0), cheapest_last)).over(whole)["notebook_path"],
+        })
+        .where("listed")
         .withColumns({
             "runs": F.coalesce("runs", F.lit(0)),
             "total_runtime_s": F.coalesce("total_s", F.lit(0)),
@@ -68,7 +71,7 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame, as_of: datetime,
             "ranked": F.coalesce(F.col("job_total_s") > 0, F.lit(False)),
             "recommended": F.coalesce(F.col("notebook_path") == F.col("pick"), F.lit(False)),
         })
-        .drop("total_s", "job_total_s", "pick")
+        .drop("total_s", "job_total_s", "pick", "listed")
         .orderBy("job_id", F.desc("total_runtime_s"), "dag_order", "notebook_path")
     )
 

@@ -8,23 +8,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import short_name
+from ..sources.telemetry import STATEMENTS, telemetry
 
 # Defaults of the statement window.
 STATEMENT_LOOKBACK_DAYS = 7
 TOP_STATEMENTS = 50
 
-_WORD = r"[^\w]+"
+# Letters of any script count as letters of a word.
+_WORD = r"(?U)[^\w]+"
+# Words are searched in pieces of so many characters, so that the search is linear in their length ...
+PIECE = 256
+# ... for the first so many characters of a name's longest word.
+ANCHOR = 64
 
 
 def mentions(text: Column, names: list[str], whole_word: bool = False) -> Column:
-    """Whether the text names any of the tables. Letters in any case, ``_`` stands for itself."""
+    """Whether the text names any of the tables. Letters in any case, ``_`` stands for itself.
+
+    With ``whole_word``, no letter, digit or underscore may touch the name.
+    """
     lowered = F.lower(text)
     if whole_word:
-        tokens = F.split(lowered, _WORD)
-        return F.arrays_overlap(tokens, F.array(*[F.lit(n.lower()) for n in names]))
+        return reduce(lambda a, b: a | b, [F.rlike(lowered, bounded(F.lit(n.lower()))) for n in names])
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n.lower())) for n in names])
 
 
+def bounded(name: Column) -> Column:
+    """Regular expression of a name as it stands between other words."""
+    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
+
+
 def statements_touching(statements: DataFrame, names: list[str], whole_word: bool = False) -> DataFrame:
     """Statements that name any of the given tables: a filter, no join."""
     if not names:
@@ -33,35 +46,58 @@ def statements_touching(statements: DataFrame, names: list[str], whole_word: boo
     return statements.where(mentions(F.col("statement_text"), shorts, whole_word))
 
 
-def statements_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Every statement, without its text, beside every table of ``targets(table_name)`` that the text names.
+def pairs_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Distinct ``(statement_id, table_name)`` for every table of ``targets(table_name)`` that a statement's text names.
 
-    For many tables at once. A table name consists of word characters, so it
-    can occur only inside one word of the text; words are matched with names,
-    and each distinct word only once however many statements contain it. The
-    text itself is not shuffled.
+    For many tables at once, and names of any characters. A text that has a name
+    has the name's longest word, its anchor, inside one of its own words; words
+    are matched with anchors, each distinct word only once however many
+    statements contain it. Where the anchor is not the whole name, the text
+    itself is looked at again. Long texts are not shuffled for the others.
     """
-    names = targets.select("table_name", F.lower(short_name(F.col("table_name"))).alias("name")).distinct()
-    names = names.withColumn("name", F.when(F.col("name").rlike(r"^\w+$"), F.col("name")).otherwise(
-        F.raise_error(F.concat(F.lit("not a plain table name: "), F.col("table_name"))).cast("string")))
-    rest = [n for n in statements.columns if n != "statement_text"]
-    words = statements.select(*rest, F.explode(F.array_distinct(
-        F.split(F.lower(F.col("statement_text")), _WORD))).alias("word")).where("word <> ''")
+    lowered = F.lower(short_name(F.col("table_name")))
+    names = targets.select("table_name", lowered.alias("name")).where("name <> ''").distinct().withColumn(
+        "runs", F.filter(F.split("name", _WORD), lambda w: w != "")).withColumn(
+        "run", F.array_max(F.transform("runs", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    names = names.withColumn("anchor", F.col("run") if whole_word else F.substring("run", 1, ANCHOR)).select(
+        "table_name", "name", "anchor", (F.col("name") == F.col("anchor")).alias("plain"))
+    text = F.lower("statement_text")
+    # A long word goes by its digest, so that no piece of it carries the whole.
+    key = F.when(F.length("word") < ANCHOR, F.col("word")).otherwise(F.sha2("word", 256))
+    words = statements.select("statement_id", F.explode(F.array_distinct(F.split(text, _WORD))).alias("word")).where(
+        "word <> ''").withColumn("key", key)
     if whole_word:
-        pairs = names.select("table_name", F.col("name").alias("word"))
+        found = names.where("anchor IS NOT NULL").withColumn("word", F.col("anchor")).withColumn("key", key)
     else:
-        lengths = names.select(F.length("name").alias("size")).distinct()
-        vocabulary = words.select("word").distinct()
+        lengths = names.select(F.length("anchor").alias("size")).distinct()
+        parts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
         pieces = (
-            # A piece is every stretch of a word that is as long as some name.
-            vocabulary.withColumn("size", F.explode(F.sequence(F.lit(1), F.length("word"))))
+            # Each piece reaches into the next one, and every stretch of it is looked up that is as long as some anchor.
+            words.select("key", "word").distinct().withColumn("parts", parts)
+            .select("key", F.explode(F.transform("parts", lambda part, i: F.concat(part, F.coalesce(
+                F.substring(F.get("parts", i + 1), 1, ANCHOR - 1), F.lit(""))))).alias("piece"))
+            .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(ANCHOR)))))
             .join(lengths, "size", "left_semi")
-            .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)))
-            .select("word", F.expr("substring(word, at, size)").alias("name")).distinct()
+            .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1)))
+            .select("key", F.expr("substring(piece, at, size)").alias("anchor")).distinct()
         )
-        pairs = pieces.join(names, "name").select("table_name", "word")
-    # Several words of a statement may contain the same name.
-    return words.join(pairs, "word").drop("word").dropDuplicates(["statement_id", "table_name"])
+        found = pieces.join(names, "anchor")
+    pairs = words.select("statement_id", "key").join(found.select("table_name", "name", "plain", "key"), "key").select(
+        "statement_id", "table_name", "name", "plain").distinct()
+    sure = pairs.where("plain").select("statement_id", "table_name")
+    # Names without any word of their own are looked for in every text.
+    bare = names.where("anchor IS NULL").select("table_name", "name")
+    again = pairs.where("NOT plain").select("statement_id", "table_name", "name").join(
+        statements.select("statement_id", text.alias("text")), "statement_id").unionByName(
+        statements.select("statement_id", text.alias("text")).join(bare, F.contains(F.col("text"), F.col("name"))))
+    seen = F.rlike(F.col("text"), bounded(F.col("name"))) if whole_word else F.contains(F.col("text"), F.col("name"))
+    return sure.unionByName(again.where(seen).select("statement_id", "table_name")).distinct()
+
+
+def statements_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Every statement, without its text, beside every table of ``targets(table_name)`` that the text names."""
+    rest = statements.drop("statement_text").dropDuplicates(["statement_id"])
+    return pairs_by_table(statements, targets, whole_word).join(rest, "statement_id").select(*rest.columns, "table_name")
 
 
 def in_window(statements: DataFrame, as_of: date | datetime, lookback_days: int = STATEMENT_LOOKBACK_DAYS,
@@ -71,7 +107,7 @@ def in_window(statements: DataFrame, as_of: date | datetime, lookback_days: int
     The bounds are literals, so they reach the scan.
     """
     day = as_of.date() if isinstance(as_of, datetime) else as_of
-    return statements.where(
+    return telemetry(statements, STATEMENTS).where(
         (F.col("start_time") >= F.lit(day).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_days)} DAYS"))
         & (F.col("execution_status") == "FINISHED")
         & (F.col("total_duration_ms") >= int(min_duration_ms)))
@@ -120,6 +156,9 @@ def worst_by_table(statements: DataFrame, targets: DataFrame, as_of: date | date
     """
     recent = in_window(statements, as_of, lookback_days, min_duration_ms)
     order = Window.partitionBy("table_name").orderBy(F.desc("total_duration_ms"), "statement_id")
-    return with_ratios(
-        statements_by_table(recent, targets, whole_word)
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit))
+    longest = recent.groupBy("statement_id").agg(F.max("total_duration_ms").alias("total_duration_ms"))
+    top = pairs_by_table(recent, targets, whole_word).join(longest, "statement_id").withColumn(
+        "place", F.row_number().over(order)).where(F.col("place") <= limit).select("statement_id", "table_name", "place")
+    # The other columns are fetched for what is left only.
+    kept = recent.drop("statement_text").join(top.select("statement_id").distinct(), "statement_id", "left_semi")
+    return with_ratios(kept.dropDuplicates(["statement_id"]).join(top, "statement_id"))

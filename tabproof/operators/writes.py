@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.maps import first_int
+from ..sources.telemetry import WRITES, telemetry
 
 # Operations that write data, and how many entries of a history are looked at.
 WRITE_OPERATIONS = (
@@ -33,7 +34,7 @@ def write_signals(history: DataFrame, depth: int = HISTORY_DEPTH) -> DataFrame:
     """
     newest = Window.partitionBy("table_name").orderBy(F.desc("version"))
     recent = (
-        history.select("table_name", "version", "operation", "operationMetrics")
+        telemetry(history, WRITES).select("table_name", "version", "operation", "operationMetrics")
         .withColumn("place", F.row_number().over(newest)).where(F.col("place") <= depth)
     )
     is_write = F.upper("operation").isin(*WRITE_OPERATIONS)

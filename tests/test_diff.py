@@ -65,8 +65,12 @@ def test_passes_over_some_columns_give_the_same_fingerprint(views):
     a, b = views.orders, views.orders_cand
     one = {(r["column"], r.metric): tuple(r)[2:] for r in compare_fingerprints(a, b).collect()}
     many = {(r["column"], r.metric): tuple(r)[2:] for r in compare_fingerprints(a, b, columns_per_pass=2).collect()}
-    assert many.pop(("*", "content"))[2] == one.pop(("*", "content"))[2]
     assert many == one
+    assert one[("*", "content")][0] is not None
+    wide = a.select("*", *[F.col("o_totalprice").alias(f"p{i}") for i in range(40)])
+    passes = {(r["column"], r.metric): tuple(r)[2:] for r in compare_fingerprints(wide, wide.limit(9)).collect()}
+    whole = {(r["column"], r.metric): tuple(r)[2:] for r in compare_fingerprints(wide, wide.limit(9), columns_per_pass=99).collect()}
+    assert passes == whole
 
 
 def test_row_checksums(spark, views):
@@ -243,10 +247,14 @@ def test_contract(spark):
             ("reader", "baseline", None, None, None), ("reader", "candidate", 2, 1, None),
             ("writer", "baseline", 1, 2, []), ("writer", "candidate", 1, 7, []),
             ("feature", "baseline", 1, 2, ["a"]), ("feature", "candidate", 1, 2, ["c", "a", "b"]),
-            ("new", "candidate", 3, 7, ["x"])]
-    found = {r.table_name: (r.passed, r.added_features) for r in contract_diff(detail(spark, rows)).collect()}
-    assert {t for t, (ok, _) in found.items() if ok} == {"same", "lower", "new"}
+            ("split", "baseline", 1, 2, ["a"]), ("split", "baseline", 1, 1, ["b"]), ("split", "candidate", 1, 2, ["a", "b"]),
+            ("new", "candidate", 3, 7, ["x"]), ("gone", "baseline", 1, 1, None)]
+    found = {r.table_name: (r.passed, r.added_features, r.reason) for r in contract_diff(detail(spark, rows)).collect()}
+    assert {t for t, (ok, *_) in found.items() if ok} == {"same", "lower", "split"}
     assert found["feature"][1] == ["b", "c"]
+    assert found["new"][2] == "no baseline row" and found["gone"][2] == "no candidate row"
+    allowed = {r.table_name: r.passed for r in contract_diff(detail(spark, rows), allow_new=True).collect()}
+    assert allowed["new"] and not allowed["gone"] and not allowed["reader"]
     require_contract(detail(spark, rows[:4]))
     with pytest.raises(ValueError, match="writer"):
         require_contract(detail(spark, rows))

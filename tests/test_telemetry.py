@@ -1,5 +1,6 @@
 """Runtime, timings, statements, writes and their diagnosis."""
 
+import time
 from datetime import datetime
 
 import pytest
@@ -33,7 +34,7 @@ def test_hotspots(spark):
     assert [r.cost_share for r in ranked] == [0.25, 0.25, 0.0, 0.0]
     assert [r.recommended for r in ranked] == [True, False, False, False]
     assert [r.ranked for r in ranked] == [True, True, True, False]
-    empty = runtime.rank_hotspots(listed, shapes.telemetry(spark, None, shapes.TIMELINE), NOW).collect()
+    empty = runtime.rank_hotspots(listed, shapes.telemetry(None, shapes.TIMELINE), NOW).collect()
     assert len(empty) == 4 and not any(r.ranked or r.recommended for r in empty)
 
 
@@ -83,9 +84,25 @@ def test_mentions_are_literal(spark):
     pairs = lambda **o: sorted((r.statement_id, r.table_name) for r in statements.statements_by_table(rows, targets, **o).collect())
     assert pairs() == [("1", "lake.gold.t_1"), ("2", "lake.gold.T_10"), ("2", "lake.gold.t_1"), ("4", "lake.gold.T_10"), ("4", "lake.gold.t_1")]
     assert pairs(whole_word=True) == [("1", "lake.gold.t_1"), ("2", "lake.gold.T_10"), ("4", "lake.gold.T_10"), ("4", "lake.gold.t_1")]
-    odd = spark.createDataFrame([("lake.gold.a-b",)], "table_name string")
-    with pytest.raises(Exception, match="not a plain table name"):
-        statements.statements_by_table(rows, odd).collect()
+    odd = spark.createDataFrame([("1", "from A-B, x", 1), ("2", "from a-bc", 1), ("3", "in `Größe`", 1), ("4", "a -- b", 1), ("5", "GRÖSSE", 1)],
+                                "statement_id string, statement_text string, total_duration_ms long")
+    names = spark.createDataFrame([("lake.gold.`a-b`",), ("größe",), ("--",), ("größ",), (r"\\E",)], "table_name string")
+    found = lambda **o: sorted((r.statement_id, r.table_name) for r in statements.statements_by_table(odd, names, **o).collect())
+    assert found() == [("1", "lake.gold.`a-b`"), ("2", "lake.gold.`a-b`"), ("3", "größ"), ("3", "größe"), ("4", "--")]
+    assert found(whole_word=True) == [("1", "lake.gold.`a-b`"), ("3", "größe"), ("4", "--")]
+    assert ids(statements.statements_touching(odd, ["a-b", "größe"], whole_word=True)) == ["1", "3"]
+
+
+def test_a_long_word_takes_linear_time(spark):
+    """50,000 characters without a break, names at its ends and across the pieces that it is searched in."""
+    word = "t_1" + "x" * 251 + "t_22" + "y" * 50_000 + "t_333"
+    rows = spark.createDataFrame([("1", word, 5)], "statement_id string, statement_text string, total_duration_ms long")
+    targets = spark.createDataFrame([("t_1",), ("t_22",), ("t_333",), ("t_4",)], "table_name string")
+    find = lambda: {r.table_name for r in statements.statements_by_table(rows, targets).collect()}
+    find()
+    began = time.monotonic()
+    assert find() == {"t_1", "t_22", "t_333"}
+    assert time.monotonic() - began < 15
 
 
 def test_worst_statements(spark):
@@ -153,6 +170,6 @@ def test_profiles(spark):
 
 
 def test_missing_telemetry_reads_as_empty(spark):
-    assert shapes.telemetry(spark, "no_such_table", shapes.STATEMENTS).count() == 0
+    assert shapes.telemetry("no_such_table", shapes.STATEMENTS).count() == 0
     part = spark.createDataFrame([("a", 1, "x")], "table_name string, version int, extra string")
-    assert shapes.telemetry(spark, part, shapes.WRITES).first().operation is None
+    assert shapes.telemetry(part, shapes.WRITES).first().operation is None

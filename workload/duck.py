@@ -19,6 +19,8 @@ VIEWS = {
     "orders_drift": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1e-9 AS o_totalprice, o_orderdate, o_orderpriority
         FROM orders""",
+    "orders_moved": """
+        SELECT * REPLACE (CASE WHEN o_orderkey % 83 = 0 THEN o_totalprice + 0.5 ELSE o_totalprice END AS o_totalprice) FROM orders""",
     "lineitem_cand": """
         SELECT * FROM lineitem WHERE l_orderkey % 97 <> 0
         UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 89 = 0""",
@@ -46,10 +48,11 @@ VIEWS = {
         WHERE run_no > first_run GROUP BY job, variant""",
     "statement_log": """
         SELECT CAST(event_id AS VARCHAR) AS statement_id,
-               'INSERT INTO lake.gold.T_' || (user_id % 30) || ' SELECT * FROM src' AS statement_text,
+               'INSERT INTO lake.gold.T_' || (user_id % 30) || ' SELECT * FROM src, lake.gold.`Größe-' || (user_id % 4) || '`' AS statement_text,
                ts AS start_time, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS execution_status,
-               CAST(floor(value * 1000) AS BIGINT) AS total_duration_ms, 1 + event_id % 1000 AS read_rows,
-               (1 + event_id % 1000) * (user_id % 5) AS produced_rows, (1 + event_id % 1000) * 100 AS read_bytes,
+               CAST(floor(value * 1000) AS BIGINT) AS total_duration_ms, CAST(floor(value * 800) AS BIGINT) AS execution_duration_ms,
+               event_id % 100 AS compilation_duration_ms, 1 + event_id % 1000 AS read_rows,
+               (1 + event_id % 1000) * CASE WHEN event_id % 7 = 0 THEN 15000000 ELSE user_id % 5 END AS produced_rows, (1 + event_id % 1000) * 100 AS read_bytes,
                CASE WHEN event_type = 'purchase' THEN user_id * 1000 ELSE 0 END AS spilled_local_bytes
         FROM events""",
     "recent_statements": """
@@ -65,7 +68,9 @@ VIEWS = {
                CAST(o_orderkey % 7 AS VARCHAR) AS m_added,
                CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS m_removed,
                CAST(o_orderkey % 3 AS VARCHAR) AS m_removed2,
-               CASE WHEN o_orderkey % 13 = 0 THEN '3.5' ELSE CAST(o_orderkey AS VARCHAR) END AS m_rows, '9' AS m_rows2
+               CASE WHEN o_orderkey % 13 = 0 THEN '3.5' ELSE CAST(o_orderkey AS VARCHAR) END AS m_rows, '9' AS m_rows2,
+               CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 500 ELSE 0 END AS rewrite_time_ms, o_orderkey % 900 AS scan_time_ms,
+               o_orderkey % 2000 AS execution_time_ms
         FROM orders""",
     "write_counts": """
         SELECT *, CAST(m_added AS BIGINT) AS files_added,
@@ -74,7 +79,7 @@ VIEWS = {
         FROM write_history""",
     "latest_writes": """
         SELECT t.table_name, w.version IS NOT NULL AS available, w.operation, w.version, w.files_added, w.files_removed,
-               w.output_rows, CASE WHEN w.files_added > 0 THEN round_even(w.files_removed::DOUBLE / w.files_added, 2) END AS rewrite_ratio
+               w.output_rows, w.scan_time_ms, w.rewrite_time_ms, w.execution_time_ms, CASE WHEN w.files_added > 0 THEN round_even(w.files_removed::DOUBLE / w.files_added, 2) END AS rewrite_ratio
         FROM (SELECT DISTINCT table_name FROM write_history) t
         LEFT JOIN (
             SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY version DESC) AS nth

@@ -12,12 +12,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabproof.plans.promotion import REQUIRED_STEPS
+from tabproof.sources.telemetry import STATEMENTS, telemetry
+
 # Moments at which the telemetry windows end; literals, so that results repeat.
 RUNS_AS_OF, RUNS_DAYS = datetime(2001, 1, 1), 1500
 STATEMENTS_AS_OF, STATEMENT_DAYS = datetime(2024, 1, 31), 20
 
-STEPS = ("detect_tables", "perf_profile", "generate_v2", "sandbox_setup", "equivalence", "perf_benchmark",
-         "security_review", "promote")
+STEPS = (*REQUIRED_STEPS, "promote")
 JOBS = (0, 1, 2)
 REFERENCE, CLONE = "prod.gold.t1", "prod.sandbox.gold__t1"
 
@@ -58,6 +60,11 @@ class Views:
         """Every price off by less than the tolerance."""
         return self.orders.withColumn("o_totalprice", F.expr("o_totalprice + 1e-9D"))
 
+    @cached_property
+    def orders_moved(self) -> DataFrame:
+        """As many rows, some with another price."""
+        return self.orders.withColumn("o_totalprice", F.expr("if(o_orderkey % 83 = 0, o_totalprice + 0.5D, o_totalprice)"))
+
     @cached_property
     def orders_shape(self) -> DataFrame:
         """A renamed column, a changed type, and nulls where there were none."""
@@ -75,10 +82,13 @@ class Views:
     def table_detail(self) -> DataFrame:
         part = self.table("part")
         name = "concat('part_', p_partkey) AS table_name"
-        before = part.selectExpr(name, "'baseline' AS side", "1 + p_size % 3 AS reader", "2 + p_size % 5 AS writer",
-                                 "array(p_type) AS features")
+        # Some tables lack the row of a side, some have two rows with different features.
+        before = part.where("p_partkey % 11 <> 0").selectExpr(
+            name, "'baseline' AS side", "1 + p_size % 3 AS reader", "2 + p_size % 5 AS writer",
+            "explode(if(p_partkey % 5 = 0, array(array(p_type), array('zz')), array(array(p_type)))) AS features")
         after = part.selectExpr(name, "'candidate' AS side", "1 + p_size % 2 AS reader", "2 + p_size % 4 AS writer",
-                                "if(p_size % 3 = 0, array(p_type, p_brand), array(p_type)) AS features")
+                                "if(p_size % 3 = 0, array(p_type, p_brand), array(p_type)) AS features").where(
+            "int(substring(table_name, 6)) % 13 <> 0")
         return before.unionByName(after)
 
     # Telemetry ---------------------------------------------------------------------------------
@@ -102,12 +112,13 @@ class Views:
     def statement_log(self) -> DataFrame:
         rows = self.events.selectExpr(
             "string(event_id) AS statement_id",
-            "concat('INSERT INTO lake.gold.T_', user_id % 30, ' SELECT * FROM src') AS statement_text",
+            "concat('INSERT INTO lake.gold.T_', user_id % 30, ' SELECT * FROM src, lake.gold.`Größe-', user_id % 4, '`') AS statement_text",
             "ts AS start_time", "if(event_type = 'error', 'FAILED', 'FINISHED') AS execution_status",
-            "bigint(floor(value * 1000)) AS total_duration_ms", "1 + event_id % 1000 AS read_rows",
-            "(1 + event_id % 1000) * (user_id % 5) AS produced_rows", "(1 + event_id % 1000) * 100 AS read_bytes",
+            "bigint(floor(value * 1000)) AS total_duration_ms", "bigint(floor(value * 800)) AS execution_duration_ms",
+            "event_id % 100 AS compilation_duration_ms", "1 + event_id % 1000 AS read_rows",
+            "(1 + event_id % 1000) * if(event_id % 7 = 0, 15000000, user_id % 5) AS produced_rows", "(1 + event_id % 1000) * 100 AS read_bytes",
             "if(event_type = 'purchase', user_id * 1000, 0L) AS spilled_local_bytes")
-        return rows
+        return telemetry(rows, STATEMENTS)
 
     @cached_property
     def write_history(self) -> DataFrame:
@@ -119,7 +130,8 @@ class Views:
             "map('numTargetFilesAdded', string(o_orderkey % 7), 'numTargetFilesRemoved', "
             "if(o_orderkey % 11 = 0, '', string(o_orderkey % 5)), 'numRemovedFiles', string(o_orderkey % 3), "
             "'numOutputRows', if(o_orderkey % 13 = 0, '3.5', string(o_orderkey)), "
-            "'numTargetRowsInserted', '9') AS operationMetrics")
+            "'numTargetRowsInserted', '9', 'scanTimeMs', string(o_orderkey % 900), 'rewriteTimeMs', "
+            "if(o_orderkey % 4 = 0, 'n/a', string(o_orderkey % 500)), 'executionTimeMs', string(o_orderkey % 2000)) AS operationMetrics")
 
     @cached_property
     def pins(self) -> DataFrame:
@@ -138,7 +150,7 @@ class Views:
             "concat('job_', user_id % 10) AS job", "concat('nb_', user_id) AS notebook", "step",
             "CASE WHEN event_id % 10 = 0 THEN 'started' WHEN event_id % 10 IN (1, 2) "
             "OR (user_id % 3 = 0 AND step = 'security_review') THEN 'failed' ELSE 'succeeded' END AS status",
-            "concat('broadcast, ', event_type, ',,') AS raw_change_type",
+            "concat('\\tbroadcast\\n, ', event_type, '\\r\\n,, \\t') AS raw_change_type",
             "CASE WHEN step = 'equivalence' THEN map(if(event_id % 3 = 0, 'passed', 'result'), "
             "if(event_id % 10 IN (1, 2), 'failed', 'passed')) END AS equivalence",
             "CASE WHEN step = 'perf_benchmark' THEN map(if(event_id % 2 = 0, 'gain', 'gain_pct'), "
@@ -149,7 +161,7 @@ class Views:
     def audit_events(self) -> DataFrame:
         """The audit log under its own schema."""
         return self.audit.withColumn("change_type", F.expr(
-            "filter(transform(split(raw_change_type, ','), p -> trim(p)), p -> p <> '')")).drop("raw_change_type")
+            "filter(transform(split(raw_change_type, ','), p -> regexp_replace(p, '^\\\\s+|\\\\s+$', '')), p -> p <> '')")).drop("raw_change_type")
 
     @cached_property
     def registry(self) -> DataFrame:
