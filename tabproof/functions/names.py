@@ -41,11 +41,3 @@ def sandbox_name(name: Column, sandbox: str = DEFAULT_SANDBOX, suffix: str = "")
     """Where the copy of a table lives: same catalog, one schema, original schema in the name."""
     parts = name_parts(name)
     return F.concat(parts[0], F.lit(f".{sandbox}."), parts[1], F.lit("__"), parts[2], F.lit(suffix))
-
-
-def require_three_parts(name: Column) -> Column:
-    """The parts of the name; a name without three of them stops the job."""
-    return F.coalesce(
-        name_parts(name),
-        F.raise_error(F.concat(F.lit("expected catalog.schema.table, got "), name)).cast("array<string>"),
-    )

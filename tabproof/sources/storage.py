@@ -18,10 +18,6 @@ def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
         df.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in present]), allowMissingColumns=True)
 
 
-def missing_columns(df: DataFrame, schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields if f.name not in df.columns]
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows stored under ``path``, read with ``schema``; no rows when nothing was written yet.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabproof import AuditLog, SnapshotStore, compare_flows, flow_rollup, sample_by_key, validate_flow, validate_replay
-from tabproof.functions.names import require_three_parts, sandbox_name, short_name
+from tabproof.functions.names import sandbox_name, short_name
 from tabproof.operators.asof import latest_versions, require_resolved, resolve_versions
 from tabproof.plans.flow import failed_targets
 from tabproof.session import shared_dir
@@ -100,8 +100,6 @@ def test_names(spark):
     df = spark.createDataFrame([("c.s.t",), ("`c`.`s`.`t`",), ("s.t",), ("c..t",)], "n string")
     assert [r[0] for r in df.select(sandbox_name(F.col("n"), "box", "_v1")).collect()] == ["c.box.s__t_v1"] * 2 + [None] * 2
     assert [r[0] for r in df.select(short_name(F.col("n"))).collect()] == ["t"] * 4
-    with pytest.raises(Exception, match="expected catalog.schema.table"):
-        df.select(require_three_parts(F.col("n"))).collect()
 
 
 def test_flow_keeps_every_failure(spark, views):

@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabproof import (AuditLog, Registry, SnapshotStore, compare, compare_fingerprints, contract_diff, flow_rollup,
+from tabproof import (AuditLog, Registry, SnapshotStore, changes_by_column, compare, compare_fingerprints, contract_diff, flow_rollup,
                       key_diff, key_diff_summary, missing_steps, multiset_diff, multiset_diff_rows,
                       partition_count_diff, promotion_gate, promotion_outcome, row_counts, sample_by_key,
                       schema_diff, scorecard, select_notebooks, validate_flow, validate_replay)
@@ -19,7 +19,7 @@ from tabproof.functions import maps, names
 from tabproof.functions.floats import normalise_floats
 from tabproof.functions.scripts import nondeterminism_flags, remap_references
 from tabproof.operators import asof, dag, diagnosis, runtime, statements, writes
-from tabproof.plans import recipes, registered
+from tabproof.plans import flow, recipes, registered
 from tabproof.session import new_folder
 from tabproof.sources import audit as log, registry as reg, snapshots, storage
 
@@ -214,6 +214,11 @@ def key_diff_(v: Views) -> DataFrame:
     return key_diff(v.orders, v.orders_cand, ["o_orderkey"]).withColumn("changed_columns", joined("changed_columns"))
 
 
+@query("""SELECT 'o_totalprice' AS "column", count(*) AS changed_keys FROM k WHERE change = 'changed'""", **KEYS)
+def changes_by_column_(v: Views) -> DataFrame:
+    return changes_by_column(v.orders, v.orders_cand, ["o_orderkey"])
+
+
 @query("SELECT " + ", ".join(f"count(*) FILTER (WHERE change = '{n}') AS {n}" for n in (
     "added", "removed", "changed", "same", "duplicated")) + " FROM k", **KEYS)
 def key_diff_summary_(v: Views) -> DataFrame:
@@ -698,9 +703,13 @@ def _verdicts(v: Views) -> DataFrame:
         F.col("job").alias("flow"), F.col("notebook").alias("target"), "passed")
 
 
-@query("SELECT job, notebook, config_status, events, block_reason, block_reason IS NULL AS passed FROM gate", **GATE)
+@query("""
+    SELECT g.job, g.notebook, config_status, coalesce(steps, '') AS steps_recorded, events, block_reason, block_reason IS NULL AS passed
+    FROM gate g LEFT JOIN (SELECT job, notebook, string_agg(step, '|' ORDER BY step) AS steps
+                           FROM ok_steps WHERE step IN (SELECT step FROM required_steps) GROUP BY 1, 2) s
+      ON s.job = g.job AND s.notebook = g.notebook""", **GATE)
 def promotion_gate_(v: Views) -> DataFrame:
-    return _gate(v).drop("steps_recorded")
+    return _gate(v).withColumn("steps_recorded", joined("steps_recorded"))
 
 
 @query("""
@@ -719,6 +728,24 @@ def flow_rollup_(v: Views) -> DataFrame:
     return flow_rollup(_verdicts(v))
 
 
+@query("SELECT DISTINCT flow, target FROM flow_verdicts WHERE NOT passed")
+def failed_targets(v: Views) -> DataFrame:
+    return flow.failed_targets(_verdicts(v))
+
+
+@query("""
+    SELECT audit_id, 'result=' || CASE WHEN status = 'succeeded' THEN 'passed' ELSE 'failed' END || ', risk_tier=zero_risk, step=' || step AS equivalence,
+           'after_s=' || (event_id % 40) || ', before_s=' || (event_id % 50) || ', gain=' || (event_id % 60) || ', passed='
+           || CASE WHEN status = 'succeeded' THEN 'True' ELSE 'False' END AS perf
+    FROM audit""")
+def audit_entries(v: Views) -> DataFrame:
+    """Maps of a verdict as the log stores them."""
+    passed, number = F.col("status") == "succeeded", F.expr("bigint(substring(audit_id, 2))")
+    return v.audit.select(
+        "audit_id", maps.readable(maps.equivalence_entry(passed, F.lit("zero_risk"), step=F.col("step"))).alias("equivalence"),
+        maps.readable(maps.perf_entry(number % 60, passed, number % 50, number % 40)).alias("perf"))
+
+
 # Registry and DAG ----------------------------------------------------------------------------------
 
 @query("SELECT job_id, task_key, CAST(wave AS INTEGER) AS wave, dag_order FROM ordered_tasks")
@@ -863,6 +890,15 @@ def resolve_asof(v: Views) -> DataFrame:
     return asof.resolve_versions(v.write_history, v.pins).withColumn("pin_ts", moment("pin_ts"))
 
 
+@query("""
+    SELECT table_name, max(version) AS version FROM write_history GROUP BY 1""")
+def resolve_required(v: Views) -> DataFrame:
+    """A moment after the last commit gives the last version of every table; one without would stop the job."""
+    late = v.write_history.select("table_name").distinct().selectExpr(
+        "table_name", "timestamp_ntz'2100-01-01' AS pin_ts", "bigint(NULL) AS pin_version")
+    return asof.require_resolved(asof.resolve_versions(v.write_history, late)).select("table_name", "version")
+
+
 _version = "CAST(floor((year(o_orderdate) - 1992) / 2) AS INTEGER)"
 
 
