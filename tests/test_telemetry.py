@@ -173,3 +173,10 @@ def test_missing_telemetry_reads_as_empty(spark):
     assert shapes.telemetry("no_such_table", shapes.STATEMENTS).count() == 0
     part = spark.createDataFrame([("a", 1, "x")], "table_name string, version int, extra string")
     assert shapes.telemetry(part, shapes.WRITES).first().operation is None
+
+
+def test_ranking_is_one_lazy_plan(views):
+    """Nothing is checkpointed, and only the registry's jobs are added up."""
+    plan = runtime.rank_hotspots(views.registry, views.run_timeline, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    assert "LeftSemi" in plan
