@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,15 +20,11 @@ from .text import Memo, as_bytes, batch_of, turn_to
 
 END_OF_DOCUMENT = 2
 #: Bytes of text that are tokenized together.
-TOGETHER = 4 << 20
-#: Words, and parts of words, that a worker remembers.
-REMEMBERED = 600_000
+TOGETHER = 2 << 20
+#: Parts that a worker remembers.
+REMEMBERED = 1_200_000
 #: New parts that are given to the library as one text, and what stands between them there.
 JOINED, MARK = 500, "\x01"
-#: The parts of words of a text with one word a line.
-PARTS = re.compile("\\n|" + PRETOKEN_LATIN.pattern)
-#: Stands for a line break among ids.
-BREAK = 2 ** 32 - 1
 
 
 @dataclass(frozen=True)
@@ -42,7 +37,7 @@ class Limits:
 
 
 def simple(text: str) -> bool:
-    """Whether PARTS tells the parts: Latin-1, without special strings and the mark."""
+    """Whether PRETOKEN_LATIN tells the parts: Latin-1, without special strings and the mark."""
     if "<|" in text or MARK in text:
         return False
     try:
@@ -52,18 +47,12 @@ def simple(text: str) -> bool:
     return True
 
 
-def cut_at(ids: np.ndarray, mark: int) -> Iterator[bytes]:
-    """The bytes of what stands between marks."""
-    raw, ends = ids.tobytes(), np.flatnonzero(ids == mark) * 4
-    return (raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)]))
-
-
 class WordIds:
-    """Ids of whole texts from the tokenizers library, which sees each remembered part of a word once.
+    """Ids of whole texts from the tokenizers library, which sees each remembered part of a text once.
 
-    White space never joins what it parts, nor do a word's parts join, so a text's ids are those of its parts. New
-    parts go to the library many at a time, with a mark between them whose one id tells where each ends. Words with
-    special strings, and those beyond Latin-1, go there whole.
+    The library cuts a text into parts that never join, so a text's ids are those of its parts. New parts go to the
+    library many at a time, with a mark between them whose one id tells where each ends. Texts for which
+    :func:`simple` does not hold go there whole.
     """
 
     def __init__(self, path: str):
@@ -74,54 +63,33 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.mark, = self.encode([MARK])[0].tolist()
-        self.known, self.parts = Memo(), Memo()  # filled many at a time
+        self.parts = Memo()  # filled many at a time
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of texts that don't hold the mark."""
-        for i in range(0, len(texts), JOINED):
-            group = texts[i:i + JOINED]
-            ids, = self.encode([f" {MARK} ".join(group)])
-            yield from cut_at(ids, self.mark)
-
-    def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        if len(self.parts) > REMEMBERED:
+    def learn(self, found: set[str]) -> None:
+        new = [p for p in found if p not in self.parts]
+        if len(self.parts) + len(new) > REMEMBERED:
             self.parts.clear()
-        joined = b"\n".join(new).decode("utf-8", "replace")
-        if not simple(joined):
-            other = [w for w in new if not simple(w.decode("utf-8", "replace"))]
-            texts = [w.decode("utf-8", "replace") for w in other]
-            known.update(zip(other, self.each(texts) if MARK not in "".join(texts) else (x.tobytes() for x in self.encode(texts))))
-            whole = set(other)
-            new = [w for w in new if w not in whole]
-            joined = b"\n".join(new).decode("utf-8", "replace")
-        if not new:
-            return
-        # All parts of all new words in one list, the line breaks between words among them.
-        found = PARTS.findall(joined.lower())
-        fresh = [p for p in set(found) if p not in self.parts and p != "\n"]
-        self.parts.update(zip(fresh, self.each(fresh)))
-        self.parts["\n"] = BREAK.to_bytes(4, "little")
-        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, found)), np.uint32)
-        known.update(zip(new, cut_at(ids, BREAK)))
+            new = list(found)
+        for i in range(0, len(new), JOINED):
+            group = new[i:i + JOINED]
+            ids, = self.encode([f" {MARK} ".join(group)])
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.mark) * 4
+            self.parts.update(zip(group, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
+        read = [t.decode("utf-8", "replace") for t in texts]
+        cut = [PRETOKEN_LATIN.findall(t.lower()) if simple(t) else None for t in read]
         collecting = gc.isenabled()
-        gc.disable()  # many small containers without cycles
-        self.learn(set().union(*words))
+        gc.disable()  # many small objects without cycles
+        self.learn(set().union(*[c for c in cut if c]))
         if collecting:
             gc.enable()
-        for w in words:
-            yield b"".join(map(self.known.__getitem__, w))
+        for t, c in zip(read, cut):
+            yield self.encode([t])[0].tobytes() if c is None else b"".join(map(self.parts.__getitem__, c))
 
 
 @cache
