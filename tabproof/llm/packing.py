@@ -16,13 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .bpe import PRETOKEN_LATIN
-from .text import Memo, as_bytes, batch_of, turn_to
+from .text import Memo, as_bytes, batch_of, few, turn_to
 
 END_OF_DOCUMENT = 2
 #: Bytes of text that are tokenized together.
 TOGETHER = 2 << 20
 #: Parts that a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: New parts that are given to the library as one text, and what stands between them there.
 JOINED, MARK = 500, "\x01"
 
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), masked: str | No
         turn_to("packing")
         packer = Packer(limits, TaskContext.get().partitionId() << 32)
         out = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in few(whole, 1024)):
             *ids, texts = (c.to_pylist() for c in batch.columns)
             at = 0
             while at < len(texts):

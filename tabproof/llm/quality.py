@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import Memo, crc_remainder, mixed, turn_to
+from .text import Memo, crc_remainder, few, mixed, turn_to
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 #: Features are hashed to so many places.
@@ -65,27 +65,35 @@ class Leader:
     epochs: int = 2
 
 
-def learn(rows: list[tuple[bytes, int]], how: Leader = Leader()) -> np.ndarray:
-    """Weights of all places, and last the bias, from (text, label) in the given order."""
+def learn(rows: Iterable[tuple[bytes, int]], how: Leader = Leader()) -> np.ndarray:
+    """Weights of all places, and last the bias, from (text, label) in the given order.
+
+    Texts are read once; later passes go over their features, six bytes each.
+    """
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
-    examples = []
-    for utf8, label in rows:
-        places, counts = np.unique(features(utf8), return_counts=True)
-        values = np.append(counts * (SCALE / max(1, counts.sum())), 1.0)
-        examples.append((np.append(places, PLACES).astype(np.int32), values.astype(np.float32), label))
+    held: list[tuple[np.ndarray, np.ndarray, int]] = []
 
     def weights(z, n):
         kept = np.abs(z) > how.l1
         return np.where(kept, -(z - np.sign(z) * how.l1) / ((how.beta + np.sqrt(n)) / how.alpha + how.l2), 0.0)
 
-    for _ in range(how.epochs):
-        for places, values, label in examples:
-            zp, np_ = z[places], n[places]
-            w = weights(zp, np_)
-            g = (1 / (1 + np.exp(-np.clip(w @ values, -30, 30))) - label) * values
-            more = np_ + g * g
-            z[places] = zp + g - (np.sqrt(more) - np.sqrt(np_)) / how.alpha * w
-            n[places] = more
+    def see(places, counts, label):
+        values = np.append(counts * (SCALE / max(1, counts.sum(dtype=np.int64))), 1.0)
+        at = np.append(places, PLACES)
+        zp, np_ = z[at], n[at]
+        w = weights(zp, np_)
+        g = (1 / (1 + np.exp(-np.clip(w @ values, -30, 30))) - label) * values
+        more = np_ + g * g
+        z[at] = zp + g - (np.sqrt(more) - np.sqrt(np_)) / how.alpha * w
+        n[at] = more
+
+    for utf8, label in rows:
+        places, counts = np.unique(features(utf8), return_counts=True)
+        held.append((places.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16), label))
+        see(*held[-1])
+    for _ in range(how.epochs - 1):
+        for example in held:
+            see(*example)
     return weights(z, n)
 
 
@@ -99,12 +107,12 @@ class QualityModel:
         """Between 0 and 1, higher if label 1 is likelier; a null text counts as empty."""
         held = self.weights
 
-        @F.pandas_udf("double")
-        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             turn_to("quality")
             weights = np.frombuffer(held.value, np.float32)
             for texts in batches:
-                yield pd.Series([probability(weights, t) for t in texts])
+                yield pa.array([probability(weights, t.as_py()) for t in texts], pa.float64())
 
         return scored(F.coalesce(text.cast("binary"), F.lit(b"")))
 
@@ -130,12 +138,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, examples: int = 10_000, doc_
         few, "id").orderBy(hashed, "id", F.xxhash64("utf8"), "label").limit(examples).select("utf8", "label")
 
     def train(batches):
-        turn_to("quality")
-        rows = []
-        for batch in batches:
-            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        if rows:
-            yield pa.RecordBatch.from_pydict({"w": pa.array([learn(rows, how).astype(np.float32).tobytes()], pa.binary())})
+        turn_to("learning")
+        rows = (row for batch in batches for part in few(batch) for row in zip(*[c.to_pylist() for c in part.columns]))
+        first = next(rows, None)
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"w": pa.array([learn(chain([first], rows), how).astype(np.float32).tobytes()], pa.binary())})
 
     found = sample.mapInArrow(train, "w binary").collect()
     weights = np.frombuffer(found[0]["w"], np.float32) if found else np.zeros(PLACES + 1, np.float32)

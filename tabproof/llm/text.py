@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 import weakref
 from collections.abc import Callable, Iterator
@@ -30,6 +32,16 @@ def turn_to(owner: str) -> None:
         for memo in list(_MEMOS):
             memo.clear()
         _OWNER[0] = owner
+        release()
+
+
+def release() -> None:
+    """Gives memory that is free inside this process back to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Memo(dict):
@@ -118,17 +130,23 @@ def by_row(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str, packe
         turn_to(owner)
         rows = []
         for batch in batches:
-            for values in zip(*[c.to_pylist() for c in batch.columns]):
-                rows.extend(fn(*values))
-                if len(rows) >= packed:
-                    yield batch_of(rows, arrow)
-                    rows = []
+            for part in few(batch):
+                for values in zip(*[c.to_pylist() for c in part.columns]):
+                    rows.extend(fn(*values))
+                    if len(rows) >= packed:
+                        yield batch_of(rows, arrow)
+                        rows = []
         if rows:
             yield batch_of(rows, arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch some rows at a time, so that only their texts become objects."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
