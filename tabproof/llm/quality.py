@@ -133,9 +133,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, examples: int = 10_000, doc_
     hashed = F.xxhash64(F.col("id"))
     wanted = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & (crc_remainder(F.col("id"), 3) != 1))
-    few = F.broadcast(wanted.orderBy(hashed, "id", "label").limit(examples))
+    chosen = F.broadcast(wanted.orderBy(hashed, "id", "label").limit(examples))
     sample = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("utf8")).join(
-        few, "id").orderBy(hashed, "id", F.xxhash64("utf8"), "label").limit(examples).select("utf8", "label")
+        chosen, "id").orderBy(hashed, "id", F.xxhash64("utf8"), "label").limit(examples).select("utf8", "label")
 
     def train(batches):
         turn_to("learning")
