@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from .text import lower_ascii
 
-#: A text without any of these is not scanned.
-GATE = r"(?i)licen[cs]|copyright|copyleft|public domain|spdx|creativecommons|all rights reserved|redistribution and use"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same over text in which A-Z are not yet lower case.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -19,7 +18,10 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 @dataclass(frozen=True)
 class Signature:
-    """A regular expression over lower-case text, tried where ``keyword`` occurs. Priority 0 is the best."""
+    """A regular expression over lower-case text, tried where ``keyword`` occurs, which all its matches have in them.
+
+    Priority 0 is the best.
+    """
 
     label: str
     keyword: str
@@ -44,22 +46,22 @@ LICENSES = [
     ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|4-clause bsd|four-clause bsd|bsd 4-clause)(?: licen[cs]e)?", r"bsd-4-clause"),
     ("bsl-1.0", "boost", r"boost software licen[cs]e,?(?: -)?(?: v(?:ersion|\.)? ?1(?:\.0)?)?", r"bsl-1\.0"),
     ("busl-1.1", "business source", r"business source licen[cs]e,?(?: v?(?:ersion|\.)? ?1\.1)?", r"busl-1\.1"),
-    ("cc-by-1.0", "cc", r"(?:cc[- ]by|creative commons attribution)[- ]?1\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-1\.0"),
-    ("cc-by-2.0", "cc", r"(?:cc[- ]by|creative commons attribution)[- ]?2\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-2\.0"),
-    ("cc-by-2.5", "cc", r"(?:cc[- ]by|creative commons attribution)[- ]?2\.5(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-2\.5"),
-    ("cc-by-3.0", "cc", r"(?:cc[- ]by|creative commons attribution)[- ]?3\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-3\.0"),
-    ("cc-by-4.0", "cc", r"(?:cc[- ]by|creative commons attribution)[- ]?4\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-4\.0"),
-    ("cc-by-nc-3.0", "cc", r"(?:cc[- ]by[- ]nc|attribution[- ]non-?commercial)[- ]?3\.0", r"cc-by-nc-3\.0"),
-    ("cc-by-nc-4.0", "cc", r"(?:cc[- ]by[- ]nc|attribution[- ]non-?commercial)[- ]?4\.0", r"cc-by-nc-4\.0"),
-    ("cc-by-nc-nd-3.0", "cc", r"(?:cc[- ]by[- ]nc[- ]nd|attribution[- ]non-?commercial[- ]no-?deriv[a-z]+)[- ]?3\.0", r"cc-by-nc-nd-3\.0"),
-    ("cc-by-nc-nd-4.0", "cc", r"(?:cc[- ]by[- ]nc[- ]nd|attribution[- ]non-?commercial[- ]no-?deriv[a-z]+)[- ]?4\.0", r"cc-by-nc-nd-4\.0"),
-    ("cc-by-nc-sa-3.0", "cc", r"(?:cc[- ]by[- ]nc[- ]sa|attribution[- ]non-?commercial[- ]share-?alike)[- ]?3\.0", r"cc-by-nc-sa-3\.0"),
-    ("cc-by-nc-sa-4.0", "cc", r"(?:cc[- ]by[- ]nc[- ]sa|attribution[- ]non-?commercial[- ]share-?alike)[- ]?4\.0", r"cc-by-nc-sa-4\.0"),
-    ("cc-by-nd-3.0", "cc", r"(?:cc[- ]by[- ]nd|attribution[- ]no-?deriv[a-z]+)[- ]?3\.0", r"cc-by-nd-3\.0"),
-    ("cc-by-nd-4.0", "cc", r"(?:cc[- ]by[- ]nd|attribution[- ]no-?deriv[a-z]+)[- ]?4\.0", r"cc-by-nd-4\.0"),
-    ("cc-by-sa-2.5", "cc", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?2\.5", r"cc-by-sa-2\.5"),
-    ("cc-by-sa-3.0", "cc", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?3\.0", r"cc-by-sa-3\.0"),
-    ("cc-by-sa-4.0", "cc", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?4\.0", r"cc-by-sa-4\.0"),
+    ("cc-by-1.0", "1.0", r"(?:cc[- ]by|creative commons attribution)[- ]?1\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-1\.0"),
+    ("cc-by-2.0", "2.0", r"(?:cc[- ]by|creative commons attribution)[- ]?2\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-2\.0"),
+    ("cc-by-2.5", "2.5", r"(?:cc[- ]by|creative commons attribution)[- ]?2\.5(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-2\.5"),
+    ("cc-by-3.0", "3.0", r"(?:cc[- ]by|creative commons attribution)[- ]?3\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-3\.0"),
+    ("cc-by-4.0", "4.0", r"(?:cc[- ]by|creative commons attribution)[- ]?4\.0(?: [a-z]+)?(?: licen[cs]e)?", r"cc-by-4\.0"),
+    ("cc-by-nc-3.0", "3.0", r"(?:cc[- ]by[- ]nc|attribution[- ]non-?commercial)[- ]?3\.0", r"cc-by-nc-3\.0"),
+    ("cc-by-nc-4.0", "4.0", r"(?:cc[- ]by[- ]nc|attribution[- ]non-?commercial)[- ]?4\.0", r"cc-by-nc-4\.0"),
+    ("cc-by-nc-nd-3.0", "3.0", r"(?:cc[- ]by[- ]nc[- ]nd|attribution[- ]non-?commercial[- ]no-?deriv[a-z]+)[- ]?3\.0", r"cc-by-nc-nd-3\.0"),
+    ("cc-by-nc-nd-4.0", "4.0", r"(?:cc[- ]by[- ]nc[- ]nd|attribution[- ]non-?commercial[- ]no-?deriv[a-z]+)[- ]?4\.0", r"cc-by-nc-nd-4\.0"),
+    ("cc-by-nc-sa-3.0", "3.0", r"(?:cc[- ]by[- ]nc[- ]sa|attribution[- ]non-?commercial[- ]share-?alike)[- ]?3\.0", r"cc-by-nc-sa-3\.0"),
+    ("cc-by-nc-sa-4.0", "4.0", r"(?:cc[- ]by[- ]nc[- ]sa|attribution[- ]non-?commercial[- ]share-?alike)[- ]?4\.0", r"cc-by-nc-sa-4\.0"),
+    ("cc-by-nd-3.0", "3.0", r"(?:cc[- ]by[- ]nd|attribution[- ]no-?deriv[a-z]+)[- ]?3\.0", r"cc-by-nd-3\.0"),
+    ("cc-by-nd-4.0", "4.0", r"(?:cc[- ]by[- ]nd|attribution[- ]no-?deriv[a-z]+)[- ]?4\.0", r"cc-by-nd-4\.0"),
+    ("cc-by-sa-2.5", "2.5", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?2\.5", r"cc-by-sa-2\.5"),
+    ("cc-by-sa-3.0", "3.0", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?3\.0", r"cc-by-sa-3\.0"),
+    ("cc-by-sa-4.0", "4.0", r"(?:cc[- ]by[- ]sa|attribution[- ]share-?alike)[- ]?4\.0", r"cc-by-sa-4\.0"),
     ("cc0-1.0", "cc0", r"cc0(?:[- ]?1\.0)?(?: universal)?", r"cc0-1\.0"),
     ("cddl-1.0", "distribution", r"common development and distribution licen[cs]e,?(?: \(cddl\))?,?(?: v?(?:ersion|\.)? ?1\.0)?", r"cddl-1\.0"),
     ("cddl-1.1", "distribution", r"common development and distribution licen[cs]e,?(?: \(cddl\))?,? v?(?:ersion|\.)? ?1\.1", r"cddl-1\.1"),
@@ -75,7 +77,7 @@ LICENSES = [
     ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,? v?(?:ersion|\.)? ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
     ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,? v?(?:ersion|\.)? ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
     ("hpnd", "historical permission", r"historical permission notice and disclaimer", r"hpnd"),
-    ("icu", "unicode", r"icu licen[cs]e", r"icu"),
+    ("icu", "licen", r"icu licen[cs]e", r"icu"),
     ("ijg", "jpeg", r"independent jpeg group licen[cs]e", r"ijg"),
     ("ipl-1.0", "ibm", r"ibm public licen[cs]e,?(?: v?(?:ersion|\.)? ?1\.0)?", r"ipl-1\.0"),
     ("isc", "isc", r"\bisc licen[cs]e", r"isc"),
@@ -83,7 +85,7 @@ LICENSES = [
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e,? v?(?:ersion|\.)? ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e,? v?(?:ersion|\.)? ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
     ("lppl-1.3c", "latex", r"latex project public licen[cs]e,?(?: v?(?:ersion|\.)? ?1\.3c?)?", r"lppl-1\.3c"),
-    ("mit", "mit", r"\b(?:the )?(?:mit|expat) licen[cs]e", r"mit"),
+    ("mit", "licen", r"\b(?:the )?(?:mit|expat) licen[cs]e", r"mit"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit-0"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? v?(?:ersion|\.)? ?1\.1", r"mpl-1\.1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? v?(?:ersion|\.)? ?2\.0", r"mpl-2\.0"),
@@ -130,7 +132,7 @@ WORDINGS = [
     ("mit", "permission is hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0, 0.99),
     ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 0, 0.95),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without\s+modification", 0, 0.95),
-    ("gpl", "free software foundation", r"redistribute it and/or modify\s+it under the terms of the gnu general public licen[cs]e", 0, 0.95),
+    ("gpl", "general public", r"redistribute it and/or modify\s+it under the terms of the gnu general public licen[cs]e", 0, 0.95),
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty", 0, 0.95),
     ("gpl", "gpl", r"\bgpl(?:v[123])?\b", 2, 0.6),
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", 2, 0.7),
@@ -165,6 +167,10 @@ def signatures() -> list[Signature]:
     return out + [Signature(*w) for w in WORDINGS]
 
 
+#: A text without any of these has no detection.
+GATE = "(?i)" + "|".join(re.escape(k) for k in sorted({"license"} | {s.keyword for s in signatures()}))
+
+
 def _quoted(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
 
@@ -199,8 +205,8 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, doc_id:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     n_detections.
 
-    The base counts the places where the words of a phrase stand consecutively. The rules look at texts that have a word of GATE;
-    a rule is tried where its keyword occurs. A detection is dropped if one of the same or a better priority contains it
+    The base counts the places where the words of a phrase stand consecutively. A rule is tried in every
+    text that has its keyword. A detection is dropped if one of the same or a better priority contains it
     (of equal ones, the better priority, then the first label stays). labels are those of the base and of the detections that stay, distinct and
     sorted; score is the best weight of those, 0.6 for a base label alone, 0 without any. Null and empty texts have zero words,
     no labels and score 0. Rows are never brought together, so null and repeated ids stay as they are;
@@ -208,13 +214,14 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, doc_id:
     """
     rules = signatures() if rules is None else rules
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t0"))
-    gated = base.select(
-        "doc_id", F.expr(f"size(regexp_extract_all(t0, r'{ANY_CASE_WORD}', 0))").cast("long").alias("n_words"),
-        F.when(F.col("t0").rlike(GATE), lower_ascii(F.col("t0"))).alias("t"))
+    keywords = "array(" + ", ".join(_quoted(k) for k in sorted({r.keyword for r in rules})) + ")"
+    lower = F.when(F.length("t0") == F.octet_length("t0"), F.lower("t0")).otherwise(lower_ascii(F.col("t0")))
+    lowered = base.select(
+        "doc_id", F.expr(f"size(regexp_extract_all(t0, r'{ANY_CASE_WORD}', 0))").cast("long").alias("n_words"), lower.alias("t"))
     places = f"transform(array(regexp_extract_all(t, r'{WORD}', 0)), w -> {_PLACES})[0]"
     per_rule = f"""transform(array(named_struct('parts', split(t, r.pattern, -1), 'hits', regexp_extract_all(t, r.pattern, 0))),
         x -> CASE WHEN size(x.hits) = 0 THEN {_NONE} ELSE {_SPANS.replace('parts', 'x.parts').replace('hits', 'x.hits')} END)[0]"""
-    spans = f"array_sort(flatten(transform(filter({_rules(rules)}, r -> contains(t, r.keyword)), r -> {per_rule})))"
+    spans = f"array_sort(flatten(transform(filter({_rules(rules)}, r -> array_contains(held, r.keyword)), r -> {per_rule})))"
     kept = f"""aggregate({spans}, named_struct('e0', 0, 'e1', 0, 'e2', 0, 'labels', cast(array() AS array<string>),
         'weight', 0D, 'n', 0L), (acc, s) -> CASE
         WHEN greatest(acc.e0, CASE WHEN s.priority > 0 THEN acc.e1 ELSE 0 END, CASE WHEN s.priority > 1 THEN acc.e2 ELSE 0 END)
@@ -223,8 +230,8 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, doc_id:
             'e1', CASE WHEN s.priority = 1 THEN greatest(acc.e1, -s.last) ELSE acc.e1 END,
             'e2', CASE WHEN s.priority = 2 THEN greatest(acc.e2, -s.last) ELSE acc.e2 END,
             'labels', array_union(acc.labels, array(s.label)), 'weight', greatest(acc.weight, s.weight), 'n', acc.n + 1) END)"""
-    found = gated.withColumn("base", F.expr(f"CASE WHEN contains(t, 'license') THEN {places} END")).withColumn(
-        "kept", F.expr(f"CASE WHEN t IS NOT NULL THEN {kept} END")).drop("t")
+    found = lowered.withColumn("base", F.expr(f"CASE WHEN contains(t, 'license') THEN {places} END")).withColumn(
+        "kept", F.expr(f"transform(array(filter({keywords}, k -> contains(t, k))), held -> CASE WHEN size(held) > 0 THEN {kept} END)[0]")).drop("t")
     return found.select(
         "doc_id", "n_words",
         F.expr("CASE WHEN base IS NULL THEN 0L ELSE cast(size(base) AS BIGINT) END").alias("n_base"),

@@ -95,3 +95,27 @@ def test_url_edges(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def whole_scan(raw):
+    """Labels and number of detections with every pattern tried on the text."""
+    text = (raw or "").translate(LOWER)
+    found = [(m.start(), m.end(), s.priority, s.label) for s, p in SIGNATURES for m in p.finditer(text)]
+    kept = [x for x in found if not any(
+        y is not x and y[0] <= x[0] and y[1] >= x[1] and y[2] <= x[2] and (y[:2] != x[:2] or y[2:] < x[2:]) for y in found)]
+    return {x[3] for x in kept}, len(kept)
+
+
+def test_every_rule_is_tried_on_every_text(spark, documents):
+    texts = [
+        "Released under GPLv3.", "CC BY-SA 4.0", "cc0 1.0", "Creative Commons", "licensed under Creative Commons Attribution 4.0",
+        "Attribution-NonCommercial-ShareAlike 3.0", "Apache 2.0", "3-Clause BSD", "AGPL", "LGPLv2.1", "beerware", "strictly proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy", "the Expat License", "ICU licence", "É GPL",
+        "Permission to use, copy, modify, and distribute this software for any purpose", "nothing at all",
+        "This software is provided 'as-is', without any express or implied warranty",
+        "redistribute it and/or modify\nit under the terms of the GNU General Public License"] + list(documents.values())[:50]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in rows}
+    assert {r.doc_id: (set(filter(None, r.labels.split(","))), r.n_detections) for r in rows} == {
+        i: (labels | base[i], n) for i, (labels, n) in enumerate(map(whole_scan, texts))}
+    assert all(r.score > 0 for r in rows if r.doc_id < 17)
