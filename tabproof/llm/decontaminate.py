@@ -77,7 +77,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of a document for each item in it.
 
-    A window has as many words as the item. It counts if its SimHash differs in at most ``radius`` bits and the
+    A window has as many words as the item; a document with fewer is one window, as a whole. It counts if its SimHash differs in at most ``radius`` bits and the
     weighted Jaccard similarity of the five-word shingles is at least ``similarity`` (shorter items are one shingle).
     Words have no punctuation and no letter case. The least similarity tells how many shingles of a window must be some
     shingle of an item of its size; windows with fewer, which cannot count, are passed over with the help of two tables
@@ -94,23 +94,23 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
     context = docs.sparkSession.sparkContext
     both = [context.broadcast(gate(table, sized)) for sized in (False, True)]
     texts = as_bytes(docs.where(F.col(doc_id).isNotNull()), doc_id, text=text, names=("doc_id",))
-    share = 2 * similarity / (1 + similarity)
 
     def windows(i, utf8):
         hashes = word_hashes(plain_words(utf8))
         some, sized = (np.frombuffer(g.value, np.uint64) for g in both)
         found: dict[int, tuple] = {}
         for n in sizes:
-            if n > len(hashes):
-                continue
             k = min(n, SHINGLE)
+            size = min(n, len(hashes))
+            if size < k:
+                continue
             if k not in found:
                 h = shingles(hashes, k)
                 found[k] = h, np.flatnonzero(passes(some, spots(h)))
             h, hits = found[k]
-            m = n - k + 1
-            least = int(np.ceil(share * m - 1e-9))
-            if len(hits) < least:
+            m = size - k + 1
+            least = int(np.ceil(similarity * (m + n - k + 1) / (1 + similarity) - 1e-9))
+            if least > m or len(hits) < least:
                 continue
             hits = hits[passes(sized, spots(h[hits], n))]
             if len(hits) < least:
@@ -120,9 +120,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
             held = np.cumsum(held)
             for start in np.flatnonzero(held[m:] - held[:-m] >= least).tolist():
                 own = h[start:start + m]
-                yield i, start, n, simhash(own), np.sort(own).tobytes()
+                yield i, start, size, n, simhash(own), np.sort(own).tobytes()
 
-    found = stored(by_row(texts, windows, "doc_id long, start int, words int, f long, hs binary").withColumn(
+    found = stored(by_row(texts, windows, "doc_id long, start int, size int, words int, f long, hs binary").withColumn(
         "c", F.xxhash64("words", "hs")), "windows")
     distinct = found.groupBy("c").agg(*[F.first(x).alias(x) for x in ("words", "f", "hs")])
     keyed = by_row(table.select("item_id", "words", "f"), lambda i, n, f: [(i, n, f, *x) for x in block_keys(f, radius // BLOCKS)],
@@ -142,7 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rad
         near.join(distinct.select("c", "hs"), "c").join(table.selectExpr("item_id", "hs AS theirs"), "item_id")
         .select("c", "item_id", "distance", "hs", "theirs"), verify,
         "c long, item_id long, distance int, similarity double")
-    return found.select("c", "doc_id", "start", "words").join(alike, "c").groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("similarity", F.expr("-start").alias("s"), "words", F.expr("-distance").alias("d"))).alias("w")).select(
-        "doc_id", "item_id", F.expr("-w.s").alias("start_word"), F.col("w.words").alias("n_words"),
+    return found.select("c", "doc_id", "start", "size").join(alike, "c").groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("similarity", F.expr("-start").alias("s"), "size", F.expr("-distance").alias("d"))).alias("w")).select(
+        "doc_id", "item_id", F.expr("-w.s").alias("start_word"), F.col("w.size").alias("n_words"),
         F.expr("-w.d").alias("distance"), "w.similarity")

@@ -82,3 +82,12 @@ def test_blocks_find_all_within_the_radius():
 
 def test_weighted_similarity():
     assert weighted_similarity(np.array([1, 1, 2]), np.array([1, 2, 2])) == 2 / 4
+
+
+def test_documents_shorter_than_the_item(spark):
+    words = text_of(59, 3).split()
+    docs = [(k, " ".join(words[a:b])) for k, (a, b) in enumerate([(0, 57), (2, 59), (0, 48), (0, 20), (0, 3)])]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    got = {r.doc_id: (r.start_word, r.n_words, round(r.similarity, 9)) for r in rows if r.distance <= 20}
+    assert got == {0: (0, 57, round(53 / 55, 9)), 1: (0, 57, round(53 / 55, 9)), 2: (0, 48, 0.8)}
