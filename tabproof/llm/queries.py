@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabproof.session import new_folder
+
 from .bpe import token_counts
 from .decontaminate import contaminated
 from .licenses import scan_licenses
@@ -17,6 +19,7 @@ from .perplexity import quality_rules
 from .quality import quality_scores
 from .simhash import simhash_components
 from .text import read
+from .token_files import write_tokens
 from .urls import Rule, filter_urls, url_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +27,7 @@ ORACLES: dict[str, str] = {}
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -104,3 +108,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_tokens(read(spark, sf_dir, "documents"), BYTE_LEVEL, new_folder(spark, "token-files")).checksums()
