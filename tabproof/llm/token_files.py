@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .text import Memo, as_bytes, few, turn_to
 
 END_OF_DOCUMENT = 2
-#: Parts that a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, TOGETHER = 900_000, 1 << 20
+#: Parts that a worker remembers, new parts that are given to the library as one text, and bytes of text that are encoded together.
+REMEMBERED, JOINED, TOGETHER = 900_000, 500, 1 << 20
 
 _SPACE, _LETTER, _NUMBER = "\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The pre-tokenizer's pattern of byte-level files, fixed value, with its classes as they are in Latin-1.
@@ -46,6 +46,7 @@ class ByteIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.mark = np.frombuffer(self.encode(["\n"])[0], "<u4")[0]
         self.parts = Memo()  # filled many at a time
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -58,15 +59,26 @@ class ByteIds:
             return None
         return PARTS_LATIN.findall(text)
 
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [self.cut(t) for t in texts]
-        found = set().union(*[c for c in cuts if c])
+    def learn(self, found: set[str]) -> None:
+        """Remembers new parts. Those with more than white space go to the library in lines, many at a time: a line break
+        is a part and an id of its own there, and no other part has its byte."""
         new = [p for p in found if p not in self.parts]
         if len(self.parts) + len(new) > REMEMBERED:
             self.parts.clear()
             new = list(found)
-        self.parts.update(zip(new, self.encode(new)))
+        blank = [p for p in new if p.isspace()]
+        self.parts.update(zip(blank, self.encode(blank)))
+        lines = [p for p in new if not p.isspace()]
+        for i in range(0, len(lines), JOINED):
+            group = lines[i:i + JOINED]
+            raw, = self.encode(["\n".join(group)])
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark) * 4
+            self.parts.update(zip(group, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cuts = [self.cut(t) for t in texts]
+        self.learn(set().union(*[c for c in cuts if c]))
         for text, c in zip(texts, cuts):
             if c is None:
                 yield self.encode([text.decode("utf-8", "replace")])[0]
