@@ -8,31 +8,70 @@ a file (``shards``) tells how many ids stand before each, so that starts over al
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .text import Memo, as_bytes, few, turn_to
+from .bpe import byte_letters
+from .text import Memo, as_bytes, turn_to
 
 END_OF_DOCUMENT = 2
-#: Parts that a worker remembers, new parts that are given to the library as one text, and bytes of text that are encoded together.
-REMEMBERED, JOINED, TOGETHER = 900_000, 500, 1 << 20
+#: Parts that a worker remembers, and bytes of text that are encoded together.
+REMEMBERED, TOGETHER = 600_000, 8 << 20
 
-_SPACE, _LETTER, _NUMBER = "\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The pre-tokenizer's pattern of byte-level files, fixed value, with its classes as they are in Latin-1.
-PARTS_LATIN = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Classes of characters in the pre-tokenizer's pattern, fixed values as far as Latin-1: white space, letters, numbers, others.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KINDS = np.array([_SPACE if c in "\t\n\x0b\x0c\r \x85\xa0" else _LETTER if c.isalpha() else _NUMBER if c.isnumeric() else _OTHER
+                   for c in map(chr, range(256))], np.uint8)
+#: What follows an apostrophe in a part of its own, fixed values.
+_ONE, _TWO = np.frombuffer(b"stmd", np.uint8), [tuple(x) for x in (b"re", b"ve", b"ll")]
+
+
+def part_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the parts of texts start, for UTF-8 of Latin-1 characters in one array of bytes; ``starts``: of the texts that are not empty.
+
+    A part is a run of letters, numbers or other characters with a space before it, a short form behind an apostrophe, or
+    white space. The last character of white space that something follows is no part of the run before it: a space
+    belongs to what follows, any other stands alone.
+    """
+    kind = _KINDS[text]
+    second = np.flatnonzero((text & 0xC0) == 0x80)
+    kind[second] = _KINDS[(text[second] & 0x3F) | (text[second - 1] << 6)]  # two bytes of one character
+    kind[second - 1] = kind[second]
+    first = np.zeros(len(text), bool)
+    first[starts] = True
+    new = first.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(new)
+    ends = np.append(run[1:], len(text))
+    follows = np.append(~first[run[1:]], False)  # something of the same text
+    blank = (kind[run] == _SPACE) & follows
+    tail = ends[blank] - 1
+    tail -= (text[tail] & 0xC0) == 0x80
+    new[tail] = True
+    new[ends[blank][text[ends[blank] - 1] == 32]] = False
+    # Short forms: an apostrophe alone, with letters behind it and no space before it.
+    mark = np.flatnonzero((text[run] == 39) & (ends - run == 1) & follows & new[run])
+    mark = mark[kind[run[np.minimum(mark + 1, len(run) - 1)]] == _LETTER]
+    at, letters = run[mark], ends[mark + 1] if len(mark) else run[:0]
+    one = np.isin(text[at + 1], _ONE)
+    after = np.minimum(at + 2, len(text) - 1)
+    two = ~one & (at + 3 <= letters) & np.logical_or.reduce([(text[at + 1] == x) & (text[after] == y) for x, y in _TWO])
+    new[at[one | two] + 1] = False
+    rest = np.concatenate([at[one] + 2, at[two] + 3])
+    inside = rest < np.concatenate([letters[one], letters[two]])
+    new[rest[inside]] = True
+    return np.flatnonzero(new)
 
 
 class ByteIds:
-    """Ids of whole texts from the tokenizers library, which sees each remembered part of a text once.
+    """Ids of whole texts from the tokenizers library, whose model sees each remembered part of a text once.
 
     The file must be byte-level without normalizer and prefix space: its parts are then encoded apart from each other.
     Texts beyond Latin-1, and those that may hold a special string, go to the library whole.
@@ -45,45 +84,67 @@ class ByteIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.mark = np.frombuffer(self.encode(["\n"])[0], "<u4")[0]
-        self.parts = Memo()  # filled many at a time
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def cut(self, utf8: bytes) -> list[str] | None:
-        """The text's parts; None if the library must see it whole."""
-        text = utf8.decode("utf-8", "replace")
-        if not utf8.isascii() and max(text) > "\xff" or any(s in text for s in self.special):
-            return None
-        return PARTS_LATIN.findall(text)
-
-    def learn(self, found: set[str]) -> None:
-        """Remembers new parts. Those with more than white space go to the library in lines, many at a time: a line break
-        is a part and an id of its own there, and no other part has its byte."""
-        new = [p for p in found if p not in self.parts]
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
-            new = list(found)
-        blank = [p for p in new if p.isspace()]
-        self.parts.update(zip(blank, self.encode(blank)))
-        lines = [p for p in new if not p.isspace()]
-        for i in range(0, len(lines), JOINED):
-            group = lines[i:i + JOINED]
-            raw, = self.encode(["\n".join(group)])
-            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark) * 4
-            self.parts.update(zip(group, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [self.cut(t) for t in texts]
-        self.learn(set().union(*[c for c in cuts if c]))
-        for text, c in zip(texts, cuts):
-            if c is None:
-                yield self.encode([text.decode("utf-8", "replace")])[0]
+        self.model = self.library.model
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_letters()))
+        self.parts = Memo(limit=REMEMBERED)
+        self.parts.fn = self.part
+
+    def whole(self, utf8: bytes) -> np.ndarray:
+        return np.array(self.library.encode(utf8.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4")
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of what the pre-tokenizer does not cut: the model takes its bytes as letters."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))])
+
+    def plain(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in one array, and how many ids stand before each of their ``starts``."""
+        if not len(text):
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        at = part_starts(text, starts)
+        parts = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(text)).astype(np.int32)), pa.py_buffer(text)])
+        found = parts.dictionary_encode()
+        raw = [self.parts[p] for p in found.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        known = pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        line = found.indices.to_numpy()
+        before = np.append(0, sizes[line].cumsum())
+        return known.take(found.indices).flatten().to_numpy(), before[np.searchsorted(at, starts)]
+
+    def of(self, texts: pa.BinaryArray) -> list[np.ndarray]:
+        """Ids of each text."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        text = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        # Whole to the library: bytes beyond two-byte Latin-1, broken UTF-8, special strings.
+        leads = (text == 0xC2) | (text == 0xC3)
+        odd = (text >= 0xC4) | (((text & 0xC0) == 0x80) != np.append(False, leads[:-1])[:len(text)])
+        odd |= leads & ~np.append(((text & 0xC0) == 0x80)[1:], False)[:len(text)]
+        counted = np.append(0, odd.cumsum())
+        strange = counted[ends[1:]] > counted[ends[:-1]]
+        raw = text.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                strange[np.searchsorted(ends, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        sizes = np.diff(ends)
+        kept = text if not strange.any() else text[np.repeat(~strange, sizes)]
+        own = np.where(strange, 0, sizes)
+        starts = own.cumsum() - own
+        ids, before = self.plain(kept, starts[own > 0])
+        upto = np.append(before[1:], len(ids)) if len(before) else before
+        stretch = iter(zip(before.tolist(), upto.tolist()))
+        out = []
+        for i, (alone, n) in enumerate(zip(strange.tolist(), own.tolist())):
+            if alone:
+                out.append(self.whole(raw[ends[i]:ends[i + 1]]))
+            elif n:
+                a, b = next(stretch)
+                out.append(ids[a:b])
             else:
-                yield b"".join(map(self.parts.__getitem__, c))
+                out.append(ids[:0])
+        return out
 
 
 @cache
@@ -103,7 +164,7 @@ class Layout:
     encoding: str = "dictionary"
     group_bytes: int = 32 << 20
     page_rows: int = 256
-    compression: str = "zstd"
+    compression: str = "snappy"
 
     def options(self) -> dict[str, str]:
         if self.encoding not in ("dictionary", "delta"):
@@ -131,22 +192,19 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         turn_to("token_files")
         shard, line, first = TaskContext.get().partitionId(), 0, 0
-        for batch in (part for whole in batches for part in few(whole, 1024)):
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
+        for batch in batches:
+            ids, texts, at = batch.column(0), batch.column(1), 0
+            bytes_before = np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64))
             while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < TOGETHER):
-                    size += len(texts[upto])
-                    upto += 1
-                marked = np.array([end], "<u4").tobytes()
-                raw = [tokens + marked for tokens in byte_ids(tokenizer).of(texts[at:upto])]
-                n = np.array([len(r) // 4 for r in raw], np.int64)
+                upto = max(at + 1, int(np.searchsorted(bytes_before, bytes_before[at] + TOGETHER, "right")) - 1)
+                found = byte_ids(tokenizer).of(texts.slice(at, upto - at))
+                n = np.array([len(x) + 1 for x in found], np.int64)
                 ends = np.cumsum(n)
+                marked = [x for own in found for x in (own, [end])]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, upto - at), pa.array(np.full(len(n), shard, np.int32)), pa.array(line + np.arange(len(n))),
                     pa.array(first + ends - n), pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                             pa.array(np.frombuffer(b"".join(raw), "<i4")))],
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(marked), pa.int32()))],
                     names=[doc_id, "shard", "line", "first", "n_tokens", "ids"])
                 line, first, at = line + len(n), first + int(ends[-1]), upto
 

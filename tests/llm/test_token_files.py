@@ -1,8 +1,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tabproof.llm.queries import BYTE_LEVEL, QUERIES
@@ -12,7 +14,8 @@ from tests.conftest import SF_DIR
 from .conftest import EDGES
 from .test_tokens import TRICKY
 
-SPACES = [" a  b ", "\n\n x\t\ty \r\n", "a\xa0\xa0b\x85c", "   ", "it's 'S don't 've", " 12 ½³x ª", "x\x1cy\x1d z", "a <|endoftext|> b"]
+SPACES = [" a  b ", "\n\n x\t\ty \r\n", "a\xa0\xa0b\x85c", "   ", "it's 'S don't 've", " 12 ½³x ª", "x\x1cy\x1d z", "a <|endoftext|> b",
+          "  lead", "   lead", "trail ", "trail  ", "trail \n", "a \n\n b", "a\n  b", "a \t \n c", " ", "  ", "\n ", " \n", "a.  (b) 's  't", "x \xa0 y"]
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +29,18 @@ def ids_of(library, text):
 
 def test_ids_equal_the_library(library, documents):
     texts = SPACES + TRICKY + list(documents.values())
-    for t, raw in zip(texts, byte_ids(BYTE_LEVEL).of([t.encode() for t in texts])):
-        assert [*np.frombuffer(raw, "<u4").tolist(), 2] == ids_of(library, t), t
+    found = byte_ids(BYTE_LEVEL).of(pa.array([b"left out", *[t.encode() for t in texts]], pa.binary()).slice(1))
+    assert len(found) == len(texts)
+    for t, ids in zip(texts, found):
+        assert [*ids.tolist(), 2] == ids_of(library, t), t
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab's'tre vml d.,\n\t \xa0\x85é×½1²'\x1cª<|ā"), max_size=25), max_size=4))
+def test_parts_equal_the_library(texts):
+    known = Tokenizer.from_file(BYTE_LEVEL)
+    found = byte_ids(BYTE_LEVEL).of(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [x.tolist() for x in found] == [known.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def expected(library, rows):
