@@ -24,8 +24,12 @@ def signed_groups(baseline: DataFrame, candidate: DataFrame, epsilon: float = 1e
     problems = schema_problems(baseline, candidate, strict_types)
     if problems:
         raise SchemaMismatch("; ".join(problems))
-    names = [f.name for f in shared_fields(baseline, candidate)]
-    sides = both_sides(baseline, candidate, names)
+    return net_rows(both_sides(baseline, candidate, [f.name for f in shared_fields(baseline, candidate)]), epsilon)
+
+
+def net_rows(sides: DataFrame, epsilon: float) -> DataFrame:
+    """The same of rows that already stand together under a side flag."""
+    names = [n for n in sides.columns if n != SIDE]
     rows = sides.selectExpr(
         f"if({SIDE} = {BASELINE}, 1L, -1L) AS {SURPLUS}",
         *[f"{rounded(f.name, f.dataType, epsilon)} AS {quoted(f.name)}"
@@ -51,7 +55,11 @@ def multiset_diff(baseline: DataFrame, candidate: DataFrame, epsilon: float = 1e
 def multiset_diff_rows(baseline: DataFrame, candidate: DataFrame, epsilon: float = 1e-6,
                        strict_types: bool = True) -> DataFrame:
     """The surplus rows themselves: their columns, ``surplus_side`` and ``surplus_rows``."""
-    groups = signed_groups(baseline, candidate, epsilon, strict_types)
+    return surplus_rows(signed_groups(baseline, candidate, epsilon, strict_types))
+
+
+def surplus_rows(groups: DataFrame) -> DataFrame:
+    """Signed groups as rows of one side with their number."""
     return groups.selectExpr(
         *[quoted(n) for n in groups.columns if n != SURPLUS],
         f"if({SURPLUS} > 0, 'baseline', 'candidate') AS surplus_side",

@@ -23,8 +23,9 @@ PART, LINE = "__part", "__line"
 
 
 def _running(df: DataFrame, groups: list[str], order: list[str], value: Column, fold, combine,
-             name: str, total: str | None = None) -> DataFrame:
-    """The running aggregate as ``name`` and, if asked for, the whole group's as ``total``."""
+             name: str, total: str | None = None, upto: int = 0) -> DataFrame:
+    """The running aggregate as ``name`` and, if asked for, the whole group's as ``total``. ``upto``: 0 up to and including
+    the row, -1 up to the one before."""
     placed = (
         checkpoint(df.withColumn("__value", value).orderBy(*[quoted(k) for k in [*groups, *order]]))
         .withColumns({PART: F.spark_partition_id(), LINE: F.monotonically_increasing_id()})
@@ -37,7 +38,7 @@ def _running(df: DataFrame, groups: list[str], order: list[str], value: Column,
         .select(*[c(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(PART).alias("__p"),
                 fold("__total").over(earlier).alias("__before"), fold("__total").over(whole).alias("__all"))
     )
-    inside = Window.partitionBy(*keys, PART).orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, PART).orderBy(LINE).rowsBetween(Window.unboundedPreceding, upto)
     same_run = reduce(lambda a, b: a & b,
                       [c(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)],
                       F.col(PART) == F.col("__p"))
@@ -60,6 +61,11 @@ def running_max(df: DataFrame, groups: list[str], order: list[str], value: Colum
     return _running(df, groups, order, value, F.max, F.greatest, name)
 
 
+def greatest_before(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the greatest ``value`` over the group's earlier rows; null on its first row."""
+    return _running(df, groups, order, value, F.max, F.greatest, name, upto=-1)
+
+
 def ordered_position(df: DataFrame, groups: list[str], order: list[str], name: str = "position") -> DataFrame:
     """Adds the row's position in its group, from 0. ``order`` must be unique inside a group."""
     return running_sum(df, groups, order, F.lit(1).cast("bigint"), name).withColumn(name, c(name) - 1)

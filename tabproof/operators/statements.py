@@ -9,18 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import short_name
 from ..sources.telemetry import STATEMENTS, telemetry
+from .name_scan import rows_naming
 
 # Defaults of the statement window.
 STATEMENT_LOOKBACK_DAYS = 7
 TOP_STATEMENTS = 50
 
-# Letters of any script count as letters of a word.
-_WORD = r"(?U)[^\w]+"
-# Words are searched in pieces of so many characters, so that the search is linear in their length ...
-PIECE = 256
-# ... for the first so many characters of a name's longest word.
-ANCHOR = 64
-
 
 def mentions(text: Column, names: list[str], whole_word: bool = False) -> Column:
     """Whether the text names any of the tables. Letters in any case, ``_`` stands for itself.
@@ -46,52 +40,19 @@ def statements_touching(statements: DataFrame, names: list[str], whole_word: boo
     return statements.where(mentions(F.col("statement_text"), shorts, whole_word))
 
 
-def pairs_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Distinct ``(statement_id, table_name)`` for every table of ``targets(table_name)`` that a statement's text names.
+def rows_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
+    """``statements``, without the text, beside every ``table_name`` of ``targets`` that the text names, at least once.
 
-    For many tables at once, and names of any characters. A text that has a name
-    has the name's longest word, its anchor, inside one of its own words; words
-    are matched with anchors, each distinct word only once however many
-    statements contain it. Where the anchor is not the whole name, the text
-    itself is looked at again. Long texts are not shuffled for the others.
+    For many tables at once, and names of any characters: each text is read once, in the task that has it.
     """
-    lowered = F.lower(short_name(F.col("table_name")))
-    names = targets.select("table_name", lowered.alias("name")).where("name <> ''").distinct().withColumn(
-        "runs", F.filter(F.split("name", _WORD), lambda w: w != "")).withColumn(
-        "run", F.array_max(F.transform("runs", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    names = names.withColumn("anchor", F.col("run") if whole_word else F.substring("run", 1, ANCHOR)).select(
-        "table_name", "name", "anchor", (F.col("name") == F.col("anchor")).alias("plain"))
-    text = F.lower("statement_text")
-    # A long word goes by its digest, so that no piece of it carries the whole.
-    key = F.when(F.length("word") < ANCHOR, F.col("word")).otherwise(F.sha2("word", 256))
-    words = statements.select("statement_id", F.explode(F.array_distinct(F.split(text, _WORD))).alias("word")).where(
-        "word <> ''").withColumn("key", key)
-    if whole_word:
-        found = names.where("anchor IS NOT NULL").withColumn("word", F.col("anchor")).withColumn("key", key)
-    else:
-        lengths = names.select(F.length("anchor").alias("size")).distinct()
-        parts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-        pieces = (
-            # Each piece reaches into the next one, and every stretch of it is looked up that is as long as some anchor.
-            words.select("key", "word").distinct().withColumn("parts", parts)
-            .select("key", F.explode(F.transform("parts", lambda part, i: F.concat(part, F.coalesce(
-                F.substring(F.get("parts", i + 1), 1, ANCHOR - 1), F.lit(""))))).alias("piece"))
-            .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(ANCHOR)))))
-            .join(lengths, "size", "left_semi")
-            .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1)))
-            .select("key", F.expr("substring(piece, at, size)").alias("anchor")).distinct()
-        )
-        found = pieces.join(names, "anchor")
-    pairs = words.select("statement_id", "key").join(found.select("table_name", "name", "plain", "key"), "key").select(
-        "statement_id", "table_name", "name", "plain").distinct()
-    sure = pairs.where("plain").select("statement_id", "table_name")
-    # Names without any word of their own are looked for in every text.
-    bare = names.where("anchor IS NULL").select("table_name", "name")
-    again = pairs.where("NOT plain").select("statement_id", "table_name", "name").join(
-        statements.select("statement_id", text.alias("text")), "statement_id").unionByName(
-        statements.select("statement_id", text.alias("text")).join(bare, F.contains(F.col("text"), F.col("name"))))
-    seen = F.rlike(F.col("text"), bounded(F.col("name"))) if whole_word else F.contains(F.col("text"), F.col("name"))
-    return sure.unionByName(again.where(seen).select("statement_id", "table_name")).distinct()
+    names = targets.select("table_name", F.lower(short_name(F.col("table_name"))).alias("name"))
+    lowered = statements.withColumn("statement_text", F.lower("statement_text"))
+    return rows_naming(lowered, "statement_text", names, "name", "table_name", whole_word)
+
+
+def pairs_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Distinct ``(statement_id, table_name)`` for every table of ``targets(table_name)`` that a statement's text names."""
+    return rows_by_table(statements.select("statement_id", "statement_text"), targets, whole_word).distinct()
 
 
 def statements_by_table(statements: DataFrame, targets: DataFrame, whole_word: bool = False) -> DataFrame:
@@ -156,8 +117,8 @@ def worst_by_table(statements: DataFrame, targets: DataFrame, as_of: date | date
     """
     recent = in_window(statements, as_of, lookback_days, min_duration_ms)
     order = Window.partitionBy("table_name").orderBy(F.desc("total_duration_ms"), "statement_id")
-    longest = recent.groupBy("statement_id").agg(F.max("total_duration_ms").alias("total_duration_ms"))
-    top = pairs_by_table(recent, targets, whole_word).join(longest, "statement_id").withColumn(
+    found = rows_by_table(recent.select("statement_id", "total_duration_ms", "statement_text"), targets, whole_word)
+    top = found.groupBy("statement_id", "table_name").agg(F.max("total_duration_ms").alias("total_duration_ms")).withColumn(
         "place", F.row_number().over(order)).where(F.col("place") <= limit).select("statement_id", "table_name", "place")
     # The other columns are fetched for what is left only.
     kept = recent.drop("statement_text").join(top.select("statement_id").distinct(), "statement_id", "left_semi")

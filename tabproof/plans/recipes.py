@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.hashing import hashable
 from ..functions.names import c, quoted
 from ..operators.multiset import multiset_diff
-from ..operators.salting import BUCKETS, HOT_SHARE, hot_keys, row_salt, spread_join
+from ..operators.salting import BUCKETS, HOT_SHARE, hot_keys, hot_salts, row_salt, spread_join
 from ..sources.storage import refuse_rows, replace_partitions, total_bytes
 
 # Tier each recipe is checked under.
@@ -57,9 +57,12 @@ def broadcast_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "i
 
 # Salting ---------------------------------------------------------------------------------------
 
-def salted_join(fact: DataFrame, dim: DataFrame, key: str, buckets: int = BUCKETS,
+def salted_join(fact: DataFrame, dim: DataFrame, key: str, buckets: int | None = None,
                 share: float = HOT_SHARE) -> DataFrame:
-    """Inner join on ``key`` in which the rows of keys with at least ``share`` of all rows are spread."""
+    """Inner join on ``key`` in which the rows of keys with at least ``share`` of all rows are spread: over ``buckets``, or by
+    their number of rows. One pass over ``fact`` finds them."""
+    if buckets is None:
+        return spread_join(fact, dim, key, hot_salts(fact, key, share), "inner")
     return spread_join(fact, dim, key, hot_keys(fact, key, share), "inner", buckets)
 
 
@@ -116,18 +119,24 @@ def with_zorder(df: DataFrame, columns: list[str], bits: int = 5, name: str = "_
                       for i, n in enumerate(columns)]).first()
     curve = F.lit(0).cast("bigint")
     for i, n in enumerate(columns):
-        edges = F.array(*[F.lit(float(e)) for e in sorted(set(bounds[f"q{i}"] or []))]).cast("array<double>")
-        number = F.expr(numbers[n])
-        bucket = _bucket(edges, number)
+        edges = [float(e) for e in sorted(set(bounds[f"q{i}"] or []))]
+        bucket = _bucket(edges, F.expr(numbers[n]))
         for b in range(bits):
             bit = F.shiftright(bucket, b).bitwiseAND(F.lit(1)).cast("bigint")
             curve = curve.bitwiseOR(F.shiftleft(bit, b * len(columns) + len(columns) - 1 - i))
     return df.withColumn(name, curve)
 
 
-def _bucket(edges: Column, number: Column) -> Column:
-    """Number of edges at or below the value; 0 for null."""
-    return F.when(number.isNotNull(), F.size(F.filter(edges, lambda e: number >= e))).otherwise(F.lit(0))
+def _bucket(edges: list[float], number: Column) -> Column:
+    """Number of edges at or below the value; 0 for null. Halves the sorted edges a fixed number of times."""
+    if not edges:
+        return F.lit(0)
+    listed = F.array(*[F.lit(e) for e in edges])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(edges).bit_length()))])
+    # A step is taken if the edge that closes it is passed; beyond the last edge there is none to pass.
+    low = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+        F.coalesce(number >= F.get(listed, at + step - 1), F.lit(False)), step).otherwise(0))
+    return F.when(number.isNotNull(), low).otherwise(F.lit(0))
 
 
 def write_zordered(df: DataFrame, columns: list[str], path: str, files: int, bits: int | None = None) -> None:

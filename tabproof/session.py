@@ -51,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         if current is None:
             spark.sparkContext.setCheckpointDir(named)
         return named or current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="tabproof-")
     if os.environ.get("TABPROOF_KEEP_SCRATCH") is None:

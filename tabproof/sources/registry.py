@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import DEFAULT_SANDBOX
 from ..operators.dag import dag_order
-from ..session import new_folder
-from .storage import evolve, read_table, refuse_rows, replace_partitions
+from .commits import CommittedTable
+from .storage import evolve, refuse_rows
 
 LIST = T.ArrayType(T.StringType())
 
@@ -127,33 +127,38 @@ def register_lookup(spark: SparkSession, rows: DataFrame, function: str = "get_o
 
 
 class Registry:
-    """Registry rows stored as Parquet under one folder, partitioned by job."""
+    """Registry rows stored under one folder, partitioned by job.
+
+    Every change is one commit: readers see the rows before or after it, whatever happens to the writer, and
+    writers of the same job don't undo each other.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.table = CommittedTable(spark, path, REGISTRY_SCHEMA, "job_name")
 
-    def read(self) -> DataFrame:
-        return read_table(self.spark, self.path, REGISTRY_SCHEMA)
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
 
     def sync(self, rows: DataFrame) -> None:
         """Replaces all rows of the jobs that occur in ``rows``; other jobs stay."""
-        replace_partitions(evolve(rows, REGISTRY_SCHEMA), self.path, "job_name")
+        self.table.replace(evolve(rows, REGISTRY_SCHEMA))
 
     def set_status(self, updates: DataFrame) -> None:
         """Writes statuses of ``updates(job_name, notebook_path, status)`` in one pass.
 
         An unknown status, a row that does not exist, or two statuses for one
         row are errors, found before anything is written. Only the touched jobs
-        are rewritten.
+        are rewritten, again if another writer changed one of them meanwhile.
         """
         refuse_rows(updates.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))
                     .select(*ROW, "status"), f"status must be one of {STATUSES}")
         refuse_rows(updates.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW),
                     "several statuses for one row")
-        rows = self.read()
-        refuse_rows(updates.join(rows, ROW, "left_anti").select(*ROW), "no registry row")
-        touched = rows.join(updates.select("job_name").distinct(), "job_name", "left_semi")
-        # Written apart first: a failure while the partitions are replaced loses no row.
-        new = new_folder(self.spark, "registry-status")
-        apply_status(touched, updates).write.parquet(new)
-        replace_partitions(self.spark.read.schema(REGISTRY_SCHEMA).parquet(new), self.path, "job_name")
+
+        def written_in(rows: DataFrame) -> DataFrame:
+            refuse_rows(updates.join(rows, ROW, "left_anti").select(*ROW), "no registry row")
+            touched = rows.join(updates.select("job_name").distinct(), "job_name", "left_semi")
+            return apply_status(touched, updates).select(*REGISTRY_SCHEMA.names)
+
+        self.table.change(written_in, "set_status")

@@ -12,7 +12,7 @@ from ..functions.hashing import in_sample
 from ..functions.names import c
 from ..operators.asof import resolve_versions
 from ..session import concurrently, new_folder
-from .storage import read_table
+from .commits import ATTEMPTS, CommitConflict, Files, Log
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -44,25 +44,42 @@ def sample_by_key(df: DataFrame, keys: list[str], percent: float, seed: int = 42
 class SnapshotStore:
     """Tables under one folder, each version in a folder of its own, with a history.
 
-    A version becomes visible with its history row, written after its data.
+    A writer first claims its version's number, so two writers never share one. The version becomes visible with
+    its record in the history, put there as a whole after its data; a writer that was killed leaves a number that no
+    version has.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def history(self) -> DataFrame:
-        return read_table(self.spark, f"{self.root}/_history", HISTORY_SCHEMA)
+        records = f"{self.root}/_history"
+        if not Files(self.spark, records).names(records):
+            return self.spark.createDataFrame([], HISTORY_SCHEMA)
+        stored = self.spark.read.schema("table_name string, version long, micros long, operation string").option(
+            "recursiveFileLookup", "true").json(records)
+        return stored.select("table_name", "version", F.timestamp_micros("micros").alias("ts"), "operation")
 
     def commit(self, table: str, df: DataFrame, ts: datetime, operation: str = "WRITE") -> int:
         """Stores the rows as the table's next version and returns its number."""
         last = self.history().where(F.col("table_name") == table).agg(F.max("version")).first()[0]
-        version = 0 if last is None else last + 1
-        # A second writer of the same version fails here instead of replacing the first one's rows.
+        version = self._claim(table, 0 if last is None else last + 1)
+        # Rows that somebody put there without claiming the number are not replaced: this fails.
         df.write.mode("errorifexists").parquet(f"{self.root}/{table}/version={version}")
-        row = self.spark.createDataFrame([(table, version, ts, operation)], HISTORY_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_history")
+        Log(self.spark, f"{self.root}/_history/{table}").put(version, {
+            "table_name": table, "version": version, "micros": T.TimestampType().toInternal(ts), "operation": operation})
         return version
 
+    def _claim(self, table: str, least: int) -> int:
+        """The lowest number from ``least`` on, and above all claimed ones, that no other writer gets."""
+        claims = Log(self.spark, f"{self.root}/_claims/{table}")
+        for _ in range(ATTEMPTS):
+            taken = claims.last()
+            number = least if taken is None else max(least, taken + 1)
+            if claims.put(number, {"table": table}):
+                return number
+        raise CommitConflict(f"{self.root}/{table}: {ATTEMPTS} numbers in a row were taken by others")
+
     def read(self, table: str, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}/version={version}")
 

@@ -36,3 +36,17 @@ def duck():
 @pytest.fixture
 def folder(spark):
     return new_folder(spark, "test")
+
+
+def shuffled_rows(df) -> int:
+    """Rows that left the tasks through shuffles while ``df`` was computed, as its plan counted them."""
+    df.collect()
+
+    def of(plan):
+        name = plan.nodeName()
+        inner = [plan.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [plan.plan()] if name.endswith("QueryStage") else []
+        children = plan.children()
+        own = plan.metrics().get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(of(children.apply(i)) for i in range(children.size())) + sum(map(of, inner))
+
+    return of(df._jdf.queryExecution().executedPlan())

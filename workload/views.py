@@ -73,6 +73,25 @@ class Views:
             .withColumn("o_custkey", F.expr("cast(o_custkey AS decimal(20,0))"))
             .withColumn("o_orderstatus", F.expr("if(o_orderkey % 83 = 0, NULL, o_orderstatus)")))
 
+    @cached_property
+    def orders_touched(self) -> DataFrame:
+        """As many differences whatever the size: some rows dropped, some doubled, some prices changed, the rest drifted."""
+        edited = self.orders.where("o_orderkey NOT BETWEEN 300 AND 320").withColumn("o_totalprice", F.expr(
+            "if(o_orderkey <= 200, o_totalprice + 0.5D, o_totalprice + 1e-9D)"))
+        return edited.unionByName(self.orders.where("o_orderkey BETWEEN 330 AND 335"))
+
+    @cached_property
+    def lineitem_now(self) -> DataFrame:
+        """Lines after deletions (whole suppliers among them), updates and additions."""
+        kept = self.lineitem.where("NOT (l_orderkey % 7 = 0 OR l_suppkey % 10 = 3)").withColumn(
+            "l_extendedprice", F.expr("if(l_orderkey % 11 = 0, l_extendedprice * 2, l_extendedprice)"))
+        return kept.unionByName(self.lineitem_added)
+
+    @cached_property
+    def lineitem_added(self) -> DataFrame:
+        return self.lineitem.where("l_orderkey % 13 = 0 AND l_suppkey % 10 <> 3").withColumn(
+            "l_extendedprice", F.expr("l_extendedprice + 100000"))
+
     @cached_property
     def lineitem_cand(self) -> DataFrame:
         return self.lineitem.where("l_orderkey % 97 <> 0").unionByName(
@@ -209,3 +228,13 @@ class Views:
         return self.table("documents").selectExpr(
             "doc_id AS script_id",
             f"concat(text, {calls}, ' {REFERENCE} x.{REFERENCE} {REFERENCE}0') AS source")
+
+    @cached_property
+    def notebooks(self) -> DataFrame:
+        """Scripts with calls and references in comments, in strings and in code."""
+        calls = "element_at(array(' rand()', ' current_timestamp', ' collect_list(x)', ' first (y)', ''), int(doc_id % 5) + 1)"
+        inside = "element_at(array(' now() ', ' uuid() ', ' last(x) '), int(doc_id % 3) + 1)"
+        return self.table("documents").selectExpr(
+            "doc_id AS script_id",
+            f"concat('/* ', replace(text, '*/', '* /'), {inside}, ' {REFERENCE} */ SELECT \"{REFERENCE} ', {inside}, '\"', {calls}, "
+            f"' -- {REFERENCE}', {inside}, '\\n FROM {REFERENCE} AS `a -- b`') AS source")
