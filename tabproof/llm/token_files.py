@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .bpe import byte_letters
-from .text import Memo, as_bytes, turn_to
+from .text import Memo, as_bytes, release, turn_to
 
 END_OF_DOCUMENT = 2
 #: Parts that a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, TOGETHER = 600_000, 8 << 20
+REMEMBERED, TOGETHER = 300_000, 2 << 20
 
 # Classes of characters in the pre-tokenizer's pattern, fixed values as far as Latin-1: white space, letters, numbers, others.
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -207,6 +207,7 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                     pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(marked), pa.int32()))],
                     names=[doc_id, "shard", "line", "first", "n_tokens", "ids"])
                 line, first, at = line + len(n), first + int(ends[-1]), upto
+        release()
 
     return ranged.select("__id", "utf8").mapInArrow(run, _schema(doc_id, kind))
 
