@@ -1,29 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from tabproof.session import Stored, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tabproof.session import new_folder
-
-
-class Stored:
-    """A table written once and read from there: the lineage ends, and lost executors cost no recomputation.
-
-    Leaving a ``with`` block, or :meth:`discard`, deletes the files.
-    """
-
-    def __init__(self, df: DataFrame, label: str):
-        self.spark: SparkSession = df.sparkSession
-        self.path = new_folder(self.spark, label)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def discard(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df`` after writing them; the files stay until the shared folder is cleaned."""
-    return Stored(df, label).df
+__all__ = ["Stored", "stored"]

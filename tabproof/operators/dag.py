@@ -8,12 +8,15 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..session import checkpoint
+from ..session import Stored, checkpoint, stored
 from .running import ordered_position
 
 TASK = ["job_id", "task_key"]
 # Tasks and edges of a job that are put in order by one task of Spark; larger jobs go through rounds.
 IN_ONE_TASK = 500_000
+# For both sides of joins that hold a row per task or edge. Numbers shuffle to so few bytes that Spark would take millions
+# of them for small, and gather them in the driver.
+SORTED = "merge"
 
 
 def dag_order(tasks: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
@@ -76,38 +79,44 @@ def _by_rounds(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     has none or several, by doubling the pointers: the rounds follow the
     logarithm of a chain's length. What is left, tasks with several
     dependencies, closes one wave a round; only their number reaches the driver.
+    Rounds are read from files: of a checkpoint Spark keeps the size it guessed,
+    and the guess for a join, a product, has twice the digits after every round.
     """
     # Numbers are taken from the stored rows, which hold still when a task runs again.
-    numbered = checkpoint(tasks.select(*TASK).distinct()).withColumn("id", F.monotonically_increasing_id())
+    numbered = stored(checkpoint(tasks.select(*TASK).distinct()).withColumn("id", F.monotonically_increasing_id()), "dag-tasks")
     dependency = numbered.select("job_id", F.col("task_key").alias("depends_on"), F.col("id").alias("dep"))
-    linked = checkpoint(
-        edges.select(*TASK, "depends_on").distinct().join(numbered, TASK)
-        .join(dependency, ["job_id", "depends_on"]).select("id", "dep"))
+    linked = stored(
+        edges.select(*TASK, "depends_on").distinct().join(numbered.hint(SORTED), TASK)
+        .join(dependency.hint(SORTED), ["job_id", "depends_on"]).select("id", "dep"), "dag-links")
     degree = linked.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dep").alias("dep"))
-    single = checkpoint(degree.where("n = 1").select("id", "dep", F.lit(1).alias("steps")))
-    moved, before = single.count(), -1
+    hops = Stored(degree.where("n = 1").select("id", "dep", F.lit(1).alias("steps")), "dag-hops")
+    moved, before = hops.df.count(), -1
     while moved and moved != before:
+        single = hops.df
         onward, seen = single.select(F.col("id").alias("dep"), F.col("dep").alias("next"), F.col("steps").alias("more")), Observation()
-        single = checkpoint(
-            single.join(onward, "dep", "left").observe(seen, F.count("next").alias("moved"))
-            .select("id", F.coalesce("next", "dep").alias("dep"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        further = Stored(
+            single.join(onward.hint(SORTED), "dep", "left").observe(seen, F.count("next").alias("moved"))
+            .select("id", F.coalesce("next", "dep").alias("dep"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "dag-hops")
+        hops.discard()
+        hops = further
         # Pointers that never stop moving are on cycles or lead into one.
         before, moved = moved, seen.get["moved"]
+    single = hops.df
     hung = single.select(F.col("id").alias("dep"), F.col("dep").alias("root"), "steps")
-    several = linked.join(degree.where("n > 1").select("id"), "id", "left_semi")
-    waiting = checkpoint(several.join(hung, "dep", "left").select(
-        "id", F.coalesce("root", "dep").alias("dep"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(0).alias("best")))
+    several = linked.join(degree.where("n > 1").select("id").hint(SORTED), "id", "left_semi")
+    waiting = stored(several.join(hung.hint(SORTED), "dep", "left").select(
+        "id", F.coalesce("root", "dep").alias("dep"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(0).alias("best")), "dag-waiting")
     count = waiting.count()
-    free = numbered.select("id").join(linked.select("id").distinct(), "id", "left_anti").withColumn("wave", F.lit(0))
+    free = numbered.select("id").join(linked.select("id").distinct().hint(SORTED), "id", "left_anti").withColumn("wave", F.lit(0))
     known, fresh = [free], free
     while count:
         seen = Observation()
-        merged = checkpoint(
-            waiting.join(fresh.select(F.col("id").alias("dep"), F.col("wave").alias("at")), "dep", "left")
+        merged = stored(
+            waiting.join(fresh.select(F.col("id").alias("dep"), F.col("wave").alias("at")).hint(SORTED), "dep", "left")
             .withColumn("best", F.greatest("best", F.coalesce(F.col("at") + F.col("steps"), F.lit(0))))
             .withColumn("open", F.expr("if(dep IS NOT NULL AND at IS NULL, struct(dep, steps), NULL)"))
             .groupBy("id").agg(F.max("best").alias("best"), F.collect_set("open").alias("open"))
-            .observe(seen, F.count_if(F.size("open") == 0).alias("closed"), F.sum(F.size("open")).alias("left")))
+            .observe(seen, F.count_if(F.size("open") == 0).alias("closed"), F.sum(F.size("open")).alias("left")), "dag-round")
         if not seen.get["closed"]:
             break
         fresh = merged.where(F.size("open") == 0).select("id", F.col("best").alias("wave"))
@@ -115,8 +124,8 @@ def _by_rounds(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         waiting = merged.select("id", F.explode("open").alias("o"), "best").select("id", "o.dep", "o.steps", "best")
         count = seen.get["left"]
     placed = reduce(DataFrame.unionByName, known)
-    chained = single.join(placed.select(F.col("id").alias("dep"), "wave"), "dep").select(
+    chained = single.join(placed.select(F.col("id").alias("dep"), "wave").hint(SORTED), "dep").select(
         "id", (F.col("wave") + F.col("steps")).alias("wave"))
-    waves = numbered.join(placed.unionByName(chained), "id", "left")
+    waves = numbered.join(placed.unionByName(chained).hint(SORTED), "id", "left")
     last = waves.where("wave IS NOT NULL").groupBy("job_id").agg((F.max("wave") + 1).alias("last"))
     return waves.join(last, "job_id", "left").select(*TASK, F.coalesce("wave", "last", F.lit(0)).alias("wave"))

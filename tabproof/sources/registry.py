@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import DEFAULT_SANDBOX
-from ..operators.dag import dag_order
+from ..operators.dag import SORTED, dag_order
 from .commits import CommittedTable
 from .storage import evolve, refuse_rows
 
@@ -42,7 +42,7 @@ LOOKUP_COLUMNS = [f.name for f in REGISTRY_SCHEMA.fields if f.name not in ("job_
 def carry_forward(seed: DataFrame, prior: DataFrame) -> DataFrame:
     """Seed rows whose status is that of an earlier run where it was settled, else ``pending``."""
     before = prior.where(F.col("status").isin(*SETTLED)).select(*ROW, F.col("status").alias("settled"))
-    return seed.join(before, ROW, "left").withColumn(
+    return seed.join(before.hint(SORTED), ROW, "left").withColumn(
         "status", F.coalesce("settled", F.lit("pending"))).drop("settled")
 
 
@@ -56,7 +56,7 @@ def seed(tasks: DataFrame, edges: DataFrame, prior: DataFrame | None = None,
     """
     order = dag_order(tasks, edges).select("job_id", "task_key", F.col("dag_order").cast("int").alias("dag_order"))
     rows = (
-        tasks.where("notebook_path IS NOT NULL").join(order, ["job_id", "task_key"])
+        tasks.where("notebook_path IS NOT NULL").join(order.hint(SORTED), ["job_id", "task_key"])
         .withColumns({
             "job_id": F.col("job_id").cast("string"),
             **{name: F.array().cast(LIST) for name in ("source_tables", "target_tables", "equivalence_keys")},

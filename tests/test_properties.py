@@ -107,6 +107,18 @@ def test_dag_order_of_a_long_chain(spark, in_one_task):
     assert {(r.task_key, r.wave, r.dag_order) for r in found} == {(f"t{k:05d}", k, k) for k in range(1000)}
 
 
+@pytest.mark.parametrize("cycle", [False, True])
+def test_dag_order_keeps_sizes_known(spark, cycle):
+    """What Spark takes the result's size for does not grow with every round: the driver has to hold and multiply these numbers."""
+    tasks = spark.range(300).selectExpr("'j' AS job_id", "concat('t', lpad(id, 5, '0')) AS task_key")
+    links = spark.range(1, 300).selectExpr("'j' AS job_id", "concat('t', lpad(id, 5, '0')) AS task_key", "concat('t', lpad(id - 1, 5, '0')) AS depends_on")
+    if cycle:
+        links = links.union(spark.sql("SELECT 'j', 't00000', 't00290'"))
+    found = dag_order(tasks, links, 0)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 512
+    assert found.count() == 300
+
+
 @pytest.fixture(scope="module")
 def crowded(spark):
     """One group with most rows, one of nulls, many small ones; more partitions than one."""
