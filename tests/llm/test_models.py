@@ -196,3 +196,14 @@ def test_likelihood_edges(edges, nothing):
     assert all((r.n_words == 0) == (r.mean_log_likelihood is None) for r in rows)
     assert {r.log_likelihood for r in rows if r.doc_id in (1, 2, 3)} == {0.0}
     assert lm.pseudo_likelihood(nothing).collect() == []
+
+
+def test_table_of_logarithms():
+    """Every text's perplexity by place is the one that is looked up word by word."""
+    grams = np.unique(np.random.default_rng(5).integers(0, perplexity.CODES ** 3, 3000))
+    model = perplexity.KneserNey.fit(grams, np.arange(len(grams)) % 7 + 1)
+    logs = model.table()
+    assert len(logs) == perplexity.CODES ** 3 and logs.dtype == np.float32
+    for seed in range(5):
+        codes = np.concatenate(([0, 0], np.random.default_rng(seed).integers(1, perplexity.CODES, 200)))
+        assert float(-logs[perplexity.trigrams(codes)].mean()) == model.log_perplexity(codes)
