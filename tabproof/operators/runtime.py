@@ -50,10 +50,10 @@ def rank_hotspots(registry: DataFrame, timeline: DataFrame | str | None, as_of:
     dearest notebook, by DAG order on ties, when it ran at all).
     """
     jobs = registry.select("job_id").distinct()
-    # Only the registry's jobs are added up; what follows works on that summary, a row per task.
-    listed = telemetry(timeline, TIMELINE).join(jobs, "job_id", "left_semi")
+    # Periods are added up before the registry's jobs are chosen: a join of periods would bring each job's into one task.
     whole = Window.partitionBy("job_id")
-    runtime = task_runtime(listed, as_of, lookback_days).withColumn("job_total_s", F.sum("total_s").over(whole))
+    runtime = task_runtime(telemetry(timeline, TIMELINE), as_of, lookback_days).join(jobs, "job_id", "left_semi").withColumn(
+        "job_total_s", F.sum("total_s").over(whole))
     cheapest_last = F.struct((-F.col("total_s")).alias("cost"), "dag_order", "notebook_path")
     return (
         registry.withColumn("listed", F.lit(True)).join(runtime, ["job_id", "task_key"], "full")

@@ -38,6 +38,17 @@ def test_hotspots(spark):
     assert len(empty) == 4 and not any(r.ranked or r.recommended for r in empty)
 
 
+def test_hotspots_join_no_periods(spark):
+    """Jobs are chosen from the sums of tasks: joined by job, all periods of one would meet in one task."""
+    t, e = datetime(2024, 1, 20), datetime(2024, 1, 20, 0, 1)
+    rows = timeline(spark, [("1", "a", "r", t, e), ("2", "a", "r", t, e)]).repartition(2)
+    listed = spark.createDataFrame([("1", "a", "/a", 0)], "job_id string, task_key string, notebook_path string, dag_order int").hint("merge")
+    ranked = runtime.rank_hotspots(listed, rows, NOW)
+    assert [(r.notebook_path, r.total_runtime_s, r.cost_share) for r in ranked.collect()] == [("/a", 60, 1.0)]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("run_id")
+
+
 def test_timings_and_gate(spark):
     rows = [("baseline", 0, 99.0), ("baseline", 1, 10.0), ("baseline", 2, 12.0), ("baseline", 3, 11.0), ("baseline", 4, 500.0),
             ("candidate", 0, 50.0), ("candidate", 1, 8.0), ("candidate", 2, 9.6)]
