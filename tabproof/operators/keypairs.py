@@ -4,8 +4,9 @@ Where a key occurs several times, its rows have no partner by key alone. Equal r
 whatever their order; of what remains, rows that agree in all exact columns are paired in the order of their numbers,
 each with the earliest waiting row of the other side that is within the tolerance. The rest is the surplus.
 
-Rows are sorted over many partitions, never gathered by key. A stretch of numbers each within the tolerance of the one
-before stays together, and the task that has it streams through it.
+Rows that agree in their exact columns go to one task by a hash and are streamed through in order. Where they are very
+many they are sorted over many partitions instead: only a stretch of numbers each within the tolerance of the one before
+stays together, and the task that has it streams through it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from math import isinf, isnan
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -25,8 +27,8 @@ from ..session import checkpoint
 from .running import greatest_before, running_max
 from .sides import BASELINE, CANDIDATE, SIDE, SchemaMismatch, both_sides, rows_of, schema_problems, shared_fields
 
-#: Rows of a batch that become Python objects together.
-ROWS = 1024
+#: Open rows that agree in their exact columns which one task sorts; more are range-sorted over many.
+TOGETHER = 100_000
 
 
 def close_numbers(a, b, epsilon: float) -> bool:
@@ -91,11 +93,12 @@ def stretched(open_rows: DataFrame, groups: list[str], numbers: list[str], epsil
 
 
 def paired_rows(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsilon: float = 1e-6,
-                strict_types: bool = True) -> DataFrame:
+                strict_types: bool = True, together: int = TOGETHER) -> DataFrame:
     """Every distinct row of both sides: its columns, ``side``, ``paired`` and ``surplus`` copies.
 
     Exact columns must agree, float and decimal ones lie within ``epsilon``. Of several such columns, in alphabetic
-    order, the first one leads. Maps come as sorted lists of their entries. Null keys are keys like others.
+    order, the first one leads. Maps come as sorted lists of their entries. Null keys are keys like others. More than
+    ``together`` open rows with the same exact columns are range-sorted.
     """
     problems = schema_problems(baseline, candidate, strict_types)
     problems += [f"key column not found: {k}" for k in keys if k not in baseline.columns]
@@ -121,35 +124,70 @@ def paired_rows(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsi
                                   f"THEN if({quoted(n)} > 0, 3, 4) ELSE 0 END" if not isinstance(sides.schema[n].dataType, T.DecimalType)
                                   else f"if({quoted(n)} IS NULL, 1, 0)") for i, n in enumerate(numbers)}
     groups = [n for n in names if n not in numbers] + list(kinds)
-    open_rows = each.where("__n > __equal").withColumns(kinds)
-    ranged = stretched(open_rows, groups, numbers, epsilon)
+    same_group = F.xxhash64(*[c(g) for g in groups])  # groups of one hash only share a task
+    open_rows = each.where("__n > __equal").withColumns(kinds).withColumn("__group", same_group)
+    hot = checkpoint(open_rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("__group"))
+    few, many = open_rows, None
+    if not hot.isEmpty():
+        few = open_rows.join(hot, "__group", "left_anti")
+        many = stretched(open_rows.join(hot, "__group", "left_semi").drop("__group"), groups, numbers, epsilon)
+    ranged = few.repartition("__group").sortWithinPartitions(*[quoted(n) for n in [*groups, *numbers]], SIDE)
     out = T.StructType([*[sides.schema[n] for n in names], T.StructField("side", T.StringType()), T.StructField("paired", T.LongType()),
                         T.StructField("surplus", T.LongType())])
     arrow = to_arrow_schema(out)
-    width = len(names)
 
     def run(batches):
+        held: dict[int, list] = {}  # batch, rows left, paired, surplus
+
         def rows():
-            for batch in batches:
-                at = {n: i for i, n in enumerate(batch.schema.names)}
-                for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                    columns = [col.to_pylist() for col in part.columns]
-                    value = [columns[at[n]] for n in numbers]
-                    stretch = [columns[at[n]] for n in [*groups, "__from"]]
-                    for i in range(part.num_rows):
-                        row = tuple(columns[at[n]][i] for n in names)
-                        side, n, equal = (columns[at[x]][i] for x in (SIDE, "__n", "__equal"))
-                        yield (repr([s[i] for s in stretch]), side, [v[i] for v in value], n - equal, (*row, "baseline" if side == BASELINE else "candidate", equal))
-        held = []
-        for row, paired, surplus in sweep(rows(), epsilon):
-            held.append((*row[:width + 1], row[width + 1] + paired, surplus))
-            if len(held) == ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), arrow)], schema=arrow)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), arrow)], schema=arrow)
-
-    return settled.unionByName(ranged.mapInArrow(run, out))
+            group, last = 0, None
+            for b, batch in enumerate(batches):
+                if not batch.num_rows:
+                    continue
+                at = {n: batch.column(n) for n in batch.schema.names}
+                held[b] = [batch, batch.num_rows, [0] * batch.num_rows, [0] * batch.num_rows]
+                ends = [[repr(at[g][i].as_py()) for g in groups] for i in (0, -1)]
+                new = _changes([at[g] for g in groups])
+                new[0] = ends[0] != last
+                last = ends[1]
+                value = list(zip(*(at[n].to_pylist() for n in numbers)))
+                for i, (side, n, equal) in enumerate(zip(at[SIDE].to_pylist(), at["__n"].to_pylist(), at["__equal"].to_pylist())):
+                    group += new[i]
+                    yield group, side, value[i], n - equal, (b, i)
+
+        for (b, i), paired, surplus in sweep(rows(), epsilon):
+            waits = held[b]
+            waits[1], waits[2][i], waits[3][i] = waits[1] - 1, paired, surplus
+            if not waits[1]:
+                batch, _, paired, surplus = held.pop(b)
+                yield told(batch, paired, surplus)
+
+    def told(batch, paired, surplus):
+        side = pc.if_else(pc.equal(batch.column(SIDE), BASELINE), "baseline", "candidate")
+        paired = pc.add(batch.column("__equal"), pa.array(paired, pa.int64()))
+        columns = [*[batch.column(n) for n in names], side, paired, pa.array(surplus, pa.int64())]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+    settled = settled.unionByName(ranged.mapInArrow(run, out))
+    return settled if many is None else settled.unionByName(many.mapInArrow(run, out))
+
+
+def _changes(columns: list[pa.Array]) -> list[bool]:
+    """Whether each row differs from the one before in any of the columns; null equals null, NaN equals NaN."""
+    n = len(columns[0])
+    new = pa.array([False] * n)
+    for x in columns:
+        if pa.types.is_nested(x.type):
+            text = [repr(v) for v in x.to_pylist()]
+            other = pa.array([False, *[a != b for a, b in zip(text, text[1:])]])
+        else:
+            a, b = x.slice(0, n - 1), x.slice(1)
+            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+            if pa.types.is_floating(x.type):
+                other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+            other = pa.concat_arrays([pa.array([False]), other])
+        new = pc.or_(new, other)
+    return new.to_pylist()
 
 
 def key_pairs(baseline: DataFrame, candidate: DataFrame, keys: list[str], epsilon: float = 1e-6,

@@ -67,6 +67,33 @@ def test_equals_the_plain_loop(spark, seed):
     assert found(paired_rows(frame(left), frame(right), ["k"], 0.25)) == brute_force(left, right, 0.25)
 
 
+@pytest.mark.parametrize("together", [0, 4, 100])
+def test_small_groups_are_not_range_sorted(spark, together):
+    """Groups sorted in one task and range-sorted ones are paired alike; while none is large, nothing is range-sorted."""
+    rng = random.Random(together)
+    draw = lambda n: [(rng.choice(["a", "b", None]), "p", rng.choice([None, float("inf"), *[i / 4 for i in range(12)]]), 0.0) for _ in range(n)]
+    left, right = draw(25), draw(25)
+    rows = paired_rows(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), ["k"], 0.25, together=together)
+    assert found(rows) == brute_force(left, right, 0.25)
+    assert ("rangepartitioning" in rows._jdf.queryExecution().executedPlan().toString()) == (together < 100)
+
+
+def test_rows_of_several_batches(spark):
+    """Waiting rows outlive their batch, whatever the types of the exact columns."""
+    make = lambda shift: spark.range(500, numPartitions=3).selectExpr(
+        "id % 7 AS k", "if(id % 3 = 0, NULL, date'2024-01-01') AS d", "timestamp'2024-01-01 10:00:00' AS t", "cast(id % 2 AS decimal(9,2)) AS m",
+        "if(id % 2 = 0, float('nan'), NULL) AS f", "array(named_struct('n', int(id % 2), 'x', double('nan'))) AS l", "binary('q') AS b",
+        f"id * 10 + {shift}D AS x")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 2)
+    try:
+        rows = paired_rows(make(0), make(0.1).where("x < 4900"), ["k", "f"], 0.25).where("side = 'baseline'")
+        assert rows.groupBy().sum("paired", "surplus").collect() == [(490, 10)]
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_summary_and_surplus(spark):
     left = [("a", "p", 1.0, 0.0), ("a", "p", 1.0, 0.0), ("a", "p", 5.0, 0.0), ("b", "p", 1.0, 0.0), (None, "p", 1.0, 0.0)]
     right = [("a", "p", 1.0 + 1e-9, 0.0), ("a", "p", 5.0, 0.0), ("a", "p", 6.0, 0.0), ("b", "p", 2.0, 0.0), (None, "p", 1.0, 0.0), (None, "p", 1.0, 0.0)]
