@@ -133,6 +133,19 @@ def test_flow_is_recorded(spark, views, folder):
     assert "no such column" in " ".join(r.insight for r in log.read().where("status = 'failed'").collect())
 
 
+def test_the_step_that_targets_share_runs_once(spark, folder):
+    """Targets read the stored step, not the lines again."""
+    spark.createDataFrame([(1, 7, "F"), (2, 7, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{folder}/orders")
+    spark.createDataFrame([(1, 10.0, 0.5), (1, 1.0, 0.0), (2, 2.0, 0.0)], "l_orderkey long, l_extendedprice double, l_discount double").write.parquet(
+        f"{folder}/lineitem")
+    tables = {t: spark.read.parquet(f"{folder}/{t}") for t in ("orders", "lineitem")}
+    for run in (revenue_flow, revenue_flow_salted):
+        found = run(tables)
+        assert [tuple(map(str, r)) for r in found["by_customer"].collect()] == [("7", "8.0000")]
+        assert sorted(tuple(map(str, r)) for r in found["by_status"].collect()) == [("F", "6.0000", "1"), ("O", "2.0000", "1")]
+        assert not [f for df in found.values() for f in df.inputFiles() if "/lineitem/" in f]
+
+
 def test_replay(spark, views, folder):
     store = SnapshotStore(spark, folder)
     for i, cut in enumerate((1997, 2100)):
