@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabproof.operators.running import greatest_before
 
-from .store import Stored, stored
-from .text import as_bytes, by_row, mixed, shingles, spaced_words, word_hashes
+from .store import Bucketed, Stored, stored
+from .text import as_bytes, by_row, few, mixed, shingles, spaced_words, word_hashes
 
 #: Words of a seed; in WINDOW consecutive seeds the least hash is kept, so a shared run of SEED + WINDOW - 1 words shares one.
 SEED, WINDOW = 5, 16
@@ -25,6 +26,8 @@ PRICE = 0.1
 MARGIN, WIDER = 64, 16
 #: Occurrences of a seed that one window sorts; those of others are range-sorted over several partitions, for the same matches.
 HOT = 2048
+#: For what is joined with the bucketed texts: their rows then need no sorting.
+HASHED = "shuffle_hash"
 #: Ranges that are cut from one document in one row.
 RANGES = 256
 
@@ -40,9 +43,14 @@ def slide(h: np.ndarray, w: int, least) -> np.ndarray:
 
 def seeds(words: list[bytes], seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the seeds that have the least hash of some ``window`` consecutive ones."""
-    if len(words) < seed:
+    return seeds_of(word_hashes(words), seed, window)
+
+
+def seeds_of(hashes: np.ndarray, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The :func:`seeds` of words with these hashes."""
+    if len(hashes) < seed:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = shingles(word_hashes(words), seed)
+    h = shingles(hashes, seed)
     w = min(window, len(h))
     order = mixed(h)
     edge = np.zeros(w - 1, np.uint64)
@@ -200,40 +208,69 @@ def best_parts(steps: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[in
         yield x, u + n, y, v + m, sum(s[4] for s in steps[first:last + 1] if s[4] > 0)
 
 
-def _seed_rows(i, utf8):
-    places, h = seeds(spaced_words(utf8))
-    return zip([i] * len(places), places.tolist(), h.view(np.int64).tolist())
+def places_of(df: DataFrame, fn: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(doc_id, at, h): the places and hashes that ``fn`` finds in each row; the row's first value is doc_id, the others go to ``fn``."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for part in few(batch):
+                ids, *rest = (c.to_pylist() for c in part.columns)
+                found = [fn(*values) for values in zip(*rest)]
+                if found:
+                    at, h = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(np.asarray(ids, np.int64), [len(x) for x, _ in found])), pa.array(at.astype(np.int32)),
+                        pa.array(h.view(np.int64))], schema=arrow)
 
+    return df.mapInArrow(run, "doc_id long, at int, h long")
+
+
+def coded_texts(texts: DataFrame, least: int) -> Bucketed:
+    """(doc_id, words, places, hashes) of the texts with ``least`` words or more, in buckets of doc_id: 32 bits for each word, and the seeds."""
+    def code(i, utf8):
+        words = spaced_words(utf8)
+        if len(words) >= least:
+            codes = word_hashes(words)
+            at, h = seeds_of(codes)
+            yield i, codes.astype(np.uint32).tobytes(), at.astype(np.int32).tobytes(), h.tobytes()
 
-def shared_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, at, h) of all seeds, and (h, n, first) of those that several documents have."""
-    found = stored(by_row(docs, _seed_rows, "doc_id long, at int, h long"), "passage-seeds")
-    shared = found.groupBy("h").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last_id")
-    ).where("first.doc_id < last_id")
-    return found, stored(shared.select("h", "n", "first"), "passage-shared")  # a plain table, so that Spark can split a hot seed's rows
+    return Bucketed(by_row(texts, code, "doc_id long, words binary, places binary, hashes binary", packed=512), "doc_id", "passage-words")
 
 
-def possible_starts(words: list[bytes], shared: np.ndarray, least: int) -> np.ndarray:
-    """Places where a run of ``least`` words may begin that another document holds, as ``shared`` are the places of shared seeds.
+def shared_seeds(texts: DataFrame) -> DataFrame:
+    """(doc_id, at, h, n, first_id): the places of seeds that several documents have, how many places these are, and the first document."""
+    found = Stored(places_of(texts.select("doc_id", "places", "hashes"), lambda at, h: (
+        np.frombuffer(at, np.int32), np.frombuffer(h, np.uint64))), "passage-seeds")
+    shared = found.df.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    # A plain table, so that Spark can split a hot seed's rows.
+    kept = Stored(shared.select("h", "n", "first_id"), "passage-shared")
+    hits = stored(found.df.join(kept.df, "h").select("doc_id", "at", "h", "n", "first_id"), "passage-hits")
+    found.discard()
+    kept.discard()
+    return hits
+
+
+def possible_starts(words: int, places: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Of so many ``words``, places where a run of ``least`` may begin that another document holds, as ``shared`` of the seeds' places are of shared ones.
 
     Seeds that lie WINDOW - 1 or more from both ends of a run are seeds wherever the run stands, so all of them are shared.
     """
-    places, _ = seeds(words)
-    n, last = len(words) - least + 1, least - SEED + 1 - WINDOW
+    n, last = words - least + 1, least - SEED + 1 - WINDOW
     if n <= 0 or last < WINDOW - 1:
         return np.arange(max(0, n))
-    lone = np.zeros(len(words) + 1, np.int64)
+    lone = np.zeros(words + 1, np.int64)
     lone[np.setdiff1d(places, shared, assume_unique=False) + 1] = 1
     lone = np.cumsum(lone)
     starts = np.arange(n)
     return np.flatnonzero(lone[starts + last + 1] == lone[starts + WINDOW - 1])
 
 
-def run_hashes(words: list[bytes], starts: np.ndarray, least: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     """64 bits for the run of ``least`` words from each start."""
     size = min(SEED, least)
-    h, out = shingles(word_hashes(words), size), np.zeros(len(starts), np.uint64)
+    h, out = shingles(words, size), np.zeros(len(starts), np.uint64)
     for at in [*range(0, least - size, size), least - size]:
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[starts + at]
     return mixed(out)
@@ -257,7 +294,7 @@ def _ranked(i, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
         yield i, at, h, n
 
 
-def equal_runs(texts: DataFrame, found: DataFrame, shared: DataFrame, covers: DataFrame, least: int) -> DataFrame:
+def equal_runs(texts: DataFrame, hits: DataFrame, covers: DataFrame, least: int) -> DataFrame:
     """(doc_id, ref_id, start_word, end_word, ref_start): runs of ``least`` words that an earlier document holds and no span
     of ``covers(doc_id, start_word, end_word)`` covers, in the first document that holds them; along a diagonal they are put together.
 
@@ -265,42 +302,40 @@ def equal_runs(texts: DataFrame, found: DataFrame, shared: DataFrame, covers: Da
     hold it have its first inner seed, so only the places of those seeds are hashed.
     """
     inner = least - SEED + 1 - WINDOW
-    held = found.join(shared.where("first.doc_id IS NOT NULL").select("h", F.col("first.doc_id").alias("first_id")), "h").where("first_id < doc_id")
+    held = hits.where("first_id < doc_id")
     places = held.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     spans = covers.groupBy(F.col("doc_id").alias("covered_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
 
-    def needy(i, ats, spans, utf8):
-        words = spaced_words(utf8)
-        starts = possible_starts(words, np.asarray(ats, np.int64), least)
+    def needy(i, ats, spans, words, at, h):
+        words, at, h = np.frombuffer(words, np.uint32), np.frombuffer(at, np.int32), np.frombuffer(h, np.uint64)
+        starts = possible_starts(len(words), at, np.asarray(ats, np.int64), least)
         if spans and len(starts):
             merged = np.array(_merged([tuple(s.values()) for s in spans]), np.int64)
             last = np.searchsorted(merged[:, 0], starts, side="right") - 1
             starts = starts[(last < 0) | (starts + least > merged[last, 1])]
         if len(starts):
-            at, h = seeds(words)
             own = np.minimum(np.searchsorted(at, starts + WINDOW - 1), max(len(at) - 1, 0)) if inner >= WINDOW - 1 else np.zeros(len(starts), int)
             seed, away = (h[own].view(np.int64), at[own] - starts) if inner >= WINDOW - 1 else (own, own)
             for row, s, d in zip(_ranked(i, starts, run_hashes(words, starts, least)), seed.tolist(), away.tolist()):
                 yield *row, s, d
 
-    looked = places.join(spans, F.col("doc_id") == F.col("covered_id"), "left").join(texts, "doc_id").select("doc_id", "ats", "spans", "utf8")
+    looked = places.join(spans, F.col("doc_id") == F.col("covered_id"), "left").hint(HASHED).join(texts, "doc_id").select("doc_id", "ats", "spans", "words", "places", "hashes")
     wanted = stored(by_row(looked, needy, "doc_id long, at int, h long, nth int, seed long, away int"), "passage-runs")
     if inner >= WINDOW - 1:
         asked = wanted.groupBy("seed").agg(F.collect_set("away").alias("aways"))
-        where = found.join(asked, F.col("h") == F.col("seed")).groupBy("doc_id").agg(
+        where = hits.join(asked, F.col("h") == F.col("seed")).groupBy("doc_id").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(aways, a -> at - a)"))))).alias("starts"))
     else:
-        where = found.select("doc_id").distinct().withColumn("starts", F.lit(None).cast("array<int>"))
+        where = texts.select("doc_id").distinct().withColumn("starts", F.lit(None).cast("array<int>"))
 
-    def runs(i, starts, utf8):
-        words = spaced_words(utf8)
+    def runs(starts, words):
+        words = np.frombuffer(words, np.uint32)
         every = np.arange(max(0, len(words) - least + 1))
         own = every if starts is None else np.asarray(starts, np.int64)
         own = own[(own >= 0) & (own < len(every))]
-        if len(own):
-            yield from ((i, at, h) for i, at, h, _ in _ranked(i, own, run_hashes(words, own, least)))
+        return own, run_hashes(words, own, least) if len(own) else np.zeros(0, np.uint64)
 
-    holders = by_row(where.join(texts, "doc_id").select("doc_id", "starts", "utf8"), runs, "doc_id long, at int, h long").join(
+    holders = places_of(where.hint(HASHED).join(texts, "doc_id").select("doc_id", "starts", "words"), runs).join(
         wanted.select("h").distinct(), "h", "left_semi")
     # The first holder with all places of the run there: the n-th here goes with the n-th there, so that what repeats inside a
     # document stays on one diagonal.
@@ -319,20 +354,22 @@ def equal_runs(texts: DataFrame, found: DataFrame, shared: DataFrame, covers: Da
     return by_row(grouped, ranges, "doc_id long, ref_id long, start_word int, end_word int, ref_start int")
 
 
-def seed_matches(found: DataFrame, shared: DataFrame) -> DataFrame:
+def seed_matches(hits: DataFrame) -> DataFrame:
     """(doc_id, ref_id, xs, ys): for pairs of documents, the places of seeds that both have; ref_id is smaller.
 
     Every occurrence of a seed is matched with its first one over all documents and with the last one in the document
     before it: two matches an occurrence at most, however many documents share the seed. So a passage of many documents
     leads to one chain for each, not one for each pair. The occurrences of a hot seed are sorted over many partitions.
     """
-    hits = found.join(shared, "h")
     spot = F.struct("doc_id", "at")
     earlier = Window.partitionBy("h").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
-    few = hits.where(F.col("n") <= HOT).withColumn("previous", F.max(spot).over(earlier)).select("doc_id", "at", "first", "previous")
-    many = hits.where(F.col("n") > HOT).groupBy("h", "doc_id").agg(F.collect_list("at").alias("ats"), F.first("first").alias("first"))
-    many = greatest_before(many, ["h"], ["doc_id"], F.struct("doc_id", F.array_max("ats").alias("at")), "previous").select(
-        "doc_id", F.explode("ats").alias("at"), "first", "previous")
+    few = hits.where(F.col("n") <= HOT).withColumns({"first": F.min(spot).over(earlier), "previous": F.max(spot).over(earlier)}).select(
+        "doc_id", "at", "first", "previous")
+    hot = hits.where(F.col("n") > HOT)
+    first = hot.where("doc_id = first_id").groupBy("h").agg(F.struct(F.first("doc_id").alias("doc_id"), F.min("at").alias("at")).alias("first"))
+    many = greatest_before(hot.groupBy("h", "doc_id").agg(F.collect_list("at").alias("ats")), ["h"], ["doc_id"],
+                           F.struct("doc_id", F.array_max("ats").alias("at")), "previous")
+    many = many.join(first, "h").select("doc_id", F.explode("ats").alias("at"), "first", "previous")
     near = few.unionByName(many).select(
         "doc_id", "at", F.explode(F.expr("""filter(array_distinct(array(first, previous)),
             x -> x IS NOT NULL AND x.doc_id < doc_id)""")).alias("ref"))
@@ -359,6 +396,9 @@ def candidate_chains(matches: DataFrame, least: int) -> DataFrame:
     seed if they were WINDOW or more.
     """
     def find(doc_id, ref_id, xs, ys):
+        if len(xs) == 1:
+            yield doc_id, ref_id, [xs[0], ys[0], xs[0] + SEED], False
+            return
         xs, ys = outer_matches(np.asarray(xs, np.int64), np.asarray(ys, np.int64))
         for chain in chains(xs, ys):
             (x, y, *_), (u, v, end, _) = chain[0], chain[-1]
@@ -383,7 +423,7 @@ def _alignments(found: DataFrame, texts: DataFrame, least: int, margin: int) ->
     dealt = spans.join(sizes, "doc_id").groupBy("doc_id", F.expr(f"pmod(xxhash64(a, b), n div {RANGES} + 1)").alias("salt")).agg(
         F.collect_list(F.struct("a", "b")).alias("ranges"))
     pieces = Stored(
-        by_row(dealt.join(texts, "doc_id").select("doc_id", "ranges", "utf8"), _cut, "doc_id long, a int, b int, words binary")
+        by_row(dealt.hint(HASHED).join(texts, "doc_id").select("doc_id", "ranges", "words"), _cut, "doc_id long, a int, b int, words binary")
         .groupBy("doc_id", "a", "b").agg(F.max("words").alias("words")), "passage-slices")
     slices = pieces.df
     sides = found.join(slices.selectExpr("doc_id", "a AS x", "b AS x_end", "words AS ours"), ["doc_id", "x", "x_end"]).join(
@@ -437,17 +477,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id",
     leaves the first one whole. Null ids and null, empty or short texts give no rows. Rows that share an id are never
     matched with each other. Other columns are not read.
     """
-    texts = as_bytes(docs.where(F.col(doc_id).isNotNull()), doc_id, text=text, names=("doc_id",))
-    seeded, shared = shared_seeds(texts)
-    found = stored(candidate_chains(seed_matches(seeded, shared), least), "passage-chains")
+    kept = coded_texts(as_bytes(docs.where(F.col(doc_id).isNotNull()), doc_id, text=text, names=("doc_id",)), least)
+    texts = kept.df
+    hits = shared_seeds(texts)
+    found = stored(candidate_chains(seed_matches(hits), least), "passage-chains")
     done = _settled(found.where("sure").drop("sure"), texts, least)
     # The others are followed where no passage of the document was found.
     known = done.groupBy(F.col("doc_id").alias("known_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     rest = found.where("NOT sure").join(known, F.col("doc_id") == F.col("known_id"), "left").where(F.expr(
         "NOT coalesce(exists(spans, s -> s.start_word <= runs[0] AND s.end_word >= runs[size(runs) - 1]), false)"))
     done = done.unionByName(_settled(rest.select("doc_id", "ref_id", "runs"), texts, least))
-    missed = equal_runs(texts, seeded, shared, done.select("doc_id", "start_word", "end_word"), least)
+    missed = equal_runs(texts, hits, done.select("doc_id", "start_word", "end_word"), least)
     done = done.unionByName(_settled(missed.selectExpr("doc_id", "ref_id", "array(start_word, ref_start, end_word) AS runs"), texts, least))
+    kept.discard()
     return _outermost(done)
 
 
@@ -465,10 +507,9 @@ def _outermost(rows: DataFrame) -> DataFrame:
     return by_row(own, kept, "doc_id long, ref_id long, start_word int, end_word int, ref_start int, ref_end int, identity double")
 
 
-def _cut(doc_id, ranges, utf8):
-    h = word_hashes(spaced_words(utf8))
+def _cut(doc_id, ranges, words):
     for r in ranges:
-        yield doc_id, r["a"], r["b"], h[r["a"]:r["b"]].astype(np.uint32).tobytes()
+        yield doc_id, r["a"], r["b"], words[4 * r["a"]:4 * r["b"]]
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")

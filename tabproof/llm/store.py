@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from tabproof.session import Stored, stored
+from tabproof.session import Bucketed, Stored, stored
 
-__all__ = ["Stored", "stored"]
+__all__ = ["Bucketed", "Stored", "stored"]

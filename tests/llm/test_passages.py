@@ -7,7 +7,7 @@ import pytest
 from tabproof.llm import passages
 from tabproof.llm.passages import aligned, best_parts, chains, cut_words, remove_passages, repeated_passages, seeds
 from tabproof.llm.queries import QUERIES
-from tabproof.llm.text import spaced_words, word_hashes
+from tabproof.llm.text import as_bytes, spaced_words, word_hashes
 from tests.conftest import SF_DIR
 
 from .conftest import text_of
@@ -226,3 +226,16 @@ def test_a_passage_that_goes_on_beyond_its_own_seeds(spark):
     rng.shuffle(rows)
     found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 99").collect()
     assert max(r.end_word - r.start_word for r in found) == 2000
+
+
+def test_texts_stay_in_their_buckets(spark):
+    """What is joined with the coded texts moves, the texts don't, and short ones are left out."""
+    rows = [(i, text_of(40 + i, i)) for i in range(20)]
+    texts = as_bytes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    kept = passages.coded_texts(texts, LEAST)
+    joined = spark.range(20).withColumnRenamed("id", "doc_id").hint(passages.HASHED).join(kept.df, "doc_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan
+    assert sorted((r.doc_id, len(r.words)) for r in joined.collect()) == [(i, 4 * (40 + i)) for i in range(10, 20)]
+    kept.discard()
+    assert not spark.catalog.tableExists(kept.name)
