@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabproof.operators.running import greatest_before
 
 from .store import Bucketed, Stored, stored
-from .text import as_bytes, by_row, few, mixed, shingles, spaced_words, word_hashes
+from .text import as_bytes, by_row, few, mixed, shingles, spaced_codes, word_hashes
 
 #: Words of a seed; in WINDOW consecutive seeds the least hash is kept, so a shared run of SEED + WINDOW - 1 words shares one.
 SEED, WINDOW = 5, 16
@@ -181,6 +181,19 @@ def aligned(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, mar
     return steps
 
 
+def hopeless(run: tuple[int, int, int], a: np.ndarray, b: np.ndarray, least: int, margin: int) -> bool:
+    """Whether a run's alignment has too few equal words for a passage of ``least``, and none at an end where it may go on.
+
+    More than four fifths of a passage's words are equal.
+    """
+    x, y, end = run
+    back = min(margin, x, y)
+    n = min(end - x + back + margin, len(a) - x + back, len(b) - y + back)
+    same = a[x - back:x - back + n] == b[y - back:y - back + n]
+    return 5 * np.count_nonzero(same) <= 4 * least and not (same[0] and back >= margin) and not (
+        same[-1] and min(len(a) - end, len(b) - (y + end - x)) >= margin)
+
+
 def best_parts(steps: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
     """All maximal scoring parts of an alignment, as (start, end, start there, end there, equal words).
 
@@ -229,9 +242,8 @@ def places_of(df: DataFrame, fn: Callable[..., tuple[np.ndarray, np.ndarray]]) -
 def coded_texts(texts: DataFrame, least: int) -> Bucketed:
     """(doc_id, words, places, hashes) of the texts with ``least`` words or more, in buckets of doc_id: 32 bits for each word, and the seeds."""
     def code(i, utf8):
-        words = spaced_words(utf8)
-        if len(words) >= least:
-            codes = word_hashes(words)
+        codes = spaced_codes(utf8)
+        if len(codes) >= least:
             at, h = seeds_of(codes)
             yield i, codes.astype(np.uint32).tobytes(), at.astype(np.int32).tobytes(), h.tobytes()
 
@@ -267,6 +279,20 @@ def possible_starts(words: int, places: np.ndarray, shared: np.ndarray, least: i
     return np.flatnonzero(lone[starts + last + 1] == lone[starts + WINDOW - 1])
 
 
+def rarest(places: np.ndarray, known: np.ndarray, occurrences: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each pair of bounds (included), the index of the place between them that has the fewest ``occurrences``, given for
+    the ``known`` places; the first of several. There is one for every pair.
+    """
+    counts = np.full(len(places), np.iinfo(np.int64).max)
+    counts[np.searchsorted(places, known)] = occurrences
+    first, last = np.searchsorted(places, low), np.searchsorted(places, high, side="right") - 1
+    best, at = first.copy(), first
+    for _ in range(int((last - first).max(initial=0))):
+        at = np.minimum(at + 1, last)
+        best = np.where(counts[at] < counts[best], at, best)
+    return best
+
+
 def run_hashes(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     """64 bits for the run of ``least`` words from each start."""
     size = min(SEED, least)
@@ -285,13 +311,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _ranked(i, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
-    """(document, start, hash, number of the start among those with its hash, from 0)."""
-    count: dict[int, int] = {}
-    for at, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
-        n = count.get(h, 0)
-        count[h] = n + 1
-        yield i, at, h, n
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash among its equals, from 0."""
+    order = np.argsort(hashes, kind="stable")
+    places = np.arange(len(hashes))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(hashes[order]) != 0)), places, 0))
+    out = np.empty(len(hashes), np.int64)
+    out[order] = places - first
+    return out
 
 
 def equal_runs(texts: DataFrame, hits: DataFrame, covers: DataFrame, least: int) -> DataFrame:
@@ -299,32 +326,51 @@ def equal_runs(texts: DataFrame, hits: DataFrame, covers: DataFrame, least: int)
     of ``covers(doc_id, start_word, end_word)`` covers, in the first document that holds them; along a diagonal they are put together.
 
     A run may have an earlier holder only if all its inner seeds have one, and only such runs are looked up. Others that
-    hold it have its first inner seed, so only the places of those seeds are hashed.
+    hold it have all its inner seeds, so only the places of the one with the fewest places are hashed. A hot seed's places in one
+    document are looked up together, as a line repeated over and over has many.
     """
     inner = least - SEED + 1 - WINDOW
     held = hits.where("first_id < doc_id")
-    places = held.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    places = held.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("own")).select("doc_id", "own.at", "own.n")
     spans = covers.groupBy(F.col("doc_id").alias("covered_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
 
-    def needy(i, ats, spans, words, at, h):
+    def needy(ats, counts, spans, words, at, h):
         words, at, h = np.frombuffer(words, np.uint32), np.frombuffer(at, np.int32), np.frombuffer(h, np.uint64)
-        starts = possible_starts(len(words), at, np.asarray(ats, np.int64), least)
+        ats = np.asarray(ats, np.int64)
+        starts = possible_starts(len(words), at, ats, least)
         if spans and len(starts):
             merged = np.array(_merged([tuple(s.values()) for s in spans]), np.int64)
             last = np.searchsorted(merged[:, 0], starts, side="right") - 1
             starts = starts[(last < 0) | (starts + least > merged[last, 1])]
-        if len(starts):
-            own = np.minimum(np.searchsorted(at, starts + WINDOW - 1), max(len(at) - 1, 0)) if inner >= WINDOW - 1 else np.zeros(len(starts), int)
-            seed, away = (h[own].view(np.int64), at[own] - starts) if inner >= WINDOW - 1 else (own, own)
-            for row, s, d in zip(_ranked(i, starts, run_hashes(words, starts, least)), seed.tolist(), away.tolist()):
-                yield *row, s, d
-
-    looked = places.join(spans, F.col("doc_id") == F.col("covered_id"), "left").hint(HASHED).join(texts, "doc_id").select("doc_id", "ats", "spans", "words", "places", "hashes")
-    wanted = stored(by_row(looked, needy, "doc_id long, at int, h long, nth int, seed long, away int"), "passage-runs")
+        if not len(starts):
+            return None
+        if inner >= WINDOW - 1:
+            own = rarest(at, ats, np.asarray(counts, np.int64), starts + WINDOW - 1, starts + inner)
+            seed, away = h[own].view(np.int64), at[own] - starts
+        else:
+            seed = away = np.zeros(len(starts), np.int64)
+        hashes = run_hashes(words, starts, least)
+        return starts, hashes.view(np.int64), _numbered(hashes), seed, away
+
+    def wanted_runs(batches):
+        for batch in batches:
+            for part in few(batch):
+                ids, *rest = (c.to_pylist() for c in part.columns)
+                found = [(i, columns) for i, *values in zip(ids, *rest) if (columns := needy(*values)) is not None]
+                if found:
+                    columns = [np.concatenate(c) for c in zip(*(c for _, c in found))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _ in found], np.int64), [len(c[0]) for _, c in found])), *[
+                        pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
+
+    arrow = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("nth", pa.int32()), ("seed", pa.int64()), ("away", pa.int32())])
+    looked = places.join(spans, F.col("doc_id") == F.col("covered_id"), "left").hint(HASHED).join(texts, "doc_id").select("doc_id", "at", "n", "spans", "words", "places", "hashes")
+    wanted = stored(looked.mapInArrow(wanted_runs, "doc_id long, at int, h long, nth int, seed long, away int"), "passage-runs")
     if inner >= WINDOW - 1:
         asked = wanted.groupBy("seed").agg(F.collect_set("away").alias("aways"))
-        where = hits.join(asked, F.col("h") == F.col("seed")).groupBy("doc_id").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(aways, a -> at - a)"))))).alias("starts"))
+        own = hits.where(F.col("n") <= HOT).select("h", "doc_id", F.array("at").alias("ats")).unionByName(
+            hits.where(F.col("n") > HOT).groupBy("h", "doc_id").agg(F.collect_list("at").alias("ats")))
+        where = own.join(asked, F.col("h") == F.col("seed")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list(F.expr("flatten(transform(ats, x -> transform(aways, a -> x - a)))"))))).alias("starts"))
     else:
         where = texts.select("doc_id").distinct().withColumn("starts", F.lit(None).cast("array<int>"))
 
@@ -387,6 +433,21 @@ def outer_matches(x: np.ndarray, y: np.ndarray, gap: int = GAP) -> tuple[np.ndar
     return x[kept], y[kept]
 
 
+def one_run(xs: list[int], ys: list[int], seed: int = SEED, gap: int = GAP) -> list[int] | None:
+    """The run (x, y, end of x) of matches that all lie on one diagonal within ``gap`` words of each other, as most do.
+
+    Null if they don't, or if they cover less than an eighth of it.
+    """
+    off = xs[0] - ys[0]
+    if any(x - y != off for x, y in zip(xs, ys)):
+        return None
+    at = sorted(xs)
+    steps = [v - u for u, v in zip(at, at[1:])]
+    if max(steps) > gap or 8 * (seed + sum(min(s, seed) for s in steps)) < at[-1] + seed - at[0]:
+        return None
+    return [at[0], at[0] - off, at[-1] + seed]
+
+
 def candidate_chains(matches: DataFrame, least: int) -> DataFrame:
     """Chains of pairs of documents, as their runs (x, y, end of x) one after the other; ``sure``: whether their own seeds may
     span a passage of ``least`` words.
@@ -399,6 +460,9 @@ def candidate_chains(matches: DataFrame, least: int) -> DataFrame:
         if len(xs) == 1:
             yield doc_id, ref_id, [xs[0], ys[0], xs[0] + SEED], False
             return
+        if (run := one_run(xs, ys)) is not None:
+            yield doc_id, ref_id, run, run[2] - run[0] + 2 * (WINDOW - 1) >= least
+            return
         xs, ys = outer_matches(np.asarray(xs, np.int64), np.asarray(ys, np.int64))
         for chain in chains(xs, ys):
             (x, y, *_), (u, v, end, _) = chain[0], chain[-1]
@@ -432,6 +496,8 @@ def _alignments(found: DataFrame, texts: DataFrame, least: int, margin: int) ->
     def align(doc_id, ref_id, x, y, runs, ours, theirs):
         ours, theirs = np.frombuffer(ours, np.uint32), np.frombuffer(theirs, np.uint32)
         chain = [(runs[i] - x, runs[i + 1] - y, runs[i + 2] - x) for i in range(0, len(runs), 3)]
+        if len(chain) == 1 and hopeless(chain[0], ours, theirs, least, margin):
+            return
         steps = aligned(chain, ours, theirs, margin)
         if not steps:
             return

@@ -7,7 +7,7 @@ import pytest
 from tabproof.llm import passages
 from tabproof.llm.passages import aligned, best_parts, chains, cut_words, remove_passages, repeated_passages, seeds
 from tabproof.llm.queries import QUERIES
-from tabproof.llm.text import as_bytes, spaced_words, word_hashes
+from tabproof.llm.text import as_bytes, spaced_codes, spaced_words, word_hashes
 from tests.conftest import SF_DIR
 
 from .conftest import text_of
@@ -239,3 +239,37 @@ def test_texts_stay_in_their_buckets(spark):
     assert sorted((r.doc_id, len(r.words)) for r in joined.collect()) == [(i, 4 * (40 + i)) for i in range(10, 20)]
     kept.discard()
     assert not spark.catalog.tableExists(kept.name)
+
+
+def test_codes_of_words_are_those_of_a_split():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"abcABC \t\n\x0b\x0c\r\x1c\xc3\xa9") for _ in range(n)) for n in (0, 1, 5, 50, 3000, 100_000)]
+    for utf8 in [*texts, b"x" * 100_000 + b" yy " + b"X" * 100_000 + b" yY"]:
+        words, codes = spaced_words(utf8), spaced_codes(utf8).tolist()
+        assert len(words) == len(codes) and len(set(words)) == len(set(codes)) == len(set(zip(words, codes)))
+
+
+def test_short_cuts_change_no_chain_and_no_passage():
+    """Matches on one diagonal are one run as the chains say; only runs without a passage are given up."""
+    rng, given_up = random.Random(3), 0
+    for _ in range(500):
+        xs = rng.sample(range(200), rng.randint(2, 8))
+        run = passages.one_run(xs, [x + 7 for x in xs])
+        found = list(chains(*passages.outer_matches(np.array(xs), np.array(xs) + 7)))
+        if run:
+            assert len(found) == 1 and list(found[0][0][:3]) == run
+        a, b = (np.array([rng.randrange(k) for _ in range(rng.randint(5, 200))], np.uint32) for k in (rng.randint(1, 4), 2))
+        x, y, least, margin = rng.randint(0, len(a) - 5), rng.randint(0, len(b) - 5), rng.choice((10, 50)), rng.choice((8, 64))
+        a[x:x + 5] = b[y:y + 5]
+        if passages.hopeless((x, y, x + 5), a, b, least, margin):
+            given_up += 1
+            parts = list(best_parts(aligned([(x, y, x + 5)], a, b, margin)))
+            assert not any(p[1] - p[0] >= least and p[3] - p[2] >= least for p in parts)
+    assert given_up > 100
+
+
+def test_a_run_is_looked_up_by_its_rarest_seed():
+    places, known, counts = np.array([3, 9, 15, 20, 31]), np.array([9, 15, 20, 31]), np.array([500, 7, 7, 90])
+    low, high = np.array([0, 9, 16, 31]), np.array([10, 20, 31, 31])
+    assert passages.rarest(places, known, counts, low, high).tolist() == [1, 2, 3, 4]
+    assert passages._numbered(np.array([5, 2, 5, 5, 2], np.uint64)).tolist() == [0, 0, 1, 2, 1]
